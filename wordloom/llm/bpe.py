@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-#: Distinct chunks that a Python worker remembers; a full memory is emptied (bounds memory, not results).
-REMEMBERED = 250_000
+#: Distinct chunks that a Python worker remembers in each of two generations (bounds memory, not results).
+REMEMBERED = 200_000
 NO_RANK = np.int64(1) << 40
 
 
@@ -47,6 +47,7 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             names[i] = token
         self.names = [x.encode() for x in names]
+        self.digits = [b"%d" % i for i in range(size)]
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + self.suffix] for s in symbols], np.int64)
@@ -61,20 +62,24 @@ class WordBpe:
 
     def pieces(self, chunk: bytes) -> list[bytes | int]:
         """The pre-tokens of a chunk without ASCII white space; special tokens as ids."""
+        if chunk.isalpha():  # ASCII letters only
+            return [chunk.lower()]
         if chunk.isascii() and b"<|" not in chunk:
             return PLAIN.findall(chunk.lower())
+        text = chunk.decode("utf-8", "replace")
+        if LATIN.fullmatch(text):
+            return [x.encode() for x in LATIN_WORDS.findall(text.lower())]
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
         out: list[bytes | int] = []
-        text = chunk.decode("utf-8", "replace")
         for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 normal = self.library.normalizer.normalize_str(part)
-                out += [BYTE_OF(x) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+                out += [bytes_of(x) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,20 +117,25 @@ class WordBpe:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.append(0, np.cumsum(np.bincount(owner, minlength=len(words)))).astype(np.int64)
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of each chunk; all words of all chunks go through the merge rounds together."""
         parts = [self.pieces(c) for c in chunks]
         index: dict[bytes, int] = {}
         for p in parts:
             for x in p:
-                if not isinstance(x, int):
-                    index.setdefault(x, len(index))
-        ids, at = self.encode_words(list(index))
-        none = np.zeros(0, np.int64)
+                if x.__class__ is bytes and x not in index:
+                    index[x] = len(index)
+        ids, at = (x.tolist() for x in self.encode_words(list(index)))
         out = []
         for p in parts:
-            got = [np.array([x], np.int64) if isinstance(x, int) else ids[at[k := index[x]] : at[k + 1]] for x in p]
-            out.append(np.concatenate(got) if got else none)
+            got: list[int] = []
+            for x in p:
+                if x.__class__ is bytes:
+                    k = index[x]
+                    got += ids[at[k] : at[k + 1]]
+                else:
+                    got.append(x)
+            out.append(got)
         return out
 
     def decode(self, ids) -> bytes:
@@ -133,13 +143,16 @@ class WordBpe:
         return b" ".join([self.names[i] for i in ids])
 
 
-#: The word pattern for ASCII text in lower case; other chunks go to the file's own normalizer and splitter.
+#: The word pattern for ASCII, and for ASCII with the composed letters of Latin-1, which no normalization changes; other
+#: chunks go to the file's own normalizer and splitter.
 PLAIN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-_BYTES = {s: b for b, s in enumerate(byte_symbols())}
+LATIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_BYTES = str.maketrans({s: chr(b) for b, s in enumerate(byte_symbols())})
 
 
-def BYTE_OF(symbols: str) -> bytes:
-    return bytes(_BYTES[c] for c in symbols)
+def bytes_of(symbols: str) -> bytes:
+    return symbols.translate(_BYTES).encode("latin-1")
 
 
 @functools.lru_cache(maxsize=2)
@@ -148,13 +161,21 @@ def model(path: str) -> WordBpe:
 
 
 class Memory(dict):
-    """Remembered results of chunks; emptied when full."""
+    """Remembered results of chunks. A full memory becomes the old one, from which what is met again moves back."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
 
     def fill(self, chunks: list[bytes], make) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        if len(self) + len(new) > REMEMBERED:
+        unseen = [c for c in dict.fromkeys(chunks) if c not in self]
+        if len(self) + len(unseen) > REMEMBERED:
+            self.old = dict(self)
             self.clear()
-            new = list(dict.fromkeys(chunks))
+            unseen = list(dict.fromkeys(chunks))
+        old = self.old
+        self.update([(c, old[c]) for c in unseen if c in old])
+        new = [c for c in unseen if c not in old]
         if new:
             self.update(zip(new, make(new), strict=True))
 
@@ -191,7 +212,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", k
         for b in batches:
             docs, rows = [t.split() for t in texts(b.column(len(cols)))], []
             for g in groups(docs):
-                known.fill([c for d in g for c in d], lambda new: [x.astype(np.int32) for x in bpe.encode_chunks(new)])
+                known.fill([c for d in g for c in d], lambda new: [np.array(x, np.int32) for x in bpe.encode_chunks(new)])
                 rows += [np.concatenate([known[c] for c in d]) if d else np.zeros(0, np.int32) for d in g]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(rows, pa.list_(pa.int32()))], names=[*cols, out])
 
@@ -224,7 +245,7 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe, known = model(path), memory(path, "digests")
 
         def make(new: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-            return [(len(x), b" ".join([b"%d" % i for i in x]), bpe.decode(x)) for x in map(np.ndarray.tolist, bpe.encode_chunks(new))]
+            return [(len(x), b" ".join([bpe.digits[i] for i in x]), bpe.decode(x)) for x in bpe.encode_chunks(new)]
 
         for b in batches:
             docs, n, ids, back = [t.split() for t in texts(b.column(1))], [], [], []

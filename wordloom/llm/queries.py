@@ -6,35 +6,124 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, token_counts
+from . import bpe, language_id, line_dedup, minhash, packing, pii, spherical, token_counts, vamana, warc
 from .common import Workspace, table_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def op1_spherical_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.similar_vectors(_table(spark, sf_dir, "embeddings"), Workspace(spark, "op1"))
+
+
+def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Workspace(spark, "op2")
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), Workspace(spark, "op3"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, removed_lines (ranges a-b), text_sha256 of what is left (null text: empty)."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "op5"))
+    return out.select("doc_id", "n_lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"), Workspace(spark, "op6"), declared="lang", host="source")
+
+
+def op7_vamana_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(_table(spark, sf_dir, "embeddings"), Workspace(spark, "op7"), F.col("vec_id") % 50 == 0)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     Workspace(spark, "op4")
-    return bpe.round_trip_digests(spark.read.parquet(table_path(sf_dir, "documents")), WORD_BPE)
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Workspace(spark, "op8")
-    return token_counts.token_counts(spark.read.parquet(table_path(sf_dir, "documents")), BYTE_BPE)
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(table_path(sf_dir, "documents")), Workspace(spark, "op9"), size=4)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op9"), size=4)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark.read.parquet(table_path(sf_dir, "documents")), Workspace(spark, "op10"), BYTE_BPE)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), Workspace(spark, "op10"), BYTE_BPE)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_round_trip, op8_token_counts, op9_minhash_near_dedup, op10_best_fit_packing)}
+    named = (op1_spherical_near_dedup, op2_skip_chain_pii, op3_warc_round_trip, op4_bpe_round_trip, op5_line_dedup, op6_language_id, op7_vamana_neighbours, op8_token_counts, op9_minhash_near_dedup, op10_best_fit_packing, pipeline)
+    return {f.__name__: f for f in named}
+
+
+#: Records of equal payloads of at least 1000 bytes refer to the one with the largest page_id.
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest,
+         CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+g AS (SELECT digest, max(page_id) AS whole FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN g.whole IS NULL OR p.page_id = g.whole THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN g.whole IS NULL OR p.page_id = g.whole THEN NULL ELSE g.whole END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest AND p.n >= 1000
+"""
+
+#: All pairs of one label, components by repeated minima.
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(coalesce(c.b, e.vec_id), e.vec_id) AS component_id,
+       least(coalesce(c.b, e.vec_id), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
+#: Exact shingle sets and all pairs that share a shingle, components by reachability.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+k AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+x AS (SELECT id, n, unnest(s) AS g FROM k),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+d AS (
+  SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(c.b, k.id), k.id, s.doc_id) AS component_id
+  FROM s LEFT JOIN k ON k.s = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN c ON c.a = k.id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM d
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_spherical_near_dedup": OP1_SQL, "op3_warc_round_trip": OP3_SQL, "op9_minhash_near_dedup": OP9_SQL}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BYTE_OF, Memory, groups
+from .bpe import bytes_of, Memory, groups
 from .common import texts
 
 #: Longer words go through the automaton one by one.
@@ -100,7 +100,7 @@ class Automaton:
 def automaton(path: str) -> Automaton:
     """From a tokenizer file of byte-level tokens."""
     with open(path, encoding="utf-8") as f:
-        return Automaton([BYTE_OF(token) for token in json.load(f)["model"]["vocab"]])
+        return Automaton([bytes_of(token) for token in json.load(f)["model"]["vocab"]])
 
 
 @functools.lru_cache(maxsize=2)
