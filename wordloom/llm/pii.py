@@ -27,7 +27,7 @@ LABELS = 1 + len(KINDS)
 FEATURES, SAMPLE, STEPS, ROUNDS, LEAST_BELIEF = 1 << 12, 20_000, 120, 8, 0.9
 
 #: The skip potential is at least this: repeats are rare in the sample, and base spans seldom repeat under another form.
-LEAST_SKIP = 6.0
+LEAST_SKIP = 10.0
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
