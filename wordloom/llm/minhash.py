@@ -4,7 +4,7 @@ Every distinct shingle set gets HASHES minima of multiply-add-shift hash functio
 Two sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS; at 0.8 they miss each other once in 300,000.
 Within a band all members are compared with the least one first, which joins groups of copies of any size in linear work;
 components of those links show which bands still hold members of several components, and only there all members of
-different components are compared, in blocks of signatures. Links are confirmed on the full sets.
+different components are compared, in blocks. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ ROWS, BANDS = 4, 24
 HASHES = ROWS * BANDS
 #: Pairs whose signatures agree less are not looked at again: four standard deviations under 0.8.
 LEAST_AGREEING = 0.8 - 4 * (0.8 * 0.2 / HASHES) ** 0.5
-#: Members of a band that are compared in one task at most; larger bands are compared block by block.
-BLOCK = 2048
+#: Documents and shingles of a block at most; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 REMEMBERED = 400_000
 
 U64 = np.uint64
@@ -114,12 +114,9 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    signed = pairs.join(nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
-    close = signed.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(agreeing("sig_a", "sig_b") >= LEAST_AGREEING)
-    close = work.settle(close.select("a", "b"), "close")
-    ids = work.settle(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "close-ids")
+def _full_sets(ids: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, id_col: str, text_col: str) -> DataFrame:
+    """id, members of the given ids: their full shingle sets, from the whole texts."""
+    ids = work.settle(ids.distinct(), "wanted")
     wanted = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(maybe_broadcast(ids, ids.count()), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,58 +126,77 @@ def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in got], pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())], names=["id", "set_key", "members"])
 
     full = work.settle(wanted.mapInArrow(sets, "id long, set_key binary, members binary"), "sets")
-    full = full.join(nodes.select("id", "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "members")
+    return full.join(nodes.select("id", "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "members")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    signed = pairs.join(nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
+    close = signed.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(agreeing("sig_a", "sig_b") >= LEAST_AGREEING)
+    close = work.settle(close.select("a", "b"), "close")
+    full = _full_sets(close.select(F.col("a").alias("id")).union(close.select("b")), nodes, df, work, size, id_col, text_col)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (p, q) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
+            sets = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [i for i, (p, q) in enumerate(sets) if similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     joined = close.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
     return work.settle(joined.select("a", "b", "ma", "mb").mapInArrow(confirm, "a long, b long"), "links")
 
 
-def _mixed_pairs(members: DataFrame, nodes: DataFrame, work: Workspace, percent: int) -> DataFrame:
-    """Pairs from bands that hold several components: members of different components whose signatures agree.
+def _mixed_links(members: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
+    """Links that join different components met in one band: (a, b), enough of them to show what is connected.
 
-    members: band, id, component. Bands over BLOCK members are laid out as pairs of blocks, so no task gets more than two.
+    members: band, id, component. Bands with several components are merged into families, so that a document is compared in one
+    place. A family's documents are dealt to blocks bounded in number and in shingles; a task gets two blocks, passes over
+    what is already connected, and confirms what the signatures let through on the full sets.
     """
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = work.settle(sizes.where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-bands")
+    spans = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least")).where("lo <> hi")
+    mixed = work.settle(members.join(work.settle(spans.select("band", "least"), "mixed-bands"), "band").select("id", "component", "least").distinct(), "mixed")
     if not mixed.take(1):
         return None
-    rows = members.join(mixed, "band").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("band", "id", "component", "mine", other).select("band", "id", "component", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
-    rows = rows.join(nodes.select("id", "sig", "n_shingles"), "id")
+    family = connected_components(mixed.where("id <> least").select("id", "least"), work).withColumnRenamed("component_id", "family")
+    rows = work.settle(mixed.select("id", "component").distinct().join(family, "id"), "families").join(nodes.select("id", "sig", "n_shingles"), "id")
+    sizes = rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(work.settle(sizes, "family-sizes"), "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    full = _full_sets(rows.select("id"), nodes, df, work, size, id_col, text_col)
+    rows = rows.join(full, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("family", "id", "component", "sig", "n_shingles", "members", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, t in runs(batches, ["band", "x", "y"]):
-            ids, comp, n = (t.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+        for group, t in runs(batches, ["family", "x", "y"]):
+            ids, n = t.column("id").to_numpy(), t.column("n_shingles").to_numpy()
+            _, root = np.unique(t.column("component").to_numpy(), return_inverse=True)
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), HASHES)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
             second = t.column("second").to_numpy(zero_copy_only=False)
             left = np.flatnonzero(~second)
             right = np.flatnonzero(second) if group[1] != group[2] else left
-            found = []
+            a, b = [], []
             for k in left:
-                r = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
+                r = right[(root[right] != root[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
                 if group[1] == group[2]:
                     r = r[ids[r] > ids[k]]
-                r = r[(sig[r] == sig[k]).mean(axis=1) >= LEAST_AGREEING] if len(r) else r
-                found.append((np.minimum(ids[k], ids[r]), np.maximum(ids[k], ids[r])))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                agree = (sig[r] == sig[k]).mean(axis=1)
+                order = np.argsort(-agree, kind="stable")
+                for j in r[order[agree[order] >= LEAST_AGREEING]]:
+                    if root[j] != root[k] and similar(sets[k], sets[j], percent):
+                        a.append(ids[k])
+                        b.append(ids[j])
+                        root[root == root[j]] = root[k]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return work.settle(dealt.mapInArrow(compare, "a long, b long").distinct(), "mixed-pairs")
+    dealt = rows.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+    return work.settle(dealt.mapInArrow(compare, "a long, b long"), "mixed-links")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -224,12 +240,9 @@ def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int
     links = _verify(stars, nodes, df, work, size, percent, id_col, text_col)
     parts = connected_components(links, work)
     labelled = shared.select("band", "id").join(parts, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("component"))
-    rest = _mixed_pairs(work.settle(labelled, "labelled"), nodes, work, percent)
-    if rest is not None:
-        todo = work.settle(rest.join(stars, ["a", "b"], "left_anti"), "mixed-todo")
-        if todo.take(1):
-            links = links.union(_verify(todo, nodes, df, work, size, percent, id_col, text_col))
-            parts = connected_components(links, work)
+    rest = _mixed_links(work.settle(labelled, "labelled"), nodes, df, work, size, percent, id_col, text_col)
+    if rest is not None and rest.take(1):
+        parts = connected_components(links.union(rest), work)
     # ids of one class, and classes of one id, belong together
     out = table.join(classes, "set_key", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"))
