@@ -15,7 +15,7 @@ NOISE_LEVELS = {"greek": {"mild": 0.02, "sota": 0.05, "severe": 0.10}, "lat": {"
 
 def read_nested(spark: SparkSession, path: str) -> DataFrame:
     """A JSON file book / chapter / verse to text, one row for each verse. Positions keep the file's order."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.map_entries(F.from_json("value", NESTED)).alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.map_entries(F.from_json("value", NESTED)).alias("m"))
     books = raw.select(F.posexplode("m").alias("b", "book"))
     chapters = books.select("b", F.col("book.key").alias("book"), F.posexplode(F.map_entries("book.value")).alias("c", "chapter"))
     verses = chapters.select("b", "c", "book", F.col("chapter.key").alias("chapter"), F.posexplode(F.map_entries("chapter.value")).alias("v", "verse"))
@@ -86,7 +86,7 @@ def read_morphology(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ocr_pairs(spark: SparkSession, folder: str, suffix: str, alphabet: str, table: dict[str, str]) -> DataFrame:
     """base, gt, noisy of files X.txt and X_gt.txt whose X ends with suffix; both lower-cased, folded, kept to the alphabet."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("base"), F.col("value").alias("t"))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("base"), F.col("value").alias("t"))
     clean = lambda c: text.keep_alphabet(text.fold(F.lower(text.strip(c)), table), alphabet)
     truth = files.where(F.endswith("base", F.lit("_gt"))).select(F.regexp_replace("base", "_gt$", "").alias("base"), clean("t").alias("gt"))
     noisy = files.where(~F.endswith("base", F.lit("_gt")) & F.endswith("base", F.lit(suffix))).select("base", clean("t").alias("noisy"))
