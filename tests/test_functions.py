@@ -132,6 +132,9 @@ def test_segmenters(spark):
     assert [r["words"] for r in decode.StandardSegmenter(scorer).segment(df, ["i"]).collect()] == want
     two = decode.HierarchicalSegmenter(scorer, decode.WordModel.fit(df), 3).segment(df, ["i"])
     assert [r["words"] for r in two.collect()] == want
+    by_join = scorer._score_by_join(df.select("i", F.col("text").alias("__text")), ["i"], 126).drop("__text")
+    by_table = scorer.score(df, ["i"], "text").drop("text")
+    assert sorted(map(tuple, by_join.collect())) == sorted(map(tuple, by_table.collect()))
     with pytest.raises(NotImplementedError):
         decode.Segmenter().segment(df, ["i"])
     long = spark.createDataFrame([(1, "ab" * 100)], "i int, text string")

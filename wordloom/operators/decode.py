@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +97,8 @@ class WordModel:
 
 #: Characters to the left (with the one labelled) and right of each back-off level; observations a level needs.
 LEVELS, LEAST_SEEN = ((4, 3), (3, 2), (2, 1)), 5
+#: Deciding contexts that are sent to every worker at most (about 100 bytes each).
+SENT_CONTEXTS = 1_000_000
 
 
 class ContextModel:
@@ -121,9 +127,37 @@ class ContextModel:
 
     @classmethod
     def fit(cls, df: DataFrame, words_col: str = "words") -> ContextModel:
-        pairs = F.arrays_zip(cls.contexts(F.col(words_col), False).alias("c"), F.transform(labels.binary(words_col), lambda x: (x == "E").cast("int")).alias("l"))
-        rows = df.select(F.explode(pairs).alias("p")).select(F.col("p.c").alias("context"), F.col("p.l").alias("l")).where("context is not null and l is not null")
-        return cls(rows.groupBy("context").agg(F.count("*").alias("n"), F.sum("l").alias("e")))
+        """Counts are summed within each batch of texts before they are shuffled."""
+        spelled = df.select(F.lower(F.array_join(words_col, "")).alias("text"), F.array_join(F.transform(words_col, lambda w: F.concat(F.repeat(F.lit("I"), F.length(w) - 1), F.lit("E"))), "").alias("labels"))
+        left, right = LEVELS[0]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                seen, ends = Counter(), Counter()
+                for t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    padded = "\x02" * (left - 1) + (t or "") + "\x03" * right
+                    keys = [padded[i : i + left + right] for i in range(min(len(t or ""), len(marks or "")))]
+                    seen.update(keys)
+                    ends.update([k for k, m in zip(keys, marks or "", strict=False) if m == "E"])
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64()), pa.array([ends[k] for k in seen], pa.int64())], names=["context", "n", "e"])
+
+        partial = spelled.mapInArrow(count, "context string, n long, e long")
+        return cls(partial.groupBy("context").agg(F.sum("n").alias("n"), F.sum("e").alias("e")))
+
+    def tables(self) -> list[dict[str, tuple[int, int]]] | None:
+        """For each level the contexts that can decide, if they are few enough to be sent to every worker."""
+        parts = []
+        for k, (left, right) in enumerate(LEVELS):
+            cut = F.substr("context", F.lit(1 + LEVELS[0][0] - left), F.lit(left + right))
+            level = self.counts.groupBy(cut.alias("c")).agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+            parts.append(level.where(F.col("n") >= (LEAST_SEEN if k + 1 < len(LEVELS) else 1)).select(F.lit(k).alias("k"), "c", "n", "e"))
+        every = parts[0].union(parts[1]).union(parts[2]).limit(SENT_CONTEXTS + 1).collect()
+        if len(every) > SENT_CONTEXTS:
+            return None
+        out: list[dict[str, tuple[int, int]]] = [{} for _ in LEVELS]
+        for r in every:
+            out[r["k"]][r["c"]] = (r["n"], r["e"])
+        return out
 
     def decisions(self, of: DataFrame) -> DataFrame:
         """context, n, e of the level that decides, for each distinct context in `of`."""
@@ -141,13 +175,45 @@ class ContextModel:
         return out.select("context", pick.alias("d")).select("context", "d.n", "d.e")
 
     def score(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
-        """keys, probabilities: per character [inside, end], smoothed by one half each; and best: integer decisions."""
-        rows = df.select(*keys, F.posexplode(self.contexts(F.col(text_col), True, limit)).alias("at", "context"))
+        """keys, text, probabilities (per character [inside, end], smoothed by one half each), best (integer decisions).
+
+        The deciding contexts are looked up in dictionaries if they are at most SENT_CONTEXTS, by joins otherwise.
+        """
+        tables = self.tables()
+        src = df.select(*keys, F.col(text_col).alias("__text"))
+        if tables is None:
+            return self._score_by_join(src, keys, limit).withColumnRenamed("__text", "text")
+        shared = df.sparkSession.sparkContext.broadcast(tables)
+        (left, right), names = LEVELS[0], [*src.columns, "ends", "best"]
+        schema = src.withColumn("ends", F.array(F.lit(0.0))).withColumn("best", F.array(F.lit(0))).schema
+
+        n_keys = len(keys)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (long, mid, short), none = shared.value, (0, 0)
+            a, b, c, d = left - LEVELS[1][0], left + LEVELS[1][1], left - LEVELS[2][0], left + LEVELS[2][1]
+            for batch in batches:
+                ends, best = [], []
+                for t in batch.column(n_keys).to_pylist():
+                    t = t or ""
+                    padded = "\x02" * (left - 1) + t + "\x03" * right
+                    at = [long.get(k) or mid.get(k[a:b]) or short.get(k[c:d], none) for k in [padded[i : i + left + right] for i in range(len(t) if limit is None else min(len(t), limit))]]
+                    ends.append([(e + 0.5) / (n + 1.0) for n, e in at])
+                    best.append([int(2 * e >= n) for n, e in at])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.float64())), pa.array(best, pa.list_(pa.int32()))], names=names)
+
+        scored = src.mapInArrow(run, schema)
+        return scored.select(*keys, F.col("__text").alias("text"), F.transform("ends", lambda p: F.array(1 - p, p)).alias("probabilities"), "best")
+
+    def _score_by_join(self, src: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+        rows = src.select(*keys, F.posexplode(self.contexts(F.col("__text"), True, limit)).alias("at", "context"))
         decided = rows.join(self.decisions(rows), "context")
         p = (F.col("e") + 0.5) / (F.col("n") + 1.0)
         cell = F.struct("at", F.array(1 - p, p).alias("p"), (2 * F.col("e") >= F.col("n")).cast("int").alias("l"))
         grouped = decided.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-        return grouped.select(*keys, F.transform("cells", lambda c: c["p"]).alias("probabilities"), F.transform("cells", lambda c: c["l"]).alias("best"))
+        grouped = grouped.select(*keys, F.transform("cells", lambda c: c["p"]).alias("probabilities"), F.transform("cells", lambda c: c["l"]).alias("best"))
+        none = F.array()
+        return src.join(grouped, keys, "left").select(*src.columns, F.coalesce("probabilities", none.cast("array<array<double>>")).alias("probabilities"), F.coalesce("best", none.cast("array<int>")).alias("best"))
 
 
 # ---- segmenters
@@ -169,9 +235,7 @@ class StandardSegmenter(Segmenter):
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
         limit = None if self.max_length is None else self.max_length - 2
         scored = self.scorer.score(df, keys, text_col, limit)
-        joined = df.select(*keys, text_col).join(scored, keys, "left")
-        none = F.array().cast("array<int>")
-        return joined.select(*keys, text.words(labels.rebuild(text_col, F.coalesce("best", none))).alias("words"))
+        return scored.select(*keys, text.words(labels.rebuild("text", "best")).alias("words"))
 
 
 class HierarchicalSegmenter(Segmenter):
@@ -182,8 +246,7 @@ class HierarchicalSegmenter(Segmenter):
 
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
         scored = self.scorer.score(df, keys, text_col, self.max_length - 2)
-        joined = df.select(*keys, text_col).join(scored, keys)
-        found = candidates(joined, keys, text_col, "probabilities", self.beam_width)
+        found = candidates(scored, keys, "text", "probabilities", self.beam_width)
         ppl = self.model.perplexity(found.withColumn("words", text.words("candidate")), [*keys, "rank"])
         return choose(found.join(ppl, [*keys, "rank"]), keys, self.combine_lambda)
 
