@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
@@ -75,6 +75,14 @@ class WordModel:
         bi = df.select(F.explode(pairs).alias("p")).select("p.before", "p.word").groupBy("before", "word").agg(F.count("*").alias("n"))
         return cls(uni, bi, **options)
 
+    def save(self, path: str) -> None:
+        self.unigrams.write.mode("overwrite").parquet(f"{path}/unigrams")
+        self.bigrams.write.mode("overwrite").parquet(f"{path}/bigrams")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, **options) -> WordModel:
+        return cls(spark.read.parquet(f"{path}/unigrams"), spark.read.parquet(f"{path}/bigrams"), **options)
+
     def perplexity(self, df: DataFrame, keys: list[str], words_col: str = "words") -> DataFrame:
         """keys, nll, n, perplexity: exp of the mean negative log-likelihood; texts without words are left out."""
         total = self.unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("size"))
@@ -110,6 +118,13 @@ class ContextModel:
     def __init__(self, counts: DataFrame):
         self.counts = counts  # context, n, e
 
+    def save(self, path: str) -> None:
+        self.counts.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ContextModel:
+        return cls(spark.read.parquet(path))
+
     @staticmethod
     def contexts(words_or_text: Column, is_text: bool, limit: int | None = None) -> Column:
         """The context of each character of a text: left part, the character, right part."""

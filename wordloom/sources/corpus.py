@@ -117,3 +117,19 @@ def read_distributions(spark: SparkSession, path: str) -> DataFrame:
 def write_scores(summary: DataFrame, path: str) -> None:
     """metric, value as one CSV file."""
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_segments(df: DataFrame, path: str, words_col: str = "words", text_col: str = "text") -> None:
+    """Lines `(['in', 'principio'], 'in principio')`: words found and the verse, quoted as Python quotes strings.
+
+    Null words are an empty list and a null verse the empty string; line ends are escaped, so a row is always one line.
+    """
+
+    def quoted(c):
+        plain = F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+        double = F.contains(plain, F.lit("'")) & ~F.contains(plain, F.lit('"'))
+        return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    shown = F.coalesce(F.array_join(F.transform(words_col, quoted), ", "), F.lit(""))
+    line = F.concat(F.lit("(["), shown, F.lit("], "), quoted(F.coalesce(text_col, F.lit(""))), F.lit(")"))
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
