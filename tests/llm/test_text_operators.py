@@ -284,6 +284,33 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, []), Workspace(spark, "t")).count() == 0
 
 
+def test_line_dedup_takes_whole_runs(spark):
+    """Runs of 2 to 6 lines of 4 to 30 words among foreign lines go whole, by a quadratic brute force."""
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passages = [[line(w) for _ in range(n)] for n in range(2, 7) for w in (4, 8, 11, 26, 30)] + [[line(25), "", "", "", line(25)], [line(3), line(3)], [line(19), "", line(1)]]
+    rows = []
+    for p in passages * 3:
+        rows.append((len(rows), "\n".join([line(9) for _ in range(rng.randint(0, 3))] + p + [line(9) for _ in range(rng.randint(0, 3))])))
+    rows += [(900, "\n".join(["same line again"] * 30)), (901, "\n".join(passages[8] + passages[13]))]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows), Workspace(spark, "t")).collect()}
+    first, partial = {}, 0
+    for i, t in rows:
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines)):
+            for e in range(a + 2, len(lines) + 1):
+                body = "\n".join(lines[a:e])
+                if len(body.split()) >= 20:
+                    j, _, q = first.setdefault(body, (i, a, e))
+                    if (j, _) != (i, a):
+                        gone |= set(range(a if j != i else max(a, q), e))
+        assert got[i]["text"] == "\n".join(x for k, x in enumerate(lines) if k not in gone), i
+        ranges = [tuple(map(int, x.split("-"))) for x in got[i]["removed_runs"].split(",") if x]
+        assert sorted(gone) == [k for a, e in ranges for k in range(a, e)], i
+        partial += bool(gone)
+    assert partial > 40 and got[901]["text"] == "" and got[900]["text"].count("\n") == 6
+
+
 def test_language_id(spark):
     d = documents(spark)
     r = language_id.identify(d, Workspace(spark, "t"), "lang", "source").collect()

@@ -1,8 +1,8 @@
-"""Line-level deduplication by content-defined chunks of lines.
+"""Line-level deduplication of every repeated run of lines.
 
-A rolling hash over the hashes of WINDOW lines decides after which lines a chunk ends, so an inserted or deleted line moves
-only the boundaries next to it and passages shared by documents fall into the same chunks. Chunks of several lines that occur
-more than once anywhere are compared byte for byte; all but the first occurrence go.
+The least windows of LEAST_LINES lines and LEAST_WORDS words are taken at every line, forwards and backwards. A run of lines that
+has as much is the union of the windows within it, so wherever it stands and whatever is around it, its windows repeat. Windows
+that occur more than once anywhere are compared byte for byte; the lines of all but the first occurrence go.
 """
 
 from __future__ import annotations
@@ -16,62 +16,83 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, maybe_broadcast, texts
 
-#: Lines of the rolling window; a chunk ends where its hash is 0 modulo DIVISOR; least lines and words of a chunk that may go.
-WINDOW, DIVISOR, LEAST_LINES, LEAST_WORDS = 2, 2, 2, 20
+#: Least lines and words of a run that may go.
+LEAST_LINES, LEAST_WORDS = 2, 20
 
 
 def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
-    """Of each chunk that may be compared: first line, line after the last, 16-byte hash."""
-    lines = text.split(b"\n")
-    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        if i + 1 < len(lines):
-            if i + 1 - start < LEAST_LINES:
-                continue
-            rolled = 0
-            for h in hashes[i + 1 - WINDOW : i + 1]:
-                rolled = (rolled * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-            if (rolled >> 32) % DIVISOR:
-                continue
-        if i + 1 - start >= LEAST_LINES:
-            body = b"\n".join(lines[start : i + 1])
-            if len(body.split(None, LEAST_WORDS)) >= LEAST_WORDS:
-                out.append((start, i + 1, xxhash.xxh3_128_digest(body)))
-        start = i + 1
-    return out
+    """The windows that are compared, ordered and overlapping: first line, line after the last, 16-byte hash.
 
-
-def remove(text: bytes, gone: set[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without the chunks of these hashes and without repeats of its own chunks; the removed ranges of lines."""
-    spans, seen = [], set()
+    Of each line with words: the least window that begins there, the one that also reaches the next line with words, and the same
+    backwards. Blank lines at the edges of a run need no windows of their own; so a line is in a bounded number of windows.
+    """
     lines = text.split(b"\n")
-    for a, b, h in chunks(text):
-        if h in gone or (h in seen and _repeats(lines, seen, a, b)):
-            spans.append((a, b))
-        seen.add(h)
-        seen.add(b"\n".join(lines[a:b]))
+    n = len(lines)
+    if n < LEAST_LINES:
+        return []
+    counts = [len(x.split(None, LEAST_WORDS)) for x in lines]
+    found = set()
+    full = [i for i in range(n) if counts[i]]
+    for k, i in enumerate(full):
+        words, e = 0, i
+        while e < n and (words < LEAST_WORDS or e - i < LEAST_LINES):
+            words += counts[e]
+            e += 1
+        if words >= LEAST_WORDS and e - i >= LEAST_LINES:
+            found.add((i, e))
+            if k + 1 < len(full):
+                found.add((i, max(e, full[k + 1] + 1)))
+        words, a = 0, i + 1
+        while a > 0 and (words < LEAST_WORDS or i + 1 - a < LEAST_LINES):
+            a -= 1
+            words += counts[a]
+        if words >= LEAST_WORDS and i + 1 - a >= LEAST_LINES:
+            found.add((a, i + 1))
+            if k:
+                found.add((min(a, full[k - 1]), i + 1))
+    return [(a, e, xxhash.xxh3_128_digest(b"\n".join(lines[a:e]))) for a, e in sorted(found)]
+
+
+def remove(text: bytes, gone: set[bytes]) -> tuple[bytes, list[tuple[int, int]], list[tuple[int, int]]]:
+    """The text without the windows of these hashes and without repeats of its own; those windows; the removed runs of lines.
+
+    Where a window overlaps its own first occurrence only the lines after that go.
+    """
+    spans, runs, firsts = [], [], {}
+    lines = text.split(b"\n")
+    for a, e, h in chunks(text):
+        at = a
+        if h not in gone:
+            p, q = firsts.setdefault(h, (a, e))
+            if p == a or lines[p:q] != lines[a:e]:
+                continue
+            at = max(a, q)
+        spans.append((a, e))
+        runs.append((at, e))
     if not spans:
-        return text, []
+        return text, [], []
+    merged: list[tuple[int, int]] = []
+    for a, e in sorted(runs):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+        else:
+            merged.append((a, e))
     out, at = [], 0
-    for a, b in spans:
+    for a, e in merged:
         out += lines[at:a]
-        at = b
-    return b"\n".join(out + lines[at:]), spans
-
-
-def _repeats(lines: list[bytes], seen: set[bytes], a: int, b: int) -> bool:
-    return b"\n".join(lines[a:b]) in seen
+        at = e
+    return b"\n".join(out + lines[at:]), spans, merged
 
 
 def dedup_lines(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with text_col cleaned, plus removed_lines (string of a-b, line numbers from 0, end exclusive) and n_lines.
+    """df with text_col cleaned, plus removed_lines (string of a-b, line numbers from 0, end exclusive: the repeated windows, which
+    overlap), removed_runs (the same lines as disjoint runs) and n_lines.
 
     The first occurrence is that in the row with the least id, there the topmost; it stays. Rows with a null id give way to any
     other row and are never first; rows that share an id are treated alike. Null texts stay null, empty ones empty; a document
     may become empty. Texts of one line never change. Equal hashes of different bytes (never seen) are left alone.
     """
-    df = df.drop("removed_lines", "n_lines")
+    df = df.drop("removed_lines", "removed_runs", "n_lines")
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
@@ -102,14 +123,15 @@ def dedup_lines(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, spans, lines = [], [], []
+            text, spans, runs, lines = [], [], [], []
             for t, g in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                new, cut = remove(t or b"", set(g or ()))
+                new, cut, whole = remove(t or b"", set(g or ()))
                 text.append(None if t is None else new)
                 spans.append(",".join(f"{a}-{e}" for a, e in cut))
+                runs.append(",".join(f"{a}-{e}" for a, e in whole))
                 lines.append((t or b"").count(b"\n") + 1)
             cols = [pa.array(text, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.string()), pa.array(lines, pa.int64())], names=[*names, "removed_lines", "n_lines"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.string()), pa.array(runs, pa.string()), pa.array(lines, pa.int64())], names=[*names, "removed_lines", "removed_runs", "n_lines"])
 
-    schema = df.withColumn("removed_lines", F.lit("")).withColumn("n_lines", F.lit(0).cast("long")).schema
+    schema = df.withColumn("removed_lines", F.lit("")).withColumn("removed_runs", F.lit("")).withColumn("n_lines", F.lit(0).cast("long")).schema
     return joined.mapInArrow(clean, schema)
