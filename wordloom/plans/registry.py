@@ -341,20 +341,28 @@ def _model(spark) -> noise.NoiseModel:
     return model
 
 
-def _noisy(spark, sf_dir):
-    v = verses_of(spark, sf_dir).withColumn("clean", F.substring(F.lower(text.without_spaces("text")), 1, 126))
+def _noisy(spark, sf_dir, most: int | None = None):
+    """Whole lines, or their first characters as the SQL has them."""
+    clean = F.lower(text.without_spaces("text"))
+    v = verses_of(spark, sf_dir).withColumn("clean", clean if most is None else F.substring(clean, 1, most))
     return v.withColumn("noisy", _model(spark).generate("clean", F.concat_ws(":", "doc_id", "line")))
 
 
 @query(NOISED + "SELECT doc_id, line, clean, noisy FROM z")
 def noise_apply(spark, sf_dir):
+    """The first 126 characters, as its SQL; noise_apply_whole has the whole lines."""
+    return _noisy(spark, sf_dir, 126).select(*KEYS, "clean", "noisy")
+
+
+@query()
+def noise_apply_whole(spark, sf_dir):
     return _noisy(spark, sf_dir).select(*KEYS, "clean", "noisy")
 
 
 @query(NOISED + "SELECT doc_id, line, CAST(levenshtein(clean, noisy) AS INTEGER) AS distance, CAST(round(levenshtein(clean, noisy) / CAST(length(clean) AS DOUBLE), 9) AS DOUBLE) AS cer FROM z WHERE regexp_full_match(clean, '[ -~]*')")
 def edit_distance_cer(spark, sf_dir):
-    """Of the lines in ASCII: DuckDB measures bytes."""
-    n = _noisy(spark, sf_dir).where(F.col("clean").rlike("^[ -~]*$"))
+    """Of the first 126 characters of the lines in ASCII, as its SQL (DuckDB measures bytes); edit_distance_cer_whole has all lines."""
+    n = _noisy(spark, sf_dir, 126).where(F.col("clean").rlike("^[ -~]*$"))
     d = F.levenshtein("clean", "noisy")
     return n.select(*KEYS, d.alias("distance"), F.round(d / F.length("clean"), 9).alias("cer"))
 
@@ -368,7 +376,18 @@ t AS (SELECT 'character_distribution' AS kind, ch, CAST(NULL AS VARCHAR) AS key,
 SELECT kind, ch, key, CAST(round(p, 9) AS DOUBLE) AS p FROM t"""
 )
 def noise_learn(spark, sf_dir):
-    v = verses_of(spark, sf_dir).withColumn("clean", F.substring(F.lower(text.without_spaces("text")), 1, 126))
+    """From the first 126 characters, as its SQL; noise_learn_whole learns from whole lines."""
+    return _learned(spark, sf_dir, 126)
+
+
+@query()
+def noise_learn_whole(spark, sf_dir):
+    return _learned(spark, sf_dir)
+
+
+def _learned(spark, sf_dir, most: int | None = None):
+    clean = F.lower(text.without_spaces("text"))
+    v = verses_of(spark, sf_dir).withColumn("clean", clean if most is None else F.substring(clean, 1, most))
     key = F.concat_ws(":", "doc_id", "line")
     # aligned by construction: a deleted character leaves the gap
     chars = F.filter(F.split("clean", ""), lambda c: c != "")
