@@ -59,3 +59,20 @@ def test_projection_reaches_the_end_of_the_line(spark, folder):
     assert max(got[0]) > 150
     rows = {r["line"]: r for r in registry.QUERIES["noisy_scores"](spark, folder).collect()}
     assert len(rows) == len(LINES)
+
+
+def test_edit_distance_of_all_lines(spark, folder):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for i, line in enumerate(LINES):
+        clean, noisy = drawn(i, line)
+        d = distance(clean, "".join(noisy))
+        want[i] = (d, round(d / len(clean), 9))
+    assert {r["line"]: (r["distance"], r["cer"]) for r in registry.QUERIES["edit_distance_cer_whole"](spark, folder).collect()} == want

@@ -363,6 +363,16 @@ def noise_apply_whole(spark, sf_dir):
 def edit_distance_cer(spark, sf_dir):
     """Of the first 126 characters of the lines in ASCII, as its SQL (DuckDB measures bytes); edit_distance_cer_whole has all lines."""
     n = _noisy(spark, sf_dir, 126).where(F.col("clean").rlike("^[ -~]*$"))
+    return _distances(n)
+
+
+@query()
+def edit_distance_cer_whole(spark, sf_dir):
+    """Of all lines, whole; characters are counted, not bytes."""
+    return _distances(_noisy(spark, sf_dir))
+
+
+def _distances(n):
     d = F.levenshtein("clean", "noisy")
     return n.select(*KEYS, d.alias("distance"), F.round(d / F.length("clean"), 9).alias("cer"))
 
