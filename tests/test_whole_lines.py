@@ -1,5 +1,7 @@
 import difflib
 import hashlib
+import itertools
+import math
 
 import pytest
 from conftest import DATA
@@ -76,3 +78,19 @@ def test_edit_distance_of_all_lines(spark, folder):
         d = distance(clean, "".join(noisy))
         want[i] = (d, round(d / len(clean), 9))
     assert {r["line"]: (r["distance"], r["cer"]) for r in registry.QUERIES["edit_distance_cer_whole"](spark, folder).collect()} == want
+
+
+def test_kbest_of_whole_lines(spark, folder):
+    """Short lines by enumeration; long ones by the best labels and the cheapest changes."""
+    got = {}
+    for r in registry.QUERIES["kbest"](spark, folder).collect():
+        got.setdefault(r["line"], {})[r["rank"]] = r["score"]
+    for i, line in enumerate(LINES):
+        p = [(ord(c) % 9 + 1) / 11 for c in "".join(line.split())]
+        if len(p) <= 12:
+            every = sorted((sum(math.log(x if s else 1 - x) for x, s in zip(p, seq, strict=True)) for seq in itertools.product((0, 1), repeat=len(p))), reverse=True)[:3]
+        else:
+            best, loss = sum(math.log(max(x, 1 - x)) for x in p), sorted(abs(math.log(x / (1 - x))) for x in p)
+            every = sorted([best, best - loss[0], best - loss[1], best - loss[0] - loss[1]], reverse=True)[:3]
+        assert [got[i][k] for k in range(3)] == pytest.approx(every, abs=1e-6), i
+    assert sum(len("".join(x.split())) > 126 for x in LINES) >= 2

@@ -313,9 +313,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC
 SELECT doc_id, line, CAST(k - 1 AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r WHERE k <= 3"""
 )
 def kbest_short(spark, sf_dir):
+    """Of the first 8 characters, which its SQL can enumerate; kbest decodes whole lines."""
+    return _kbest(spark, sf_dir, 8)
+
+
+@query()
+def kbest(spark, sf_dir):
+    return _kbest(spark, sf_dir)
+
+
+def _kbest(spark, sf_dir, most: int | None = None):
     v = verses_of(spark, sf_dir)
-    p = F.transform(labels.code_points(F.substring(text.without_spaces("text"), 1, 8)), lambda c: F.array(1 - (c % 9 + 1) / 11.0, (c % 9 + 1) / 11.0))
-    spread = v.select(*KEYS, p.alias("p")).select(*KEYS, F.posexplode(decode.k_best("p", 3)).alias("rank", "b"))
+    plain = text.without_spaces("text")
+    p = F.transform(labels.code_points(plain if most is None else F.substring(plain, 1, most)), lambda c: F.array(1 - (c % 9 + 1) / 11.0, (c % 9 + 1) / 11.0))
+    spread = v.select(*KEYS, p.alias("p")).select(*KEYS, F.posexplode(decode.k_best("p", 3, None)).alias("rank", "b"))
     return spread.select(*KEYS, "rank", F.round("b.score", 9).alias("score"))
 
 
