@@ -322,6 +322,20 @@ def test_language_id(spark):
     assert sum(hits) >= 0.97 * len(hits)
 
 
+def test_language_id_takes_all_declared_languages(spark):
+    """70 languages of letters of their own; the rarest are declared in 6 rows, and half of those texts declare nothing."""
+    rng = random.Random(6)
+    rows = []
+    for lang in range(70):
+        alphabet = [chr(0x4E00 + 40 * lang + i) for i in range(20)]
+        for k in range(12 if lang >= 60 else 16):
+            text = " ".join("".join(rng.choice(alphabet) for _ in range(4)) for _ in range(12))
+            rows.append((len(rows), text, f"l{lang:02d}" if k % 2 else None, f"l{lang:02d}"))
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, declared string")
+    got = {r["doc_id"]: (r["lang"], r["kept"]) for r in language_id.identify(df, Workspace(spark, "t"), "declared").collect()}
+    assert got == {r[0]: (r[3], True) for r in rows}
+
+
 def test_language_id_edges(spark):
     df = docs(spark).withColumn("declared", F.when(F.col("doc_id") < 5, "en")).withColumn("host", F.lit("h"))
     got = [(r["doc_id"], r["lang"], r["kept"]) for r in language_id.identify(df, Workspace(spark, "t"), "declared", "host").collect()]

@@ -20,8 +20,10 @@ from .common import Workspace, maybe_broadcast, texts
 BUCKETS = 1 << 16
 #: The text models are fitted on about so many rows of each declared language (chosen by a hash of the id), the rest on all.
 SAMPLE = 2000
-#: Languages at most, by rows; trigrams that count in full; pseudo-counts of a parent; prior of no known language.
-LANGUAGES, EVIDENCE, SMOOTH, PRIOR_NONE = 64, 100.0, 20.0, 1e-3
+#: Trigrams that count in full; pseudo-counts of a parent; prior of no known language.
+EVIDENCE, SMOOTH, PRIOR_NONE = 100.0, 20.0, 1e-3
+#: Trigrams that are held before they are counted.
+HELD = 1 << 20
 LEAST_POSTERIOR = 0.5
 #: Letters in lower case and bytes of other scripts as they are, everything else a space.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -49,27 +51,40 @@ def markup_language(html: F.Column) -> F.Column:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities of all buckets, from columns doc_id, text, declared."""
-    counts = labelled.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()
+    """All declared languages and their log-probabilities of all buckets, from columns doc_id, text, declared."""
+    counts = labelled.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")).collect()  # one row for each language
     names = sorted(r["declared"] for r in counts)
-    model = np.full((len(names), BUCKETS), 0.05)
+    model = np.empty((len(names), BUCKETS), np.float32)
     if names:
         share = F.create_map(*[F.lit(x) for r in counts for x in (r["declared"], min(1.0, sample / r["n"]))])
         some = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, "declared"), F.lit(0.0)) * (1 << 20))
         place = {x: i for i, x in enumerate(names)}
 
+        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code // BUCKETS, pa.int32()), pa.array(code % BUCKETS, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(place), BUCKETS), np.int64)
+            held, n = [], 0
             for b in batches:
                 for t, d in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                    total[place[d]] += np.bincount(trigrams(t), minlength=BUCKETS)
-            lang, bucket = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
+                    held.append(trigrams(t).astype(np.int64) + place[d] * BUCKETS)
+                    n += len(held[-1])
+                    if n > HELD:
+                        yield counted(held)
+                        held, n = [], 0
+            if n:
+                yield counted(held)
 
         summed = some.select("text", "declared").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        got = summed.toPandas()  # LANGUAGES * BUCKETS rows at most
-        model[got["lang"], got["bucket"]] += got["n"]
-    return names, np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)
+        got = summed.toPandas().sort_values("lang")  # the buckets seen in each language
+        lang, bucket, n = (got[c].to_numpy() for c in ("lang", "bucket", "n"))
+        ends = np.searchsorted(lang, np.arange(len(names) + 1))
+        for i in range(len(names)):
+            row = np.full(BUCKETS, 0.05)
+            row[bucket[ends[i] : ends[i + 1]]] += n[ends[i] : ends[i + 1]]
+            model[i] = np.log(row / row.sum())
+    return names, model
 
 
 def identify(df: DataFrame, work: Workspace, declared: str | F.Column, host: str | F.Column | None = None, address: str | F.Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
