@@ -1,66 +1,5 @@
-"""A corpus pipeline of five operators over documents; each stage's result is written and read as the next one's input."""
+"""The corpus pipeline: language ID, line dedup, MinHash near-dedup, PII, best-fit packing. Stages are in wordloom.llm.pipeline."""
 
-from __future__ import annotations
+from wordloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from wordloom.llm import language_id, line_dedup, minhash, packing, pii
-from wordloom.llm.common import Workspace, maybe_broadcast, table_path
-
-BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-
-
-def _without(docs: DataFrame, decisions: DataFrame, work: Workspace) -> DataFrame:
-    """docs less those whose id was decided against; rows with a null id stay."""
-    gone = work.settle(decisions.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language; lang becomes the language found."""
-    work = Workspace(spark, "pipeline-language")
-    found = work.settle(language_id.identify(docs, work, declared="lang", host="source"), "languages")
-    kept = _without(docs, found, work)
-    other = work.settle(found.where("kept and doc_id is not null and not lang <=> declared").select("doc_id", F.col("lang").alias("found")).dropDuplicates(["doc_id"]), "relabelled")
-    joined = kept.join(maybe_broadcast(other, other.count()), "doc_id", "left")
-    return joined.withColumn("lang", F.coalesce("found", "lang")).select(*docs.columns)
-
-
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated chunks of lines; documents of which nothing is left go; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, Workspace(spark, "pipeline-lines"))
-    out = out.where("removed_lines = '' or text <> ''")
-    return out.withColumn("n_chars", F.when(F.col("removed_lines") == "", F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
-
-
-def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
-    work = Workspace(spark, "pipeline-minhash")
-    return _without(docs, minhash.near_duplicates(docs, work), work)
-
-
-def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; n_chars follows the text."""
-    Workspace(spark, "pipeline-pii")
-    out = pii.redact_pii(docs.withColumn("__before", F.length("text")))
-    return out.withColumn("n_chars", F.when(F.length("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of at most 2048 tokens: a row for each piece."""
-    return packing.pack_documents(docs, Workspace(spark, "pipeline-packing"), BYTE_BPE)
-
-
-STAGES = [("language-id", identify_language), ("line-dedup", dedup_lines), ("minhash-near-dedup", dedup_near), ("pii", redact_pii), ("best-fit-packing", pack)]
-#: Fitted models, hash minima and a genetic search can't be said in SQL; the tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir; returns the last one's rows."""
-    work, docs = Workspace(spark, "pipeline"), spark.read.parquet(table_path(sf_dir, "documents"))
-    for name, stage in STAGES:
-        docs = work.settle(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

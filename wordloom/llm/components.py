@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
-def _star(edges: DataFrame, work: Workspace, small: bool) -> DataFrame:
-    """One half step on distinct edges u > v; gives edges u > v again.
+def _star(edges: DataFrame, work: Workspace, small: bool) -> tuple[DataFrame, DataFrame]:
+    """One half step on distinct edges u > v; gives edges u > v again, and the table of minima it reads.
 
     Large-star sends each neighbour above a node to the least of its neighbourhood, small-star each one below it (and the node
     itself). A node's minimum is aggregated before the shuffle and joined back, so a hub's neighbours never meet in one task:
@@ -19,21 +19,27 @@ def _star(edges: DataFrame, work: Workspace, small: bool) -> DataFrame:
     least = work.settle(sides.groupBy("u").agg(F.min("v").alias("m")), "least")
     if small:
         moved = sides.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-    return sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        return moved.union(least.select("u", F.col("m").alias("v"))).distinct(), least
+    return sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), least
 
 
 def connected_components(edges: DataFrame, work: Workspace, most: int = 60) -> DataFrame:
     """id, component_id (least id reachable) for every id that has an edge.
 
     edges: two integer columns in any order and direction; loops, repeats and null ends are ignored; no edges give no rows.
-    Each half step is a written table. Ends when the edges no longer change: every node then hangs on its component's least id.
+    Each half step is a written table, deleted when the next one is there. Ends when the edges no longer change: every node then
+    hangs on its component's least id.
     """
     a, b = edges.columns[:2]
     start = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where(f"`{a}` is not null and `{b}` is not null and u > v")
     now, before = work.settle(start.distinct(), "edges"), None
     for _ in range(most):
-        now = work.settle(_star(_star(now, work, small=False), work, small=True), "stars")
+        large, seen = _star(now, work, small=False)
+        half = work.settle(large, "half-stars")
+        work.drop(now, seen)
+        small, seen = _star(half, work, small=True)
+        now = work.settle(small, "stars")
+        work.drop(half, seen)
         state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 7))")).first())
         if state == before:
             break

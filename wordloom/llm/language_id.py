@@ -2,8 +2,9 @@
 
 Text: likelihoods of hashed letter trigrams under a model of each language. Declared language, address suffix and host: how
 often each goes with each language, counted by grouped aggregation over all rows. A host's prior is smoothed towards its
-parent (the suffix of the address), and that towards the prior of all rows. A class for no known language, in which all trigrams
-are equally likely, competes with the languages.
+parent (the suffix of the address), and that towards the prior of all rows. What a row itself adds to these counts is taken out
+before it is judged, so its text counts once. A class for no known language, in which all trigrams are equally likely,
+competes with the languages.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.text import let
 from .common import Workspace, maybe_broadcast, texts
 
 BUCKETS = 1 << 16
@@ -41,8 +44,7 @@ def trigrams(text: bytes) -> np.ndarray:
 
 def address_suffix(url: F.Column) -> F.Column:
     """The last label of the host in a URL, in lower case; null without one."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    return F.nullif(F.regexp_extract(host, r"\.?([^.]+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(host_of(url), r"\.?([^.]+)$", 1), F.lit(""))
 
 
 def markup_language(html: F.Column) -> F.Column:
@@ -50,6 +52,16 @@ def markup_language(html: F.Column) -> F.Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)), F.lit(""))
 
 
+def visible_text(html: F.Column) -> F.Column:
+    """A page's text: scripts, styles, comments and tags become spaces."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+
+
+def host_of(url: F.Column) -> F.Column:
+    """The host in a URL, in lower case; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """All declared languages and their log-probabilities of all buckets, from columns doc_id, text, declared."""
     counts = labelled.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")).collect()  # one row for each language
@@ -87,20 +99,24 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return names, model
 
 
-def identify(df: DataFrame, work: Workspace, declared: str | F.Column, host: str | F.Column | None = None, address: str | F.Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, posterior, n_trigrams, declared, kept of each row.
+def identify(df: DataFrame, work: Workspace, declared: str | F.Column, host: str | F.Column | None = None, address: str | F.Column | None = None, id_col: str = "doc_id", text_col: str | F.Column = "text", carry: list[str] = ()) -> DataFrame:
+    """doc_id, lang, posterior, n_trigrams, declared, kept of each row, and the columns named in `carry` (of other names).
 
     kept is false where a row's text holds no letters or no language reaches LEAST_POSTERIOR. Null or empty texts hold no letters
     (lang null). Null evidence of any kind says nothing; ties go to the first language by name; rows repeat as they come.
     Without any declared language in the table nothing can be fitted: all lang are null and nothing is rejected.
     """
     column = lambda c, kind="string": (F.lit(None) if c is None else c if isinstance(c, F.Column) else F.col(c)).cast(kind)
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), column(declared).alias("declared"), column(host).alias("host"), address_suffix(column(address)).alias("suffix"))
+    src = df.select(F.col(id_col).alias("doc_id"), column(text_col).alias("text"), column(declared).alias("declared"), column(host).alias("host"), address_suffix(column(address)).alias("suffix"), *carry)
     kind = src.schema["doc_id"].dataType.simpleString()
     names, model = fit(src.select("doc_id", "text", "declared"))
+    result = ["doc_id", "lang", "posterior", "n_trigrams", "declared", "kept", *carry]
     if not names:
-        return src.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(0).cast("long").alias("n_trigrams"), "declared", F.lit(True).alias("kept"))
-    table = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.T))
+        return src.withColumns({"lang": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "n_trigrams": F.lit(0).cast("long"), "kept": F.lit(True)}).select(*result)
+    table, k = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.T)), len(names)
+    schema = StructType.fromDDL(f"doc_id {kind}, declared string, host string, suffix string, n long, text array<double>")
+    for c in carry:
+        schema = schema.add(c, src.schema[c].dataType)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket = table.value
@@ -109,40 +125,37 @@ def identify(df: DataFrame, work: Workspace, declared: str | F.Column, host: str
             for t in texts(b.column(1)):
                 x = trigrams(t)
                 n.append(len(x))
-                mean = np.zeros(len(names)) if not len(x) else np.bincount(x, minlength=BUCKETS) @ by_bucket / len(x) if len(x) > BUCKETS else by_bucket[x].sum(axis=0, dtype=np.float64) / len(x)
+                mean = np.zeros(k) if not len(x) else np.bincount(x, minlength=BUCKETS) @ by_bucket / len(x) if len(x) > BUCKETS else by_bucket[x].sum(axis=0, dtype=np.float64) / len(x)
                 text.append(mean * min(len(x), EVIDENCE))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in (2, 3, 4)], pa.array(n, pa.int64()), pa.array(text, pa.list_(pa.float64()))], names=["doc_id", "declared", "host", "suffix", "n", "text"])
-
-    scored = work.settle(src.mapInArrow(score, f"doc_id {kind}, declared string, host string, suffix string, n long, text array<double>"), "text-evidence")
-    best = F.array_position("text", F.array_max("text")).cast("int")
-    sure = scored.where("n > 0").select("declared", "host", "suffix", best.alias("best"))
-    counts = work.settle(sure.groupBy("declared", "host", "suffix", "best").agg(F.count("*").alias("n")), "counts")
-    k = len(names)
-    vector = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("best") == i + 1, F.col("n"))), F.lit(0)).cast("double") for i in range(k)]).alias(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in (2, 3, 4)], pa.array(n, pa.int64()), pa.array(text, pa.list_(pa.float64())), *b.columns[5:]], names=schema.names)
+
+    scored = work.settle(src.mapInArrow(score, schema), "text-evidence")
+    # the language of the text alone, where it has letters: from 0, else -1
+    best = F.when(F.col("n") > 0, F.array_position("text", F.array_max("text")).cast("int") - 1).otherwise(-1)
+    scored = scored.withColumn("own", best)
+    counts = work.settle(scored.where("own >= 0").groupBy("declared", "host", "suffix", "own").agg(F.count("*").alias("n")), "counts")
+    vector = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("own") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(k)]).alias(c)
     total = counts.agg(vector("c")).first()["c"]
-    base = [(x + 1) / (sum(total) + k) for x in total]
-    base_col = F.array(*[F.lit(x) for x in base])
+    # counts by declaration, suffix and host, the latter two under their parents
+    said = work.settle(counts.where("declared is not null").groupBy("declared").agg(vector("by_declared")), "declared")
+    suffixes = work.settle(counts.where("suffix is not null").groupBy("suffix").agg(vector("by_suffix")), "suffixes")
+    hosts = work.settle(counts.where("host is not null").groupBy(F.col("host").alias("h"), F.col("suffix").alias("s")).agg(vector("by_host")), "hosts")
+    fused = scored.join(maybe_broadcast(said), "declared", "left").join(maybe_broadcast(suffixes), "suffix", "left")
+    # rows without a host are spread: they match nothing
+    spread = F.coalesce("host", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("doc_id", "n", "text"), F.lit(1024)).cast("string")))
+    fused = fused.join(maybe_broadcast(hosts), (spread == F.col("h")) & F.col("suffix").eqNullSafe(F.col("s")), "left")
+    others = lambda c: F.transform(c, lambda x, i: x - (F.col("own") == i).cast("double"))
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    towards = lambda c, parent: F.zip_with(c, parent, lambda x, p: (x + SMOOTH * p) / (size(c) + SMOOTH))
-    # P(language | suffix), then P(language | host), each smoothed towards what stands above it
-    suffixes = counts.where("suffix is not null").groupBy("suffix").agg(vector("c")).select("suffix", towards(F.col("c"), base_col).alias("suffix_prior"))
-    suffixes = work.settle(suffixes, "suffix-priors")
-    hosts = counts.where("host is not null").groupBy("host", "suffix").agg(vector("c")).join(suffixes.withColumnRenamed("suffix", "s"), F.col("suffix") == F.col("s"), "left").drop("s")
-    hosts = work.settle(hosts.select("host", "suffix", towards(F.col("c"), F.coalesce("suffix_prior", base_col)).alias("host_prior")), "host-priors")
+    towards = lambda c, parent: let(size(c), lambda n: F.zip_with(c, parent, lambda x, p: (x + SMOOTH * p) / (n + SMOOTH)))
+    under = lambda c, parent: F.when(F.col(c).isNull(), parent).otherwise(towards(others(c), parent))
+    fused = fused.withColumn("base", F.transform(others(F.array(*map(F.lit, total))), lambda x: (x + 1) / (F.lit(float(sum(total) + k)) - (F.col("own") >= 0).cast("double"))))
+    fused = fused.withColumn("prior", under("by_host", under("by_suffix", F.col("base"))))
     # P(declared | language) up to a factor: P(language | declared) / P(language)
-    said = counts.where("declared is not null").groupBy("declared").agg(vector("c")).select("declared", F.zip_with(towards(F.col("c"), base_col), base_col, lambda x, p: F.ln(x / p)).alias("said"))
-    said = work.settle(said, "declared-evidence")
-    fused = scored.join(maybe_broadcast(said, said.count()), "declared", "left")
-    fused = fused.join(maybe_broadcast(suffixes, suffixes.count()), "suffix", "left")
-    hosts = hosts.withColumnRenamed("host", "h").withColumnRenamed("suffix", "s")
-    fused = fused.join(maybe_broadcast(hosts, hosts.count()), (F.col("host") == F.col("h")) & F.col("suffix").eqNullSafe(F.col("s")), "left")
-    prior = F.coalesce("host_prior", "suffix_prior", base_col)
-    nothing = F.array_repeat(F.lit(0.0), k)
-    logs = F.zip_with(F.zip_with("text", F.transform(prior, F.ln), lambda x, y: x + y), F.coalesce("said", nothing), lambda x, y: x + y)
+    fused = fused.withColumn("evidence", F.zip_with(under("by_declared", F.col("base")), "base", lambda x, p: x / p))
+    logs = F.zip_with(F.zip_with("text", "prior", lambda x, y: x + F.ln(y)), "evidence", lambda x, y: x + F.ln(y))
     none = F.lit(float(np.log(PRIOR_NONE))) - F.least(F.col("n"), F.lit(EVIDENCE)) * float(np.log(BUCKETS))
-    fused = fused.select("doc_id", "declared", "n", F.concat(F.transform(logs, lambda x: x), F.array(none)).alias("logs"))
-    top = F.array_max("logs")
-    fused = fused.select("*", F.array_position("logs", top).cast("int").alias("at"), (1 / F.aggregate(F.transform("logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)).alias("posterior"))
-    lang = F.when((F.col("n") > 0) & (F.col("at") <= k), F.element_at(F.array(*[F.lit(x) for x in names]), F.least("at", F.lit(k))))
-    fused = fused.select("doc_id", lang.alias("lang"), "posterior", F.col("n").alias("n_trigrams"), "declared")
-    return fused.withColumn("kept", F.col("lang").isNotNull() & (F.col("posterior") >= LEAST_POSTERIOR))
+    fused = fused.withColumn("logs", F.concat(logs, F.array(none))).withColumn("top", F.array_max("logs"))
+    fused = fused.withColumn("at", F.array_position("logs", F.col("top")).cast("int"))
+    fused = fused.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
+    fused = fused.withColumn("lang", F.when((F.col("n") > 0) & (F.col("at") <= k), F.element_at(F.array(*map(F.lit, names)), F.least("at", F.lit(k)))))
+    return fused.withColumn("n_trigrams", F.col("n")).withColumn("kept", F.col("lang").isNotNull() & (F.col("posterior") >= LEAST_POSTERIOR)).select(*result)

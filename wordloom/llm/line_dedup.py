@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, maybe_broadcast, texts
+from .common import Workspace, fresh, maybe_broadcast, texts
 
 #: Least lines and words of a run that may go.
 LEAST_LINES, LEAST_WORDS = 2, 20
@@ -89,11 +89,12 @@ def dedup_lines(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col
     overlap), removed_runs (the same lines as disjoint runs) and n_lines.
 
     The first occurrence is that in the row with the least id, there the topmost; it stays. Rows with a null id give way to any
-    other row and are never first; rows that share an id are treated alike. Null texts stay null, empty ones empty; a document
+    other row and are never first; rows that share id and text are treated alike. Null texts stay null, empty ones empty; a document
     may become empty. Texts of one line never change. Equal hashes of different bytes (never seen) are left alone.
     """
     df = df.drop("removed_lines", "removed_runs", "n_lines")
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # rows are known by id and text: null ids are no group of their own
+    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("k"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch], bodies: bool) -> Iterator[pa.RecordBatch]:
@@ -105,20 +106,20 @@ def dedup_lines(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col
                     who.append(i)
                     found.append((h, b"\n".join(lines[a:e])) if bodies else (h,))
             cols = [pa.array(x, pa.binary()) for x in zip(*found, strict=True)] or [pa.array([], pa.binary())] * (1 + bodies)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), *cols], names=["doc_id", "hash", "body"][: 2 + bodies])
+            who = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), *cols], names=["doc_id", "k", "hash", "body"][: 3 + bodies])
 
-    marked = work.settle(src.mapInArrow(lambda it: mark(it, False), f"doc_id {kind}, hash binary"), "chunks")
-    often = work.settle(marked.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated")
-    n = often.count()
-    bodies = src.mapInArrow(lambda it: mark(it, True), f"doc_id {kind}, hash binary, body binary").join(maybe_broadcast(often, n), "hash")
+    marked = work.settle(src.mapInArrow(lambda it: mark(it, False), f"doc_id {kind}, k long, hash binary"), "chunks")
+    often = maybe_broadcast(work.settle(marked.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated"))
+    bodies = src.mapInArrow(lambda it: mark(it, True), f"doc_id {kind}, k long, hash binary, body binary").drop("k").join(often, "hash")
     equal = work.settle(bodies.groupBy("hash", "body").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).select("hash", "first", "n"), "compared")
     firsts = equal.groupBy("hash").agg(F.max("first").alias("first"), F.count("*").alias("bodies")).where("bodies = 1 and first is not null")
     firsts = work.settle(firsts.select("hash", "first"), "firsts")
-    gone = work.settle(marked.join(maybe_broadcast(firsts, n), "hash").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "hash").distinct(), "removed")
-    rows = gone.count()
-    lists = maybe_broadcast(gone.groupBy("doc_id").agg(F.collect_list("hash").alias("__gone")).withColumnRenamed("doc_id", "__doc"), rows)
-    names = df.columns
-    joined = df.join(lists, F.col(id_col).eqNullSafe(F.col("__doc")), "left").select(*[F.col(f"`{c}`") for c in names], "__gone")
+    gone = work.settle(marked.join(maybe_broadcast(firsts), "hash").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "k", "hash").distinct(), "removed")
+    work.drop(marked, equal)
+    names, listed, doc, k = df.columns, fresh(df, "gone"), fresh(df, "doc"), fresh(df, "key")
+    lists = maybe_broadcast(gone.groupBy(F.col("doc_id").alias(doc), F.col("k").alias(k)).agg(F.collect_list("hash").alias(listed)))
+    joined = df.join(lists, F.col(f"`{id_col}`").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(k)), "left").select(*[F.col(f"`{c}`") for c in names], listed)
     at = names.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

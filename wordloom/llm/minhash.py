@@ -1,10 +1,11 @@
 """Near-duplicate documents by MinHash: universal hash minima, banding, verification and connected components.
 
 Every distinct shingle set gets HASHES minima of multiply-add-shift hash functions (Dietzfelbinger) and BANDS band keys.
-Two sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS; at 0.8 they miss each other once in 300,000.
-Within a band all members are compared with the least one first, which joins groups of copies of any size in linear work;
-components of those links show which bands still hold members of several components, and only there all members of
-different components are compared, in blocks. Links are confirmed on the full sets.
+Two sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS; at 0.8 they miss each other once in 2,500,000, and
+the cut on agreeing minima drops less than one pair in 10^8 more. Within a band all members are compared with the least one
+first, which joins groups of copies of any size in linear work; components of those links show which bands still hold members
+of several components. Only there members of different components are compared, by signature and in blocks, each pair in the
+first band it shares; the largest component of a band meets only the others. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
-from .common import Workspace, maybe_broadcast, texts
+from .common import Workspace, grouped_tables, maybe_broadcast, texts
 from .components import connected_components
 
-ROWS, BANDS = 4, 24
+ROWS, BANDS = 4, 28
 HASHES = ROWS * BANDS
-#: Pairs whose signatures agree less are not looked at again: four standard deviations under 0.8.
-LEAST_AGREEING = 0.8 - 4 * (0.8 * 0.2 / HASHES) ** 0.5
-#: Documents and shingles of a block at most; a task compares two blocks.
-BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: Pairs whose signatures agree in fewer minima are not looked at again: 7 standard deviations under a similarity of 0.8.
+LEAST_AGREEING = 60 / HASHES
+#: Documents and shingles of a block, about; a group of rows that is compared holds two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 4_000_000
 REMEMBERED = 400_000
 
 U64 = np.uint64
@@ -85,9 +86,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sketch(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes, null for empty sets), sig, bands of each row."""
-    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def sketch(df: DataFrame, size: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """doc_id, n_shingles, set_key (16 bytes, null for empty sets), sig, bands of each row, and the columns to carry."""
+    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    names = ["doc_id", "n_shingles", "set_key", "sig", "bands", *carry]
+    schema = StructType.fromDDL("doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    for c in carry:
+        schema = schema.add(c, src.schema[c].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -100,9 +105,9 @@ def sketch(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
                 key.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 sig.append(s.tobytes() if len(x) else None)
                 bands.append(band_keys(s) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *batch.columns[2:]], names=names)
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return src.mapInArrow(run, schema)
 
 
 @F.pandas_udf(DoubleType())
@@ -115,18 +120,19 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _full_sets(ids: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, id_col: str, text_col: str) -> DataFrame:
-    """id, members of the given ids: their full shingle sets, from the whole texts."""
-    ids = work.settle(ids.distinct(), "wanted")
-    wanted = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(maybe_broadcast(ids, ids.count()), "id", "left_semi")
+    """id, members of the given nodes: their full shingle sets, from the whole texts."""
+    named = work.settle(nodes.select("id", "rep", "set_key").join(maybe_broadcast(work.settle(ids.distinct(), "wanted")), "id", "left_semi"), "named")
+    reps = maybe_broadcast(named.select(F.col("rep").alias("doc")).distinct())
+    wanted = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(reps, "doc", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             got = [shingles(t, size, known) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in got], pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())], names=["id", "set_key", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in got], pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())], names=["rep", "set_key", "members"])
 
-    full = work.settle(wanted.mapInArrow(sets, "id long, set_key binary, members binary"), "sets")
-    return full.join(nodes.select("id", "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "members")
+    full = work.settle(wanted.mapInArrow(sets, "rep long, set_key binary, members binary"), "sets")
+    return full.join(named, ["rep", "set_key"]).select("id", "members").dropDuplicates(["id"])
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -153,97 +159,127 @@ def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace,
     return work.settle(joined.select("a", "b", "ma", "mb").mapInArrow(confirm, "a long, b long"), "links")
 
 
+class Group:
+    """The rows of one band that one task compares: two blocks, or one with itself."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        column = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        self.ids, self.n, self.component, self.percent = column("id"), column("n_shingles"), column("component"), percent
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
+        self.number, second = int(column("number")[0]), column("second")
+        self.across = bool(column("x")[0] != column("y")[0])
+        self.left = np.flatnonzero(~second)
+        self.right = np.flatnonzero(second) if self.across else self.left
+
+    def candidates(self, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of the first block those it must be compared with, the most agreeing first."""
+        for k in self.left:
+            r = self.right[(root[self.right] != root[k]) & (100 * np.minimum(self.n[self.right], self.n[k]) >= self.percent * np.maximum(self.n[self.right], self.n[k]))]
+            if not self.across:
+                r = r[self.ids[r] > self.ids[k]]
+            same = self.sig[r] == self.sig[k]
+            agree = same.mean(axis=(1, 2))
+            r, same, agree = (x[agree >= LEAST_AGREEING] for x in (r, same, agree))
+            first = same.all(axis=2).argmax(axis=1) == self.number
+            yield k, r[first][np.argsort(-agree[first], kind="stable")]
+
+
 def _mixed_links(members: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
-    """Links that join different components met in one band: (a, b), enough of them to show what is connected.
+    """Links between different components met in one band: their components (a, b), enough of them to show what is connected.
 
-    members: band, id, component. Bands with several components are merged into families, so that a document is compared in one
-    place. A family's documents are dealt to blocks bounded in number and in shingles; a task gets two blocks, passes over
-    what is already connected, and confirms what the signatures let through on the full sets.
+    members: band, number, id, component. The largest component of a band is dealt to blocks that meet only the blocks of the
+    others. Tasks compare the signatures of two blocks and name the rows that have a partner; only these get their full sets.
     """
-    spans = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least")).where("lo <> hi")
-    mixed = work.settle(members.join(work.settle(spans.select("band", "least"), "mixed-bands"), "band").select("id", "component", "least").distinct(), "mixed")
+    spans = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    mixed = members.join(maybe_broadcast(work.settle(spans, "mixed-bands")), "band").join(nodes.select("id", "sig", "n_shingles"), "id")
+    mixed = work.settle(mixed, "mixed")
     if not mixed.take(1):
         return None
-    family = connected_components(mixed.where("id <> least").select("id", "least"), work).withColumnRenamed("component_id", "family")
-    rows = work.settle(mixed.select("id", "component").distinct().join(family, "id"), "families").join(nodes.select("id", "sig", "n_shingles"), "id")
-    sizes = rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(work.settle(sizes, "family-sizes"), "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    full = _full_sets(rows.select("id"), nodes, df, work, size, id_col, text_col)
-    rows = rows.join(full, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("family", "id", "component", "sig", "n_shingles", "members", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, t in runs(batches, ["family", "x", "y"]):
-            ids, n = t.column("id").to_numpy(), t.column("n_shingles").to_numpy()
-            _, root = np.unique(t.column("component").to_numpy(), return_inverse=True)
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), HASHES)
+    parties = mixed.groupBy("band", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    parties = parties.groupBy("band").agg(F.max(F.struct("m", "s", "component")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    parties = parties.select("band", F.col("top.component").alias("party"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("rest"), blocks(F.col("top.m"), F.col("top.s")).alias("more"))
+    rows = mixed.join(maybe_broadcast(work.settle(parties, "parties")), "band")
+    within = F.col("component") == F.col("party")
+    dealt = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    rows = rows.withColumn("mine", F.when(within, F.col("rest") + dealt(5, "more")).otherwise(dealt(3, "rest")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(within, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1)))
+    rows = rows.select("band", "number", "id", "component", "sig", "n_shingles", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
+    by = ["band", "x", "y"]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Group]]:
+        for t, begin in grouped_tables(batches, by, 2 * BLOCK):
+            for lo, hi in zip(begin, [*begin[1:], t.num_rows], strict=True):
+                if hi - lo > 1:
+                    yield (part := t.slice(lo, hi - lo)), Group(part, percent)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g in groups(batches):
+            active = np.zeros(len(g.ids), bool)
+            for k, r in g.candidates(g.component):
+                active[r] = True
+                active[k] |= len(r) > 0
+            if active.any():
+                yield from t.filter(pa.array(active)).combine_chunks().to_batches()
+
+    active = work.settle(rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(meet, rows.schema), "active")
+    if not active.take(1):
+        return None
+    full = _full_sets(active.select("id"), nodes, df, work, size, id_col, text_col)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g in groups(batches):
             sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
-            second = t.column("second").to_numpy(zero_copy_only=False)
-            left = np.flatnonzero(~second)
-            right = np.flatnonzero(second) if group[1] != group[2] else left
+            _, root = np.unique(g.component, return_inverse=True)
             a, b = [], []
-            for k in left:
-                r = right[(root[right] != root[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
-                if group[1] == group[2]:
-                    r = r[ids[r] > ids[k]]
-                agree = (sig[r] == sig[k]).mean(axis=1)
-                order = np.argsort(-agree, kind="stable")
-                for j in r[order[agree[order] >= LEAST_AGREEING]]:
+            for k, r in g.candidates(root):
+                for j in r:
                     if root[j] != root[k] and similar(sets[k], sets[j], percent):
-                        a.append(ids[k])
-                        b.append(ids[j])
+                        a.append(g.component[k])
+                        b.append(g.component[j])
                         root[root == root[j]] = root[k]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
-    return work.settle(dealt.mapInArrow(compare, "a long, b long"), "mixed-links")
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """The groups of rows with equal keys in a stream sorted by them."""
-    held: list[pa.RecordBatch] = []
-    current = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            key = tuple(c[lo] for c in cols)
-            if key != current and held:
-                yield current, pa.Table.from_batches(held).combine_chunks()
-                held = []
-            current = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield current, pa.Table.from_batches(held).combine_chunks()
-
-
-def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    whole = active.join(full, "id").repartition(*by).sortWithinPartitions(*by)
+    return work.settle(whole.mapInArrow(confirm, "a long, b long"), "mixed-links")
+
+
+def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row: the components of documents with similar sets of word shingles.
 
     A set holds the distinct shingles of `size` words, or the whole sequence where there are fewer; documents without words have
     empty sets and link with nothing. Links have 100 * intersection >= percent * union. kept: doc_id is the least of its
-    component. Rows with a null id are returned unlinked, component null, kept. Rows that repeat an id count as one document
-    (of texts that differ under one id, one set is searched). Other columns are left out.
+    component. Rows with a null id are returned unlinked, component null, kept. Rows that repeat an id are judged each by its own
+    text. Other columns are left out but those named in `carry`, which must not bear the names of the result.
     """
-    table = work.settle(sketch(df, size, id_col, text_col), "sketches")
-    filled = table.where("set_key is not null and doc_id is not null")
-    classes = work.settle(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = filled.join(classes, (filled.set_key == classes.set_key) & (filled.doc_id == classes.rep), "left_semi")
-    nodes = work.settle(nodes.select(F.col("doc_id").alias("id"), "set_key", "n_shingles", "sig", "bands").dropDuplicates(["id"]), "nodes")
-
-    member = nodes.select("id", F.explode("bands").alias("band"))
+    carry = list(carry)
+    table = work.settle(sketch(df, size, id_col, text_col, carry), "sketches")
+    searched = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
+    filled = table.where(searched).select("doc_id", "set_key", "n_shingles", "sig", "bands")
+    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = work.settle(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "rep"), "classes")
+    nodes = filled.withColumnRenamed("doc_id", "rep").join(classes, ["set_key", "rep"])
+    nodes = work.settle(nodes.select("id", "rep", "set_key", "n_shingles", "sig", "bands").dropDuplicates(["id"]), "nodes")
+
+    member = nodes.select("id", F.posexplode("bands").alias("number", "band"))
     leaders = work.settle(member.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"), "leaders")
-    shared = work.settle(member.join(leaders, "band").select("band", "a", "id"), "shared-bands")
+    shared = work.settle(member.join(leaders, "band").select("band", "number", "a", "id"), "shared-bands")
     stars = work.settle(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
     links = _verify(stars, nodes, df, work, size, percent, id_col, text_col)
+    work.drop(stars)
     parts = connected_components(links, work)
-    labelled = shared.select("band", "id").join(parts, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("component"))
-    rest = _mixed_links(work.settle(labelled, "labelled"), nodes, df, work, size, percent, id_col, text_col)
+    labelled = work.settle(shared.select("band", "number", "id").join(parts, "id", "left").select("band", "number", "id", F.coalesce("component_id", "id").alias("component")), "labelled")
+    work.drop(shared)
+    rest = _mixed_links(labelled, nodes, df, work, size, percent, id_col, text_col)
+    work.drop(labelled)
+    joined = classes.join(parts, "id", "left").select("id", "set_key", "rep", F.coalesce("component_id", "id").alias("component"))
     if rest is not None and rest.take(1):
-        parts = connected_components(links.union(rest), work)
-    # ids of one class, and classes of one id, belong together
-    out = table.join(classes, "set_key", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        more = connected_components(rest, work).select(F.col("id").alias("component"), F.col("component_id").alias("whole"))
+        joined = joined.join(more, "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    joined = work.settle(joined.select("set_key", "rep", "component"), "components")
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = work.settle(joined.join(least, "component").select("set_key", "component_id"), "named-classes")
+    columns = ["doc_id", "n_shingles", "component_id", *carry]
+    out = table.where(searched).select("doc_id", "n_shingles", "set_key", *carry).join(named, "set_key").select(*columns)
+    out = out.unionByName(table.where(~searched).withColumn("component_id", F.col("doc_id")).select(*columns))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *carry)

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, language_id, line_dedup, minhash, packing, pii, spherical, token_counts, vamana, warc
-from .common import Workspace, table_path
+from . import pipeline as stages
+from .common import Workspace, bound_batches, table_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 
@@ -24,7 +26,6 @@ def op1_spherical_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Workspace(spark, "op2")
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
@@ -47,12 +48,10 @@ def op7_vamana_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Workspace(spark, "op4")
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Workspace(spark, "op8")
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
@@ -64,14 +63,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), Workspace(spark, "op10"), BYTE_BPE)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and what op6 gives, over pages, which have markup, addresses and hosts."""
+    html, url = F.col("html"), F.col("url")
+    found = language_id.identify(_table(spark, sf_dir, "pages"), Workspace(spark, "op6-pages"), language_id.markup_language(html), language_id.host_of(url), url, "page_id", language_id.visible_text(html))
+    return found.withColumnRenamed("doc_id", "page_id")
+
 
-    return corpus_pipeline.run(spark, sf_dir)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_spherical_near_dedup, op2_skip_chain_pii, op3_warc_round_trip, op4_bpe_round_trip, op5_line_dedup, op6_language_id, op7_vamana_neighbours, op8_token_counts, op9_minhash_near_dedup, op10_best_fit_packing, pipeline)
+    named = (op1_spherical_near_dedup, op2_skip_chain_pii, op3_warc_round_trip, op4_bpe_round_trip, op5_line_dedup, op6_language_id, op7_vamana_neighbours, op8_token_counts, op9_minhash_near_dedup, op10_best_fit_packing, language_id_pages, pipeline)
     return {f.__name__: f for f in named}
 
 

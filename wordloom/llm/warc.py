@@ -25,7 +25,7 @@ def with_record_types(pages: DataFrame, work: Workspace, least_bytes: int = 1000
     hashed = payload.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
     groups = hashed.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("whole"), F.count("*").alias("n")).where("n > 1 and whole is not null")
     groups = work.settle(groups.select("digest", "whole"), "equal-payloads")
-    joined = hashed.join(maybe_broadcast(groups, groups.count()), "digest", "left")
+    joined = hashed.join(maybe_broadcast(groups), "digest", "left")
     return joined.select("page_id", "url", "payload", "digest", F.when((F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("whole")), F.col("whole")).alias("refers_to"))
 
 
@@ -81,8 +81,10 @@ def _reachable(candidates: DataFrame, work: Workspace) -> DataFrame:
         n, k = now, k + 1
         reached = marks.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))
         target = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("further"))
+        before = marks, jumps
         marks = work.settle(marks.union(reached.join(nodes, ["file", "at"], "left_semi")).distinct(), f"marks-{k}")
         jumps = work.settle(jumps.join(target, ["file", "to"]).select("file", "at", F.col("further").alias("to")), f"jumps-{k}")
+        work.drop(*[t for t in before if t is not nodes])
     return marks
 
 
@@ -102,22 +104,28 @@ def read_archives(spark, path: str, work: Workspace) -> DataFrame:
         "file", "block", "seq", "bytes", "head", "length", field("warc-type").alias("kind"), field("warc-record-id").alias("id"), field("warc-refers-to").alias("refers"), F.nullif(field("warc-target-uri"), F.lit("")).alias("url"), http.alias("http"),
         whole.alias("whole"), F.when(whole, F.struct(F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))).alias("payload"),
     )
-    parts = work.settle(parts, "candidates")
+    # files by number: paths are long, and every candidate names its file
+    parts = work.settle(parts, "named-candidates")
+    files = work.settle(parts.select("file").distinct().select("file", F.monotonically_increasing_id().alias("number")), "files")
+    numbered = lambda rows: rows.join(maybe_broadcast(files), "file").withColumn("file", F.col("number")).drop("number")
+    named, parts = parts, work.settle(numbered(parts), "candidates")
+    work.drop(named)
     # offsets: sums of lengths within a block, then over the blocks of a file
     step, in_block = F.col("bytes") + len(MAGIC), Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     blocks = parts.groupBy("file", "block").agg(F.sum(step).alias("size"))
     before = F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = work.settle(blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("base")), "blocks")
-    placed = parts.withColumn("inner", F.coalesce(F.sum(step).over(in_block), F.lit(0))).join(maybe_broadcast(blocks, blocks.count()), ["file", "block"])
+    placed = parts.withColumn("inner", F.coalesce(F.sum(step).over(in_block), F.lit(0))).join(maybe_broadcast(blocks), ["file", "block"])
     placed = placed.withColumn("at", F.col("base") + F.col("inner") - len(MAGIC)).drop("base", "inner")
     placed = work.settle(placed.withColumn("next", F.col("at") + len(MAGIC) + F.col("head") + 4 + F.col("length") + len(END)), "placed")
+    work.drop(parts)
     true = work.settle(placed.where("next is not null").join(_reachable(placed.where("at >= 0 and next is not null"), work), ["file", "at"], "left_semi"), "records")
     good = true.where("whole").select("id", "url", "kind", "refers", "payload.digest", "payload.size")
     broken = true.where("not whole").select("file", "at", "next", "head", "length", "id", "url", "kind", "refers", "http")
     if broken.take(1):  # payloads that hold the magic: put together what was taken apart
         spans = broken.select("file", F.col("at").alias("from"), "next")
         pieces = placed.select("file", "block", "seq", "at").join(spans, "file").where("at >= from and at < next").select("file", "block", "seq", "at", "from")
-        values = _segments(spark, path).join(work.settle(pieces, "pieces"), ["file", "block", "seq"])
+        values = numbered(_segments(spark, path)).join(work.settle(pieces, "pieces"), ["file", "block", "seq"])
         text = values.groupBy("file", "from").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value")).withColumnRenamed("from", "at")
         block = F.substring(F.col("value").cast("binary"), F.col("head") + 5, F.col("length").cast("int"))
         put = broken.join(text, ["file", "at"]).select("id", "url", "kind", "refers", _parse(block, F.col("http")).alias("payload"))
@@ -125,9 +133,12 @@ def read_archives(spark, path: str, work: Workspace) -> DataFrame:
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
     records = work.settle(good.select(number("id").alias("page_id"), "url", "kind", number("refers").alias("refers_to"), "digest", "size"), "payloads")
     named = work.settle(records.where("kind = 'response' and page_id is not null").join(records.where("kind = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi").groupBy("page_id").agg(F.min("digest").alias("whole_digest"), F.min("size").alias("whole_size")), "referred")
-    out = records.join(named.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
-    revisit = F.col("kind") == "revisit"
-    return out.select("page_id", "url", F.when(revisit, F.col("whole_size")).otherwise(F.col("size")).alias("payload_bytes"), F.when(revisit, F.col("whole_digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    plain = records.withColumn("payload_bytes", F.col("size")).withColumn("payload_digest", F.col("digest")).withColumn("record_type", F.col("kind"))
+    # only revisits look up what they refer to: the others would all meet under the null
+    visits = records.where("kind = 'revisit'").join(maybe_broadcast(named.withColumnRenamed("page_id", "refers_to")), "refers_to", "left")
+    visits = visits.select("page_id", "url", F.col("whole_size").alias("payload_bytes"), F.col("whole_digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+    return plain.where("kind is null or kind <> 'revisit'").select(*columns).unionByName(visits.select(*columns))
 
 
 def round_trip(pages: DataFrame, work: Workspace, least_bytes: int = 1000) -> DataFrame:
