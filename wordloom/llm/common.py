@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringTy
 
 #: Rows of an Arrow batch that programs set; a batch of the longest documents must fit a Python worker.
 BATCH_ROWS = 1000
+#: Rows of ids and numbers that one task writes, where their number is known.
+ROWS_PER_TASK = 20_000
 #: Measured bytes up to which a table may be broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -48,8 +50,14 @@ class Workspace:
         self.n += 1
         return f"{self.dir}/{self.n:03d}-{name}"
 
-    def settle(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back: cuts the lineage, survives the loss of executors."""
+    def settle(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write df as Parquet and read it back: cuts the lineage, survives the loss of executors.
+
+        With a bound on its rows, df is written by one task for every ROWS_PER_TASK of them where that is less than a shuffle has.
+        Give it for aggregations only: a task that merges many partitions of a sort would hold all their buffers.
+        """
+        if rows is not None and (tasks := max(4, -(-rows // ROWS_PER_TASK))) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
         df.write.parquet(path := self.path(name))
         out = self.spark.read.schema(df.schema).parquet(path)
         out.settled_at = path

@@ -121,7 +121,8 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _full_sets(ids: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, id_col: str, text_col: str) -> DataFrame:
     """id, members of the given nodes: their full shingle sets, from the whole texts."""
-    named = work.settle(nodes.select("id", "rep", "set_key").join(maybe_broadcast(work.settle(ids.distinct(), "wanted")), "id", "left_semi"), "named")
+    n = nodes.count()
+    named = work.settle(nodes.select("id", "rep", "set_key").join(maybe_broadcast(work.settle(ids.distinct(), "wanted", n)), "id", "left_semi"), "named")
     reps = maybe_broadcast(named.select(F.col("rep").alias("doc")).distinct())
     wanted = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(reps, "doc", "left_semi")
 
@@ -191,7 +192,8 @@ def _mixed_links(members: DataFrame, nodes: DataFrame, df: DataFrame, work: Work
     others. Tasks compare the signatures of two blocks and name the rows that have a partner; only these get their full sets.
     """
     spans = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    mixed = members.join(maybe_broadcast(work.settle(spans, "mixed-bands")), "band").join(nodes.select("id", "sig", "n_shingles"), "id")
+    n = nodes.count()
+    mixed = members.join(maybe_broadcast(work.settle(spans, "mixed-bands", n)), "band").join(nodes.select("id", "sig", "n_shingles"), "id")
     mixed = work.settle(mixed, "mixed")
     if not mixed.take(1):
         return None
@@ -199,7 +201,7 @@ def _mixed_links(members: DataFrame, nodes: DataFrame, df: DataFrame, work: Work
     parties = parties.groupBy("band").agg(F.max(F.struct("m", "s", "component")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
     blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
     parties = parties.select("band", F.col("top.component").alias("party"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("rest"), blocks(F.col("top.m"), F.col("top.s")).alias("more"))
-    rows = mixed.join(maybe_broadcast(work.settle(parties, "parties")), "band")
+    rows = mixed.join(maybe_broadcast(work.settle(parties, "parties", n)), "band")
     within = F.col("component") == F.col("party")
     dealt = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     rows = rows.withColumn("mine", F.when(within, F.col("rest") + dealt(5, "more")).otherwise(dealt(3, "rest")))
@@ -257,29 +259,30 @@ def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int
     searched = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
     filled = table.where(searched).select("doc_id", "set_key", "n_shingles", "sig", "bands")
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = work.settle(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "rep"), "classes")
-    nodes = filled.withColumnRenamed("doc_id", "rep").join(classes, ["set_key", "rep"])
+    n = table.count()
+    classes = work.settle(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "rep"), "classes", n)
+    nodes = filled.withColumnRenamed("doc_id", "rep").join(maybe_broadcast(classes), ["set_key", "rep"])
     nodes = work.settle(nodes.select("id", "rep", "set_key", "n_shingles", "sig", "bands").dropDuplicates(["id"]), "nodes")
 
     member = nodes.select("id", F.posexplode("bands").alias("number", "band"))
-    leaders = work.settle(member.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"), "leaders")
+    leaders = work.settle(member.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"), "leaders", 4 * n)
     shared = work.settle(member.join(leaders, "band").select("band", "number", "a", "id"), "shared-bands")
-    stars = work.settle(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
+    stars = work.settle(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "star-pairs", n)
     links = _verify(stars, nodes, df, work, size, percent, id_col, text_col)
     work.drop(stars)
     parts = connected_components(links, work)
-    labelled = work.settle(shared.select("band", "number", "id").join(parts, "id", "left").select("band", "number", "id", F.coalesce("component_id", "id").alias("component")), "labelled")
+    labelled = work.settle(shared.select("band", "number", "id").join(maybe_broadcast(parts), "id", "left").select("band", "number", "id", F.coalesce("component_id", "id").alias("component")), "labelled")
     work.drop(shared)
     rest = _mixed_links(labelled, nodes, df, work, size, percent, id_col, text_col)
     work.drop(labelled)
-    joined = classes.join(parts, "id", "left").select("id", "set_key", "rep", F.coalesce("component_id", "id").alias("component"))
+    joined = classes.join(maybe_broadcast(parts), "id", "left").select("id", "set_key", "rep", F.coalesce("component_id", "id").alias("component"))
     if rest is not None and rest.take(1):
         more = connected_components(rest, work).select(F.col("id").alias("component"), F.col("component_id").alias("whole"))
-        joined = joined.join(more, "component", "left").withColumn("component", F.coalesce("whole", "component"))
+        joined = joined.join(maybe_broadcast(more), "component", "left").withColumn("component", F.coalesce("whole", "component"))
     joined = work.settle(joined.select("set_key", "rep", "component"), "components")
-    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = work.settle(joined.join(least, "component").select("set_key", "component_id"), "named-classes")
+    least = work.settle(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "least-ids", n)
+    named = work.settle(joined.join(maybe_broadcast(least), "component").select("set_key", "component_id"), "named-classes")
     columns = ["doc_id", "n_shingles", "component_id", *carry]
-    out = table.where(searched).select("doc_id", "n_shingles", "set_key", *carry).join(named, "set_key").select(*columns)
+    out = table.where(searched).select("doc_id", "n_shingles", "set_key", *carry).join(maybe_broadcast(named), "set_key").select(*columns)
     out = out.unionByName(table.where(~searched).withColumn("component_id", F.col("doc_id")).select(*columns))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *carry)
