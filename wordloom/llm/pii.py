@@ -1,15 +1,24 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns give the base spans. The field labels the tokens that could be personal data (those with a digit or an @): a linear
-chain over adjacent ones, and skip edges between distant ones that repeat each other or are similar (the same digits at the end,
-the same name before an @), which share a potential for equal labels. Labels of base spans are observed; loopy belief propagation
-carries them through each document, so that a repeated number or name is labelled even where its form fits no pattern. The field
-is fitted by pseudo-likelihood on the base spans of a bounded sample.
+Patterns give the base spans. The field labels the tokens that could be personal data (those with a digit, an @ or a sign that
+stands for either): a linear chain over adjacent ones, and skip edges between distant ones that repeat each other or are similar
+(equal text, the same last digits, the same name before an @, the same four numbers), which share potentials for equal labels.
+Labels of base spans are observed; loopy belief propagation carries them through each document until the messages settle, so a
+number or name that comes back in a form which fits no pattern is labelled too. Every document with such tokens is labelled,
+whether it has base spans or not.
+
+The field is fitted by pseudo-likelihood on whole documents of a bounded sample, given their base spans. As these documents
+seldom say what the field has to learn, each gets spans of its own again in other forms, with their labels, and numbers of the
+same forms that repeat nothing, without.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import pickle
+import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,11 +32,14 @@ from .common import texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
-#: Hashed features; about so many rows are sampled to fit on; steps of fitting and of propagation; least belief of an added span.
-FEATURES, SAMPLE, STEPS, ROUNDS, LEAST_BELIEF = 1 << 12, 20_000, 120, 8, 0.9
-
-#: The skip potential is at least this: repeats are rare in the sample, and base spans seldom repeat under another form.
-LEAST_SKIP = 10.0
+#: Ways in which tokens are alike, each with a skip potential for each label.
+ALIKE = ("text", "digits", "masked", "name", "numbers")
+#: Hashed features; about so many rows are sampled to fit on; steps and decay of fitting; least belief of an added span.
+FEATURES, SAMPLE, STEPS, DECAY, LEAST_BELIEF = 1 << 12, 20_000, 300, 0.03, 0.5
+#: Propagation ends when no message moves by more than this, or after so many rounds (then with what it has).
+SETTLED, ROUNDS = 1e-4, 200
+#: Tokens of a number that is written in parts.
+PARTS = 5
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,8 +47,10 @@ DIGIT = re.compile("[0-9]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SIGN = re.compile("[0-9@]")
-WHITE = re.compile(r"\s")
+SIGN = re.compile(r"[0-9@]|[\[(]at[\])]|[*•]{3}", re.IGNORECASE)
+TOKEN = re.compile(r"""[^\s,;|<>"]+""")
+AT = re.compile(r"@|[\[(]at[\])]", re.IGNORECASE)
+MASK = re.compile(r"[*•]{2,}|[xX]{2,}")
 
 Span = tuple[str, int, int]
 
@@ -91,188 +105,256 @@ def joined(spans: list[Span]) -> str:
 # ---- the field
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """Places of the white-space parted tokens that hold a digit or an @."""
-    out, m = [], SIGN.search(text)
-    while m:
-        a = m.start()
-        floor = out[-1][1] if out else 0
-        while a > floor and not text[a - 1].isspace():
-            a -= 1
-        stop = WHITE.search(text, m.end())
-        out.append((a, stop.start() if stop else len(text)))
-        m = SIGN.search(text, out[-1][1])
-    return out
-
-
-def shape(s: str) -> str:
-    """Digits as 9, letters as a, each run of letters once; cut after 24 signs."""
-    return re.sub("a+", "a", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in s[:64]))[:24]
-
-
 def core(s: str) -> tuple[int, int]:
     """The token without punctuation around it."""
     a, b = 0, len(s)
-    while a < b and not (s[a].isalnum() or s[a] == "+" or s[a] == "(" and ")" in s):
+    while a < b and not (s[a].isalnum() or s[a] in "+*•" or s[a] == "(" and ")" in s):
         a += 1
-    while b > a and not (s[b - 1].isalnum() or s[b - 1] == ")" and "(" in s[a:b]):
+    while b > a and not (s[b - 1].isalnum() or s[b - 1] in "*•" or s[b - 1] == ")" and "(" in s[a:b]):
         b -= 1
     return a, b
 
 
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Places of the tokens that could be personal data."""
+    if not SIGN.search(text):
+        return []
+    found = ((m.start(), m.group()) for m in TOKEN.finditer(text))
+    return [(at + a, at + b) for at, s in found if SIGN.search(s) for a, b in [core(s)] if a < b]
+
+
+def shape(s: str) -> str:
+    """Runs of digits by their length, letters as a, each run once."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", lambda m: f"9{min(len(m.group()), 20)}", s))
+
+
+def keys_of(s: str) -> Iterator[tuple[int, str]]:
+    """What other tokens must have in common with this one to be alike, and in which way."""
+    d, low = only_digits(s), s.lower()
+    if sum(map(str.isalnum, s)) >= 5:
+        yield 0, low
+    if len(d) >= 7:
+        yield 1, d[-7:]
+    if MASK.search(s) and len(d) >= 3 or len(d) >= 9:
+        yield 2, d[-4:]
+    if m := AT.search(s):
+        low = low[: m.start()]
+    if len(low) >= 4 and any(c.isalpha() for c in low):
+        yield 3, low
+    numbers = re.findall("[0-9]+", s)
+    if len(numbers) == 4 and all(len(x) <= 3 for x in numbers):
+        yield 4, ".".join(numbers)
+        yield 4, ".".join(numbers[:3]) + ".*"
+    elif len(numbers) == 3 and all(len(x) <= 3 for x in numbers) and re.search("[xX*]$", s):
+        yield 4, ".".join(numbers) + ".*"
+
+
+def _alike(a: str, b: str, way: int) -> bool:
+    """Tokens alike in a masked way must differ in being masked: four last digits of two whole numbers mean nothing."""
+    return way != 2 or bool(MASK.search(a)) != bool(MASK.search(b))
+
+
 class Graph:
-    """A document's tokens, features, observed labels and edges."""
+    """A document's tokens, features, observed labels (-1: none), chain edges and skip edges with their ways."""
 
     def __init__(self, text: str, spans: list[Span]):
-        self.places = [(a + c[0], a + c[1]) for a, b in tokens(text) if (c := core(text[a:b]))[0] < c[1]]
+        self.places = tokens(text)
         n = len(self.places)
         self.observed = np.full(n, -1)
-        self.labels = np.zeros(n, np.int64)
         order = sorted((a, b, 1 + KINDS.index(k)) for k, a, b in spans)
-        j = 0
+        reach = list(itertools.accumulate((b for _, b, _ in order), max))
         for i, (a, b) in enumerate(self.places):
-            while j < len(order) and order[j][1] <= a:
-                j += 1
-            for s, e, k in order[j : j + 4]:
-                if s < b and a < e:
-                    self.observed[i] = self.labels[i] = k
+            j = bisect.bisect_right(reach, a)  # nothing before this ends beyond a
+            while j < len(order) and order[j][0] < b:
+                if order[j][1] > a:
+                    self.observed[i] = order[j][2]
                     break
+                j += 1
+        words = [text[a:b] for a, b in self.places]
         self.features = [self._features(text, i) for i in range(n)]
-        self.chain = [(i, i + 1) for i in range(n - 1) if text[self.places[i][1] : self.places[i + 1][0]].strip(" ().,;:-") == "" and self.places[i + 1][0] - self.places[i][1] <= 8]
-        alike: dict[str, list[int]] = defaultdict(list)
-        for i, (a, b) in enumerate(self.places):
-            for key in self._keys(text[a:b]):
+        gap = lambda i: text[self.places[i][1] : self.places[i + 1][0]]
+        near = [self.places[i + 1][0] - self.places[i][1] <= 8 and not gap(i).strip(" ().,;:-") for i in range(n - 1)]
+        self.chain = [i for i in range(n - 1) if near[i]]
+        alike: dict[tuple[int, str], list[int]] = defaultdict(list)
+        for i, s in enumerate(words):
+            for key in keys_of(s):
                 alike[key].append(i)
-        # the parts of one number that stand in a row repeat as a whole
-        for k, a, b in spans:
-            if k in ("card", "phone"):
-                first = next((i for i, p in enumerate(self.places) if p[0] < b and a < p[1]), None)
-                if first is not None and len(d := only_digits(text[a:b])) >= 7:
-                    alike["#" + d[-7:]].append(first)
-        near = set(self.chain)
-        self.skip = sorted({(min(p, q), max(p, q)) for v in alike.values() for p, q in [*zip(v, v[1:], strict=False), *((v[0], x) for x in v[1:])] if p != q} - near)
-
-    def _keys(self, s: str) -> set[str]:
-        d, low = only_digits(s), s.lower()
-        keys = {"=" + low} if sum(map(str.isalnum, s)) >= 5 else set()
-        if len(d) >= 7:
-            keys.add("#" + d[-7:])
-        if "@" in low:
-            low = low.partition("@")[0]
-        if len(low) >= 5 and any(c.isdigit() for c in low) and any(c.isalpha() for c in low):
-            keys.add("@" + low)
-        return keys
+            # a number in parts is alike as a whole
+            digits, j = only_digits(s), i
+            while j + 1 < n and near[j] and j + 1 - i < PARTS:
+                j += 1
+                digits += only_digits(words[j])
+                if len(digits) >= 7:
+                    for k in range(i, j + 1):
+                        alike[1, digits[-7:]].append(k)
+                    if len(digits) >= 9:
+                        alike[2, digits[-4:]].append(j)
+        chained = {(i, i + 1) for i in self.chain}
+        pairs: set[tuple[int, int, int]] = set()
+        for (way, _), v in alike.items():
+            v = sorted(set(v))
+            for p, q in [*zip(v, v[1:], strict=False), *((v[0], x) for x in v[2:])]:
+                if (p, q) not in chained and _alike(words[p], words[q], way):
+                    pairs.add((p, q, way))
+        self.skip = sorted(pairs)
 
     def _features(self, text: str, i: int) -> list[int]:
         a, b = self.places[i]
         s, d = text[a:b], len(only_digits(text[a:b]))
         before, after = text[max(0, a - 24) : a].split(), text[b : b + 24].split()
-        names = ["1", "s" + shape(s), f"d{min(d, 20)}", f"l{min(b - a, 40) // 4}", f"@{s.count('@')}", f".{min(s.count('.'), 4)}", "+" if s[0] == "+" or text[max(0, a - 1) : a] == "+" else "-", "p" + (shape(before[-1]) if before else ""), "n" + (shape(after[0]) if after else "")]
+        names = ["1", "s" + shape(s), f"d{min(d, 20)}", f"l{min(b - a, 40) // 4}", f"@{bool(AT.search(s))}", f".{min(s.count('.'), 4)}", f"m{bool(MASK.search(s))}", "+" if s[0] == "+" else "-", "p" + (shape(before[-1]) if before else ""), "n" + (shape(after[0]) if after else "")]
         return [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=4).digest(), "little") % FEATURES for x in names]
 
 
-def fit(graphs: list[Graph]) -> dict[str, np.ndarray]:
-    """Unary weights, chain and skip potentials by pseudo-likelihood on base labels (AdaGrad on full batches)."""
-    w, chain, skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(1)
-    at, graphs = 0, [g for g in graphs if g.places]
-    feats, y, left, right, sa, sb = [], [], [], [], [], []
-    for g in graphs:
-        feats += g.features
-        y += g.labels.tolist()
-        left += [i + at for i, _ in g.chain]
-        right += [j + at for _, j in g.chain]
-        sa += [i + at for i, _ in g.skip]
-        sb += [j + at for _, j in g.skip]
-        at += len(g.places)
-    if not at:
-        w[:, 0] = 1.0  # nothing to learn from: only what repeats an observed token can be labelled
-        return {"w": w, "chain": chain, "skip": np.array([LEAST_SKIP])}
-    feats, y, left, right, sa, sb = (np.array(v, np.int64) for v in (feats, y, left, right, sa, sb))
-    one, steps = np.eye(LABELS), [np.full(v.shape, 1e-6) for v in (w, chain, skip)]
-    same = np.zeros((at, LABELS))
-    np.add.at(same, sa, one[y[sb]])
-    np.add.at(same, sb, one[y[sa]])
+# ---- what the field is fitted on
+
+
+def other_forms(kind: str, s: str, rng: random.Random) -> str:
+    """A span in a form that fits no pattern."""
+    d = only_digits(s)
+    if kind == "email":
+        name, _, domain = s.partition("@")
+        return rng.choice([f"{name}[at]{domain}", f"{name}(at){domain}", f"{name}[AT]{domain.replace('.', '[dot]')}", f"{name}@{domain.split('.')[0]}"])
+    if kind == "ip":
+        p = s.split(".")
+        return rng.choice(["-".join(p), "[.]".join(p), "(.)".join(p), ".".join(p[:3]) + ".x", ".".join(p[:3]) + ".*"])
+    if kind == "card":
+        return rng.choice([".".join(d[k : k + 4] for k in range(0, len(d), 4)), "/".join(d[k : k + 4] for k in range(0, len(d), 4)), "*" * (len(d) - 4) + d[-4:], "XXXX-XXXX-XXXX-" + d[-4:]])
+    d = d[-10:]
+    return rng.choice([f"{d[:-7]}-{d[-7:-4]}-{d[-4:]}", f"{d[:-7]}.{d[-7:-4]}.{d[-4:]}", f"{d[:-7]} {d[-7:-4]} {d[-4:]}", d, f"***-***-{d[-4:]}"])
+
+
+def another(kind: str, s: str, rng: random.Random) -> str:
+    """As s in form, with other digits and another name."""
+    if kind == "email":
+        return f"{''.join(rng.choices('abcdefghijklmnoprstuw', k=6))}.{rng.randint(1, 99)}@{s.partition('@')[2]}"
+    if kind == "ip":
+        return ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    return "".join(str(rng.randint(0, 9)) if "0" <= c <= "9" else c for c in s)
+
+
+def with_other_forms(text: str, rng: random.Random) -> tuple[str, list[Span], list[Span]]:
+    """The text with some of its base spans again in other forms and about as many numbers that repeat nothing; the new places of
+    the former with their kinds, and of the latter."""
+    base, blanks = base_spans(text), [m.start() for m in re.finditer(" ", text)]
+    put = []
+    for kind, a, b in base:
+        if rng.random() < 0.5 and blanks:
+            put.append((rng.choice(blanks), other_forms(kind, text[a:b], rng), kind, True))
+        if rng.random() < 0.5 and blanks:
+            put.append((rng.choice(blanks), other_forms(kind, another(kind, text[a:b], rng), rng), kind, False))
+    out, at, length, spans = [], 0, 0, ([], [])
+    for place, s, kind, same in sorted(put):
+        out += [text[at:place], " ", s]
+        length += place - at + 1
+        spans[not same].append((kind, length, length + len(s)))
+        length, at = length + len(s), place
+    return "".join([*out, text[at:]]), *spans
+
+
+def example(text: str) -> dict[str, np.ndarray]:
+    """A whole document as what `fit` takes: features, labels, which tokens are judged, edges."""
+    text, planted, _ = with_other_forms(text, random.Random(hashlib.blake2b(text.encode("utf-8", "replace")).digest()))
+    base = base_spans(text)
+    g, truth = Graph(text, base), Graph(text, [*base, *planted])
+    return {"features": np.array(g.features, np.int32).reshape(len(g.places), -1), "labels": np.maximum(truth.observed, 0), "judged": g.observed < 0, "chain": np.array(g.chain, np.int32), "skip": np.array(g.skip, np.int32).reshape(-1, 3)}
+
+
+def fit(examples: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Unary weights, chain and skip potentials by pseudo-likelihood of the judged tokens (AdaGrad on full batches)."""
+    w, chain, skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((len(ALIKE), LABELS))
+    examples = [e for e in examples if len(e["labels"])]
+    if not examples:
+        w[:, 0] = 1.0  # nothing to learn from: nothing is added
+        return {"w": w, "chain": chain, "skip": skip}
+    at = np.cumsum([0, *(len(e["labels"]) for e in examples)])
+    feats, y, judged = (np.concatenate([e[k] for e in examples]) for k in ("features", "labels", "judged"))
+    left = np.concatenate([e["chain"] + o for e, o in zip(examples, at, strict=False)]).astype(np.int64)
+    sa, sb = (np.concatenate([e["skip"][:, k] + o for e, o in zip(examples, at, strict=False)]).astype(np.int64) for k in (0, 1))
+    way, one, n = np.concatenate([e["skip"][:, 2] for e in examples]).astype(np.int64), np.eye(LABELS), int(at[-1])
+    same = np.zeros((len(ALIKE), n, LABELS))  # neighbours of each label over skip edges
+    np.add.at(same, (way, sa), one[y[sb]])
+    np.add.at(same, (way, sb), one[y[sa]])
+    total = [np.full(v.shape, 1e-6) for v in (w, chain, skip)]
+    flat = feats.ravel()
     for _ in range(STEPS):
-        s = w[feats].sum(axis=1) + skip * same
-        np.add.at(s, right, chain[y[left]])
-        np.add.at(s, left, chain[:, y[right]].T)
+        s = w[feats].sum(axis=1) + (skip[:, None, :] * same).sum(axis=0)
+        np.add.at(s, left + 1, chain[y[left]])
+        np.add.at(s, left, chain[:, y[left + 1]].T)
         p = np.exp(s - s.max(axis=1, keepdims=True))
-        g = one[y] - p / p.sum(axis=1, keepdims=True)
-        gw, gc = np.zeros_like(w), np.zeros_like(chain)
-        np.add.at(gw, feats.ravel(), np.repeat(g, feats.shape[1], axis=0))
-        np.add.at(gc, y[left], g[right])
-        np.add.at(gc.T, y[right], g[left])
-        for v, grad, total in zip((w, chain, skip), (gw - 0.1 * w, gc - 0.1 * chain, np.array([(g * same).sum()]) - 0.1 * skip), steps, strict=True):
-            total += grad * grad
-            v += 0.5 * grad / np.sqrt(total)
-    return {"w": w, "chain": chain, "skip": np.maximum(skip, LEAST_SKIP)}
+        g = (one[y] - p / p.sum(axis=1, keepdims=True)) * judged[:, None]
+        gw = np.stack([np.bincount(flat, np.repeat(g[:, k], feats.shape[1]), FEATURES) for k in range(LABELS)], axis=1)
+        gc = np.zeros_like(chain)
+        np.add.at(gc, y[left], g[left + 1])
+        np.add.at(gc.T, y[left + 1], g[left])
+        for v, grad, sums in zip((w, chain, skip), (gw - DECAY * w, gc - DECAY * chain, (same * g).sum(axis=1) - DECAY * skip), total, strict=True):
+            sums += grad * grad
+            v += 0.5 * grad / np.sqrt(sums)
+    return {"w": w, "chain": chain, "skip": skip}
+
+
+# ---- inference
 
 
 def beliefs(g: Graph, model: dict[str, np.ndarray]) -> np.ndarray:
     """Marginals of each token's labels by loopy belief propagation; observed labels are certain."""
-    n = len(g.places)
     logs = model["w"][np.array(g.features, np.int64)].sum(axis=1)
     seen = g.observed >= 0
     logs[seen] = -50.0
     logs[seen, g.observed[seen]] = 0.0
-    edges = np.array([*g.chain, *g.skip], np.int64).reshape(-1, 2)
-    pot = np.concatenate([np.repeat(model["chain"][None], len(g.chain), 0), np.repeat((np.eye(LABELS) * model["skip"])[None], len(g.skip), 0)])
+    # tokens that are alike in several ways share one edge with the sum of the potentials
+    joined_by: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros(LABELS))
+    for p, q, way in g.skip:
+        joined_by[p, q] = joined_by[p, q] + model["skip"][way]
+    edges = np.array([*((i, i + 1) for i in g.chain), *joined_by], np.int64).reshape(-1, 2)
+    pot = np.concatenate([np.repeat(model["chain"][None], len(g.chain), 0), np.array([np.diag(x) for x in joined_by.values()]).reshape(-1, LABELS, LABELS)])
     a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     pot, back = np.concatenate([pot, pot.transpose(0, 2, 1)]), np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(a), LABELS))
+    sums = lambda: logs + np.stack([np.bincount(b, message[:, k], len(logs)) for k in range(LABELS)], axis=1)
     for _ in range(ROUNDS if len(a) else 0):
-        total = logs.copy()
-        np.add.at(total, b, message)
-        out = (total[a] - message[back])[:, :, None] + pot
+        out = (sums()[a] - message[back])[:, :, None] + pot
         top = out.max(axis=1)
         new = top + np.log(np.exp(out - top[:, None]).sum(axis=1))
-        message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
-    total = logs
-    if len(a):
-        np.add.at(total, b, message)
+        new = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+        moved, message = np.abs(new - message).max(), new
+        if moved < SETTLED:
+            break
+    total = sums() if len(a) else logs
     p = np.exp(total - total.max(axis=1, keepdims=True))
-    assert len(p) == n
     return p / p.sum(axis=1, keepdims=True)
 
 
 def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray]) -> list[Span]:
-    """What the field labels beside the base spans: only tokens tied to an observed one by a path of edges."""
-    if not base:
-        return []
+    """What the field labels beside the base spans; adjacent tokens of one label are one span."""
     g = Graph(text, base)
-    if not (g.chain or g.skip) or (g.observed >= 0).all():
+    if not g.places or (g.observed >= 0).all():
         return []
     p = beliefs(g, model)
     best = p.argmax(axis=1)
-    tied = g.observed > 0
-    for _ in range(ROUNDS):
-        grown = tied.copy()
-        for i, j in g.skip:
-            grown[i] |= tied[j]
-            grown[j] |= tied[i]
-        if (grown == tied).all():
-            break
-        tied = grown
-    return [(KINDS[best[i] - 1], *g.places[i]) for i in np.flatnonzero((g.observed < 0) & (best > 0) & tied & (p[np.arange(len(p)), best] >= LEAST_BELIEF))]
+    good = (g.observed < 0) & (best > 0) & (p[np.arange(len(p)), best] >= LEAST_BELIEF)
+    chained, out = set(g.chain), []
+    for i in np.flatnonzero(good):
+        kind, (a, b) = KINDS[best[i] - 1], g.places[i]
+        if out and i and good[i - 1] and best[i - 1] == best[i] and i - 1 in chained:
+            out[-1] = kind, out[-1][1], b
+        else:
+            out.append((kind, a, b))
+    return out
 
 
 def fit_on(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Fit on about `sample` rows, chosen by a hash of the text; only those with a base span reach the driver."""
+    """Fit on about `sample` whole documents, chosen by a hash of the text; the driver gets their tokens' features and edges."""
     n = df.count()
     some = df.select(F.col(text_col).cast("string").alias("text")).where("text is not null").where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < min(1.0, sample / max(n, 1)) * (1 << 20))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in texts(b.column(0)):
-                text = t.decode("utf-8", "replace")
-                base = base_spans(text)  # the surroundings of spans and of some other tokens are what the field learns from
-                for s, e in [x[1:] for x in base[:8]] + ([] if base else tokens(text)[:4]):
-                    out.append(text[max(0, s - 200) : e + 200])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
+            found = (example(t) for t in (x.decode("utf-8", "replace") for x in texts(b.column(0))) if SIGN.search(t))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(e) for e in found if len(e["labels"])], pa.binary())], names=["example"])
 
-    near = some.mapInArrow(take, "text string").orderBy(F.xxhash64("text"), "text").limit(sample).toPandas()["text"]
-    return fit([Graph(t, base_spans(t)) for t in near])
+    got = some.mapInArrow(take, "example binary").toPandas()["example"]
+    return fit([pickle.loads(x) for x in sorted(got)])
 
 
 def by_kind(spans: list[Span]) -> list[Span]:
@@ -329,7 +411,8 @@ def redact_pii(df: DataFrame, model: dict[str, np.ndarray] | None = None, text_c
                 if t is not None:
                     text = t.decode("utf-8", "replace")
                     base = base_spans(text)
-                    t = redact(text, base + added_spans(text, base, shared.value)).encode() if base else t
+                    found = base + added_spans(text, base, shared.value)
+                    t = redact(text, found).encode() if found else t
                 out.append(t)
             new = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(len(names))], names=names)
