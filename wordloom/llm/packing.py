@@ -2,13 +2,16 @@
 
 Pieces shorter than a sequence are dealt to islands of a few thousand. An island's individuals are whole packings; their
 genes are bins. Crossover injects a partner's well-filled bins, drops the bins that now hold a piece twice, and puts the
-displaced pieces back by best fit. After the first round every island sends the length patterns of its best bins to the
+displaced pieces back: first in exchange for smaller ones where a bin gets fuller by it, the rest by best fit. Where best-fit
+decreasing meets the lower bound, it is proven that no packing is better, and no generation is run. After the first round every island sends the length patterns of its best bins to the
 next one, which builds the same bins from its own pieces and goes on evolving. The few badly filled bins that each island
 ends with are dissolved and packed again by islands of the next level, until one island is left.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 import os
 import random
@@ -29,7 +32,9 @@ from .common import Workspace, texts
 
 CAPACITY = 2048
 #: Pieces of an island; individuals and generations of a round; bin patterns that migrate.
-ISLAND, POPULATION, GENERATIONS, MIGRANTS = 4096, 6, 8, 64
+ISLAND, POPULATION, GENERATIONS, MIGRANTS = 4096, 12, 30, 64
+#: Generations without a better best after which a round ends.
+PATIENCE = 10
 #: Bins under this fill are packed again at the next level: at most so many pieces of an island, so many islands together.
 WELL_FILLED, LEFT_OVER, FAN_IN = 0.995, 256, 16
 
@@ -147,8 +152,54 @@ def fitness(p: Packing, capacity: int) -> tuple[int, float]:
     return -len(p[0]), sum((f / capacity) ** 2 for f in p[1])
 
 
-def inject(into: Packing, genes: list[list[int]], size: list[int], capacity: int) -> Packing:
-    """A packing with all bins of genes: bins that share an item with them go, what they held is put back by best fit."""
+def exchange(free: list[int], size: list[int], bins: list[list[int]], fill: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Swap free items for one or two smaller ones of a bin where one or two free ones fill it better; the items free afterwards."""
+    loose = sorted((size[i], i) for i in free)
+    order = list(range(len(bins)))
+    rng.shuffle(order)
+    for b in order:
+        slack = capacity - fill[b]
+        if not slack or not loose:
+            continue
+        held = bins[b]
+        best = 0, None, None
+        for out in [(), *((x,) for x in held), *itertools.combinations(held, 2)]:
+            gone = sum(size[x] for x in out)
+            at = bisect.bisect_right(loose, (gone + slack, 1 << 62)) - 1
+            if at < 0:
+                continue
+            if (gain := loose[at][0] - gone) > best[0]:
+                best = gain, out, (at,)
+            # two free ones: the largest that leaves room, and what fits beside it
+            for first in range(at, max(at - 3, 0), -1):
+                second = min(first, bisect.bisect_right(loose, (gone + slack - loose[first][0], 1 << 62))) - 1
+                if second >= 0 and (gain := loose[first][0] + loose[second][0] - gone) > best[0]:
+                    best = gain, out, (first, second)
+            if best[0] == slack:
+                break
+        gain, out, taken = best
+        if gain:
+            bins[b] = [x for x in held if x not in out] + [loose[k][1] for k in taken]
+            fill[b] += gain
+            for k in taken:  # the larger place first
+                del loose[k]
+            for x in out:
+                bisect.insort(loose, (size[x], x))
+    return [i for _, i in loose]
+
+
+def refill(free: list[int], size: list[int], bins: list[list[int]], fill: list[int], capacity: int, rng: random.Random) -> None:
+    """Put free items into a packing: exchanges while they help, then best fit, largest first."""
+    for _ in range(2):
+        before = sum(size[i] for i in free)
+        free = exchange(free, size, bins, fill, capacity, rng)
+        if sum(size[i] for i in free) == before:
+            break
+    best_fit(sorted(free, key=lambda i: (-size[i], i)), size, bins, fill, capacity)
+
+
+def inject(into: Packing, genes: list[list[int]], size: list[int], capacity: int, rng: random.Random) -> Packing:
+    """A packing with all bins of genes: bins that share an item with them go, what they held is put back."""
     taken = {i for g in genes for i in g}
     bins, displaced = [list(g) for g in genes], []
     for b in into[0]:
@@ -157,7 +208,7 @@ def inject(into: Packing, genes: list[list[int]], size: list[int], capacity: int
         else:
             displaced += [i for i in b if i not in taken]
     fill = [sum(size[i] for i in b) for b in bins]
-    best_fit(sorted(displaced, key=lambda i: (-size[i], i)), size, bins, fill, capacity)
+    refill(displaced, size, bins, fill, capacity, rng)
     return bins, fill
 
 
@@ -174,40 +225,42 @@ def from_patterns(patterns: list[tuple[int, ...]], size: list[int], capacity: in
     return out
 
 
-def evolve(size: list[int], capacity: int, seed: int, elite: Packing | None = None, migrants: list[tuple[int, ...]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
-    """The best packing found; never worse than best-fit decreasing or the elite."""
+def evolve(size: list[int], capacity: int, seed: int, elite: Packing | None = None, migrants: list[tuple[int, ...]] = (), population: int = POPULATION, generations: int = GENERATIONS, log: list[int] | None = None) -> Packing:
+    """The best packing found; never worse than best-fit decreasing or the elite. log gets the best count of each generation."""
     rng, n, bound = random.Random(seed), len(size), lower_bound(size, capacity)
+    key = lambda p: fitness(p, capacity)
     order = sorted(range(n), key=lambda i: (-size[i], i))
-    people: list[Packing] = [elite] if elite else []
     bins, fill = [], []
     best_fit(order, size, bins, fill, capacity)
-    people.append((bins, fill))
-    if migrants:
-        people.append(inject(people[0], from_patterns(list(migrants), size, capacity), size, capacity))
-    key = lambda p: fitness(p, capacity)
+    people: list[Packing] = [*([elite] if elite else []), (bins, fill)]
     if len(max(people, key=key)[0]) > bound:
+        if migrants:
+            people.append(inject(people[0], from_patterns(list(migrants), size, capacity), size, capacity, rng))
         while len(people) < population:  # decreasing order, shaken
             bins, fill = [], []
             best_fit(sorted(order, key=lambda i: -size[i] * rng.uniform(0.8, 1.25)), size, bins, fill, capacity)
             people.append((bins, fill))
     people.sort(key=key, reverse=True)
+    best, since = key(people[0]), 0
     for _ in range(generations):
-        if len(people[0][0]) <= bound:
+        if len(people[0][0]) <= bound or since >= PATIENCE:
             break
         children = []
         for _ in range(max(1, len(people) // 2)):
             a, b = (min(rng.sample(range(len(people)), 2)) for _ in range(2))
             full = sorted(range(len(people[b][0])), key=lambda k: -people[b][1][k])
-            genes = [people[b][0][k] for k in full[: max(1, int(len(full) * rng.uniform(0.2, 0.5)))]]
-            child = inject(people[a], genes, size, capacity)
-            worst = sorted(range(len(child[0])), key=lambda k: child[1][k])[: max(2, len(child[0]) // 20)]  # mutation: the emptiest bins go
-            gone = set(worst)
-            kept = [k for k in range(len(child[0])) if k not in gone]
-            bins, fill = [child[0][k] for k in kept], [child[1][k] for k in kept]
-            free = [i for k in worst for i in child[0][k]]
-            best_fit(sorted(free, key=lambda i: -size[i] * rng.uniform(0.9, 1.1)), size, bins, fill, capacity)
+            genes = [people[b][0][k] for k in full[: max(1, int(len(full) * rng.uniform(0.05, 0.4)))]]
+            bins, fill = inject(people[a], genes, size, capacity, rng)
+            # mutation: the emptiest bins and some others go
+            gone = set(sorted(range(len(bins)), key=lambda k: fill[k])[: max(2, len(bins) // 40)]) | set(rng.sample(range(len(bins)), max(1, len(bins) // 60)))
+            free = [i for k in gone for i in bins[k]]
+            bins, fill = [bins[k] for k in range(len(bins)) if k not in gone], [fill[k] for k in range(len(bins)) if k not in gone]
+            refill(free, size, bins, fill, capacity, rng)
             children.append((bins, fill))
         people = sorted([*people, *children], key=key, reverse=True)[:population]
+        best, since = max(best, key(people[0])), 0 if key(people[0]) > best else since + 1
+        if log is not None:
+            log.append(len(people[0][0]))
     return people[0]
 
 
@@ -280,7 +333,7 @@ def pack(pieces_df: DataFrame, work: Workspace, capacity: int = CAPACITY, island
             sent = work.settle(sent.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands))), f"migrants-{level}")
             done = work.settle(done.groupBy("island").cogroup(sent.groupBy("island")).applyInPandas(next_round, schema), f"elites-{level}")
         last = islands == 1
-        # bins of islands: numbers 4 * x + level % 3; sequences that stand alone: 4 * x + 3
+        # even numbers for bins of islands, 4 * x + 3 for sequences that stand alone
         number = (F.lit(level).cast("long") * (1 << 56) + F.col("island") * (1 << 20) + F.col("bin")) * 4
         stay = done if last else done.where(~F.col("leaves"))
         finished.append(stay.select(*cols, number.alias("sequence_id"), "offset"))
