@@ -115,6 +115,18 @@ def test_nearest(spark, n):
     assert set(got) == set(range(0, n, 2))
 
 
+def test_nearest_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.1], 0), (3, [0.0, 2.0], 0), (3, [0.0, 2.0], 0)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 6)) for r in vamana.nearest(spark.createDataFrame(rows, SCHEMA), Workspace(spark, "t"), F.col("vec_id") < 3).collect()}
+    assert got[1, 1] == (3, 1.0) and got[2, 1] == (1, round(1 / np.sqrt(1.01), 6)) and set(got) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_nearest_over_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vamana, "SHARD", 100)
+    monkeypatch.setattr(vamana, "QUERIES", 64)
+    test_nearest(spark, 900)
+
+
 def test_nearest_of_nothing(spark):
     assert vamana.nearest(spark.createDataFrame(BAD[:5], SCHEMA), Workspace(spark, "t"), F.lit(True)).count() == 0
     assert vamana.nearest(spark.createDataFrame([], SCHEMA), Workspace(spark, "t"), F.lit(True)).count() == 0

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours on sharded, robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards of bounded size. Each shard's graph is built by inserting batches: a greedy search from
-the entry point proposes neighbours, pruning with a relaxed distance keeps near but diverse ones, and edges back are pruned
-the same way. Queries visit every shard in blocks by beam search; what all shards find is scored exactly and merged.
+Distinct vectors are dealt to shards as large as a task holds. Each shard's graph is built by inserting batches: a greedy search
+from the entry point proposes neighbours, pruning with a relaxed distance keeps near but diverse ones, and edges back are pruned
+the same way. Queries visit every shard by beam search, in blocks so large that the search takes far longer than the copy of the
+shard's index that each block reads; what all shards find is scored exactly and merged.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 from .spherical import unit_rows, valid_vector
 
-#: Vectors of a shard, edges of a node, beam width, slack of pruning, queries of a block.
-SHARD, DEGREE, BEAM, ALPHA, QUERIES = 4096, 24, 80, 1.2, 4096
+#: Vectors of a shard, edges of a node, beam widths of building and of searching, slack of pruning, queries of a block.
+SHARD, DEGREE, BUILD, BEAM, ALPHA, QUERIES = 16_384, 32, 64, 160, 1.2, 32_768
 LOCKSTEP = 256
 
 
@@ -77,7 +78,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: in
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
+def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
     """Edges (-1: none) of each unit row, and the entry point: the row nearest to the mean."""
     n = len(x)
     entry = int((x @ x.mean(axis=0)).argmax())
@@ -114,8 +115,9 @@ def nearest(df: DataFrame, work: Workspace, queries: F.Column, k: int = 5, id_co
 
     Score: cosine in double precision on the original vectors; ties go to the smaller id. Null, zero, null-holding and non-finite
     vectors and null ids take no part; only vectors of equal length are compared. Equal vectors stand in the index once with
-    their k + 1 least ids, which is all that a result can show of them. With fewer candidates than k all are returned. Repeated
-    query rows give one answer. Other columns are left out.
+    their k + 1 least ids, which is all that a result can show of them. With fewer candidates than k all are returned. A query id
+    on several rows gives one answer, that of its least vector; a vec_id on several rows scores as its nearest. Other columns are
+    left out; empty input gives an empty result.
     """
     src = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))
     src = src.where(valid_vector("embedding") & F.col("vec_id").isNotNull())
@@ -124,7 +126,7 @@ def nearest(df: DataFrame, work: Workspace, queries: F.Column, k: int = 5, id_co
     w = Window.partitionBy("embedding", "salt").orderBy("vec_id")
     few = src.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).dropDuplicates(["embedding", "vec_id"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     classes = few.groupBy("embedding").agg(ids(F.collect_list("vec_id")).alias("ids"))
-    classes = work.settle(classes.select(F.size("embedding").alias("dim"), F.col("ids")[0].alias("id"), "ids", "embedding"), "classes")
+    classes = work.settle(classes.select(F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("id"), "ids", "embedding"), "classes")
     sizes = {r["dim"]: max(1, -(-r["n"] // SHARD)) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each length
     if not sizes:
         return src.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -138,7 +140,7 @@ def nearest(df: DataFrame, work: Workspace, queries: F.Column, k: int = 5, id_co
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "index": [pickle.dumps((pdf["id"].to_numpy(), raw, graph.astype(np.int16 if len(raw) < 2**15 else np.int32), entry))]})
 
     index = work.settle(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, index binary"), "index")
-    asked = src.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "embedding", F.size("embedding").alias("dim"))
+    asked = src.where(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", "embedding", F.size("embedding").alias("dim"))
     asked = work.settle(asked, "queries")
     blocks = -(-asked.count() // QUERIES) or 1
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
@@ -168,8 +170,11 @@ def nearest(df: DataFrame, work: Workspace, queries: F.Column, k: int = 5, id_co
         return pd.concat(out)
 
     hits = index_all.groupBy("dim", "shard", "block").cogroup(asked_all.groupBy("dim", "shard", "block")).applyInPandas(search, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    # classes by their least id where they tie
+    least = classes.select("id", F.col("ids")[0].alias("least"), "ids")
+    hits = hits.join(least, "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "least", "id")
     hits = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
-    named = hits.join(classes.select("id", "dim", "ids").dropDuplicates(["id"]), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    named = hits.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
