@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructType
 
 from .common import Workspace, grouped_tables, maybe_broadcast, texts
 from .components import connected_components
@@ -110,12 +110,18 @@ def sketch(df: DataFrame, size: int, id_col: str, text_col: str, carry: list[str
     return src.mapInArrow(run, schema)
 
 
+@F.pandas_udf(BinaryType())
+def last_bytes(sig: pd.Series) -> pd.Series:
+    """The lowest byte of each minimum: equal minima agree in it, others once in 256."""
+    return pd.Series([np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in sig], dtype=object)
+
+
 @F.pandas_udf(DoubleType())
 def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of equal minima."""
+    """The share of minima with equal last bytes."""
     if not len(a):
         return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), HASHES) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), HASHES) for s in (a, b))
     return pd.Series((x == y).mean(axis=1))
 
 
@@ -145,7 +151,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    signed = pairs.join(nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
+    brief = nodes.select("id", "n_shingles", last_bytes("sig").alias("sig"))
+    signed = pairs.join(brief.toDF("a", "n_a", "sig_a"), "a").join(brief.toDF("b", "n_b", "sig_b"), "b")
     close = signed.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(agreeing("sig_a", "sig_b") >= LEAST_AGREEING)
     close = work.settle(close.select("a", "b"), "close")
     full = _full_sets(close.select(F.col("a").alias("id")).union(close.select("b")), nodes, df, work, size, id_col, text_col)
@@ -257,12 +264,11 @@ def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int
     carry = list(carry)
     table = work.settle(sketch(df, size, id_col, text_col, carry), "sketches")
     searched = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
-    filled = table.where(searched).select("doc_id", "set_key", "n_shingles", "sig", "bands")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    n = table.count()
-    classes = work.settle(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "rep"), "classes", n)
-    nodes = filled.withColumnRenamed("doc_id", "rep").join(maybe_broadcast(classes), ["set_key", "rep"])
-    nodes = work.settle(nodes.select("id", "rep", "set_key", "n_shingles", "sig", "bands").dropDuplicates(["id"]), "nodes")
+    # equal sets are one node, numbered as it is written; all that is kept of a set but its least id is equal for all its rows
+    same = F.first(F.struct("n_shingles", "sig", "bands"))
+    nodes = table.where(searched).groupBy("set_key").agg(F.min("doc_id").alias("rep"), same.alias("same"))
+    nodes = work.settle(nodes.select(F.monotonically_increasing_id().alias("id"), "rep", "set_key", "same.*"), "nodes")
+    classes, n = nodes.select("id", "set_key", "rep"), nodes.count()
 
     member = nodes.select("id", F.posexplode("bands").alias("number", "band"))
     leaders = work.settle(member.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"), "leaders", 4 * n)
