@@ -233,8 +233,8 @@ def test_pii_base(spark):
 
 @pytest.fixture(scope="module")
 def field(spark):
-    """Fitted on half of the documents with base spans at sf0.01, and the other half."""
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9@]'").orderBy("doc_id").collect()
+    """Fitted on half of the documents with such tokens at sf0.1, and the other half."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9@]'").orderBy("doc_id").collect()
     some = [r["text"] for r in rows]
     return pii.fit([pii.example(t) for t in some[::2]]), some[1::2]
 
@@ -252,8 +252,9 @@ def test_pii_field_finds_other_forms(field):
         wrong += sum(meets(s, added) for s in others)
         strange += sum(not meets(s, planted + others) for s in added)
         planted_n, others_n = planted_n + len(planted), others_n + len(others)
-        assert pii.added_spans(t, pii.base_spans(t), model) == []
-    assert planted_n > 15 and hits >= 0.85 * planted_n and wrong <= 0.1 * others_n and strange == 0
+        whole = pii.base_spans(t)  # untouched, only what stands in a base span elsewhere is added
+        assert {t[a:b] for _, a, b in pii.added_spans(t, whole, model)} <= {t[a:b] for _, a, b in whole}
+    assert planted_n > 150 and hits >= 0.9 * planted_n and wrong <= 0.05 * others_n and strange == 0
 
 
 def test_pii_field(field):

@@ -35,7 +35,7 @@ LABELS = 1 + len(KINDS)
 #: Ways in which tokens are alike, each with a skip potential for each label.
 ALIKE = ("text", "digits", "masked", "name", "numbers")
 #: Hashed features; about so many rows are sampled to fit on; steps and decay of fitting; least belief of an added span.
-FEATURES, SAMPLE, STEPS, DECAY, LEAST_BELIEF = 1 << 12, 20_000, 300, 0.03, 0.5
+FEATURES, SAMPLE, STEPS, DECAY, LEAST_BELIEF = 1 << 12, 8_000, 300, 0.03, 0.5
 #: Propagation ends when no message moves by more than this, or after so many rounds (then with what it has).
 SETTLED, ROUNDS = 1e-4, 200
 #: Tokens of a number that is written in parts.
@@ -48,7 +48,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@]|[\[(]at[\])]|[*•]{3}", re.IGNORECASE)
-TOKEN = re.compile(r"""[^\s,;|<>"]+""")
+BOUND = re.compile(r"""[\s,;|<>"]""")
 AT = re.compile(r"@|[\[(]at[\])]", re.IGNORECASE)
 MASK = re.compile(r"[*•]{2,}|[xX]{2,}")
 
@@ -117,10 +117,18 @@ def core(s: str) -> tuple[int, int]:
 
 def tokens(text: str) -> list[tuple[int, int]]:
     """Places of the tokens that could be personal data."""
-    if not SIGN.search(text):
-        return []
-    found = ((m.start(), m.group()) for m in TOKEN.finditer(text))
-    return [(at + a, at + b) for at, s in found if SIGN.search(s) for a, b in [core(s)] if a < b]
+    out, end, m = [], 0, SIGN.search(text)
+    while m:
+        at = m.start()
+        while at > end and not BOUND.match(text, at - 1):
+            at -= 1
+        stop = BOUND.search(text, m.end())
+        end = stop.start() if stop else len(text)
+        a, b = core(text[at:end])
+        if a < b:
+            out.append((at + a, at + b))
+        m = SIGN.search(text, end)
+    return out
 
 
 def shape(s: str) -> str:
