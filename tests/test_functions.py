@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import labels, scores, text
 from wordloom.operators import align, decode, noise, report
-from wordloom.operators.bayesian import BayesianSegmenter
+from wordloom.operators.bayesian import BayesianSegmenter, Letters, PitmanYor
 from wordloom.sources import corpus
 
 
@@ -16,9 +16,15 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("ids,want", [([0, 0, 0, 0, 0], "hello"), ([0, 0, 1, 0, 0], "hel lo"), ([0, 1, 0, 1, 0], "he ll o"), ([0, 3], "he"), ([2, 1, 0, 0, 1, 1, 1], "he llo")])
-def test_rebuild(spark, ids, want):
-    assert one(spark, labels.rebuild("t", F.array(*map(F.lit, ids))), t="hello") == want
+def brute_rebuild(t, ids):
+    return "".join(c + " " * (i in (1, 3)) for c, i in zip(t, ids, strict=False)).strip()
+
+
+def test_rebuild(spark):
+    rng = random.Random(7)
+    rows = [(k, "".join(rng.choice("aβ語😀") for _ in range(rng.randint(0, 9))), [rng.randrange(4) for _ in range(rng.randint(0, 9))]) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, t string, l array<int>")
+    assert {r["k"]: r["x"] for r in df.select("k", labels.rebuild("t", "l").alias("x")).collect()} == {k: brute_rebuild(t, i) for k, t, i in rows}
 
 
 def test_annotations(spark):
@@ -71,7 +77,7 @@ def brute_scores(truth, pred):
 def test_scores(spark):
     rng = random.Random(1)
     split = lambda s: "".join(c + " " * (rng.random() < 0.4) for c in s).split()
-    rows = [(["hello", "world"], ["hello", "world"]), (["hello", "world"], ["he", "llo", "world"]), ([], []), (["a"], ["a"])]
+    rows = [([], []), (["é"], ["é"]), (["ab", "ab"], ["abab"]), (["b"], [])]
     rows += [(split(s), split(s)) for s in ("".join(rng.choice("abé") for _ in range(rng.randint(0, 12))) for _ in range(200))]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, words array<string>, predicted array<string>")
     for r in report.score_rows(df, ["i"]).collect():
@@ -100,16 +106,36 @@ def test_projection(spark):
         assert r["p"] == brute_project(range(1, len(s)), s, t, align.edit_script(s, t))
 
 
-def test_alignment(spark):
+def brute_align(t, n):
+    """The whole table, and the path back: match, substitution, insertion, deletion."""
+    d = [[i + j if not i or not j else 0 for j in range(len(n) + 1)] for i in range(len(t) + 1)]
+    for i, j in itertools.product(range(1, len(t) + 1), range(1, len(n) + 1)):
+        d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (t[i - 1] != n[j - 1]))
+    i, j, out = len(t), len(n), []
+    while i or j:
+        if i and j and (t[i - 1] == n[j - 1] or d[i][j] == d[i - 1][j - 1] + 1):
+            i, j = i - 1, j - 1
+            out.append((t[i], n[j]))
+        elif j and d[i][j] == d[i][j - 1] + 1:
+            j -= 1
+            out.append((text.GAP, n[j]))
+        else:
+            i -= 1
+            out.append((t[i], text.GAP))
+    return "".join(x for x, _ in out[::-1]), "".join(y for _, y in out[::-1])
+
+
+@pytest.mark.parametrize("kept", [1, 3, 64])
+def test_alignment(monkeypatch, kept):
+    """The same path whatever is kept of the table."""
+    monkeypatch.setattr(align, "KEPT", kept)
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abé") for _ in range(rng.randint(0, n)))
-    for a, b in [(word(9), word(9)) for _ in range(300)] + [("", ""), ("", "ab"), ("ab", "")]:
-        g, n = align.align(a, b)
-        assert len(g) == len(n) and g.replace(text.GAP, "") == a and n.replace(text.GAP, "") == b
-        assert sum(x != y for x, y in zip(g, n, strict=True)) == one(spark, F.levenshtein(F.lit(a), F.lit(b))) if len(a) < 3 else True
-    big = ("ab" * 3000, "ba" * 3000)  # over the table's limit
+    for a, b in [(word(9), word(9)) for _ in range(200)] + [(word(150), word(150)) for _ in range(5)] + [("", ""), ("", "ab"), ("ab", "")]:
+        assert align.align(a, b) == brute_align(a, b)
+    big = ("ab" * 3000, "ba" * 3000)
     g, n = align.align(*big)
-    assert g.replace(text.GAP, "") == big[0] and sum(x != y for x, y in zip(g, n, strict=True)) == 2
+    assert g.replace(text.GAP, "") == big[0] and n.replace(text.GAP, "") == big[1] and sum(x != y for x, y in zip(g, n, strict=True)) == 2
 
 
 @pytest.mark.parametrize("labels_n,k", [(2, 3), (4, 3), (2, 1)])
@@ -124,6 +150,62 @@ def test_k_best_is_exact(spark, labels_n, k):
         assert got["l"] == got["b"][0]["seq"]
 
 
+def test_k_best_in_workers():
+    rng = random.Random(5)
+    for _ in range(200):
+        ends, k = [rng.choice([0.0, 1.0, 0.5, rng.random()]) for _ in range(rng.randint(0, 7))], rng.randint(1, 9)
+        every = sorted((sum(math.log(max(p if s else 1 - p, decode.FLOOR)) for p, s in zip(ends, seq, strict=True)) for seq in itertools.product((0, 1), repeat=len(ends))), reverse=True)[:k]
+        for found in (decode.k_best_pairs(ends, k), decode.k_best_sequences([[1 - p, p] for p in ends], k)):
+            assert [x for x, _ in found] == pytest.approx(every)
+            assert len({tuple(s) for _, s in found}) == len(found)
+            for x, seq in found:
+                assert x == pytest.approx(sum(math.log(max(p if s else 1 - p, decode.FLOOR)) for p, s in zip(ends, seq, strict=True)))
+
+
+def test_four_labels(spark):
+    """Fitted on four labels, found again; the two ways of looking contexts up agree."""
+    rows = [(i, "in principio a erat verbum et b verbum erat".split()) for i in range(8)]
+    df = spark.createDataFrame(rows, "i int, words array<string>").withColumn("text", F.array_join("words", ""))
+    scorer = decode.ContextModel.fit(df, scheme="quadri")
+    want = [w for _, w in rows]
+    assert [r["words"] for r in decode.StandardSegmenter(scorer).segment(df, ["i"]).collect()] == want
+    assert [r["words"] for r in decode.HierarchicalSegmenter(scorer, decode.WordModel.fit(df), 4).segment(df, ["i"]).collect()] == want
+    r = scorer.score(df, ["i"], "text").first()
+    assert r["best"] == [{"B": 2, "I": 0, "E": 1, "S": 3}[x] for w in rows[0][1] for x in ("S" if len(w) == 1 else "B" + "I" * (len(w) - 2) + "E")]
+    assert all(len(p) == 4 and sum(p) == pytest.approx(1) for p in r["probabilities"])
+    by_join = scorer._score_by_join(df.select("i", F.col("text").alias("__text")), ["i"], 126).drop("__text")
+    assert sorted((r["i"], r["best"]) for r in by_join.collect()) == sorted((r["i"], r["best"]) for r in scorer.score(df, ["i"], "text").collect())
+    with pytest.raises(ValueError):
+        decode.ContextModel.fit(df, scheme="other")
+
+
+def test_contexts_too_many_to_send(spark, monkeypatch):
+    rows = [(i, "in principio erat verbum".split()) for i in range(6)] + [(9, [])]
+    df = spark.createDataFrame(rows, "i int, words array<string>").withColumn("text", F.array_join("words", ""))
+    make = lambda: decode.HierarchicalSegmenter(decode.ContextModel.fit(df), decode.WordModel.fit(df), 3).segment(df, ["i"])
+    sent = sorted(map(tuple, make().collect()))
+    monkeypatch.setattr(decode, "SENT_BYTES", 0)
+    assert sorted(map(tuple, make().collect())) == sent and len(sent) == 7 and sent[-1][1] in ([], None)
+
+
+def test_the_place_after_the_text_shrinks_the_beam(spark):
+    df = spark.createDataFrame([(i, ["ab", "cd"]) for i in range(6)], "i int, words array<string>").withColumn("text", F.array_join("words", ""))
+    model, words = decode.ContextModel.fit(df), decode.WordModel.fit(df)
+    n = [decode.HierarchicalSegmenter(model, words, 4, decode_separator=s).candidates(df, ["i"]).count() for s in (False, True)]
+    assert n[1] < n[0]
+
+
+def test_softmax(spark):
+    got = one(spark, decode.softmax(F.array(F.lit(1000.0), F.lit(1000.0), F.lit(-1000.0))))
+    assert got == [0.5, 0.5, 0.0]
+
+
+def test_word_model_is_evaluated_on_held_out_texts(spark):
+    df = spark.createDataFrame([(["a", "b"],)] * 4, "words array<string>")
+    r = decode.WordModel.fit(df).evaluate(spark.createDataFrame([(["a", "b"],), (["x"],), ([],)], "words array<string>")).first()
+    assert r["n_words"] == 3 and r["perplexity"] == pytest.approx(math.exp(r["loss"]))
+
+
 def test_segmenters(spark):
     rows = [(i, "in principio erat verbum et verbum erat".split()) for i in range(8)]
     df = spark.createDataFrame(rows, "i int, words array<string>").withColumn("text", F.array_join("words", ""))
@@ -144,7 +226,12 @@ def test_segmenters(spark):
 
 def test_unsupervised(spark):
     train = spark.createDataFrame([("thisisatest",), ("thisis",), ("",)], "text string")
-    s = BayesianSegmenter().train(train, epochs=3)
+    s = BayesianSegmenter().train(train, train, epochs=3, print_each_nth_iteration=2)
+    assert len(s.losses) == 1 and s.losses[0] > 0
+    word = "circumspectantibus"
+    model = PitmanYor({word: 1000, "et": 500}, {("", word): 900, (word, "et"): 500}, Letters({word: 1, "et": 1}, 7, 26, 0.5, 2.0, 6.0), (0.5, 0.5), (2.0, 2.0), 30)
+    assert model.split(word + "et" + word, None) == [word, "et", word]
+    assert sum(model.probability(b, w) for w in (word, "et") for b in ["et"]) < 1 and s._longest(5.0, 18, 100) >= 18
     got = s.segment(spark.createDataFrame([(1, "helloworld"), (2, "")], "k int, text string"), ["k"]).collect()
     assert "".join(got[0]["words"]) == "helloworld" and got[1]["words"] == []
 
@@ -173,6 +260,12 @@ def test_text(spark):
     assert [tuple(r) for r in df.collect()] == [("3", "4"), ("5V6", "6"), ("Incipit", "1"), ("Subscriptio", "Subscriptio"), ("Inscriptio", "Inscriptio"), (None, None)]
 
 
+def test_split_of_repeated_keys(spark):
+    df = spark.range(1000).withColumn("k", F.when(F.col("id") < 700, "same").otherwise(F.col("id").cast("string")))
+    got = decode.exact_split(df, "k")
+    assert got.where("is_train").count() == 800 and got.count() == 1000
+
+
 def test_split_is_exact(spark):
     df = spark.range(1003).withColumn("k", F.col("id").cast("string"))
     got = decode.exact_split(df, "k")

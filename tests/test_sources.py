@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import text
-from wordloom.operators import report
+from wordloom.operators import decode, report
 from wordloom.plans import benchmark
 from wordloom.sources import corpus, tei
 from wordloom.streaming.annotate import annotate_stream
@@ -67,9 +68,50 @@ def test_reports(spark, tmp_path):
 def test_grid_and_errors(spark):
     rows = [(i, "in principio erat".split()) for i in range(6)] + [(9, [])]
     df = spark.createDataFrame(rows, "i int, words array<string>").withColumn("text", F.array_join("words", " "))
-    got = {(r["algorithm"], r["metric"]): r["value"] for r in benchmark.grid(df, df, ["i"], [("STANDARD", 1), ("HIERARCHICAL", 3)]).collect()}
-    assert got[("STANDARD", "boundary_f1")] == 1.0 and got[("HIERARCHICAL", "n_errors")] == 1.0
-    assert benchmark.arguments(["--language", "grc", "--algorithm", "STANDARD", "--corpus", "c", "--out", "o"]).annotation == "binary"
+    got = {(r["algorithm"], r["scheme"], r["metric"]): r["value"] for r in benchmark.grid(df, df, ["i"], [("STANDARD", 1), ("HIERARCHICAL", 3, "quadri")]).collect()}
+    # an empty verse scores accuracy 1 and nothing else, and is no error
+    for key in (("STANDARD", "binary"), ("HIERARCHICAL", "quadri")):
+        assert got[(*key, "boundary_accuracy")] == 1.0 and got[(*key, "boundary_f1")] == 6 / 7 and got[(*key, "n_errors")] == 0.0
+    with pytest.raises(ValueError):
+        benchmark.make_segmenter("STANDARD", df, scheme="other")
+
+
+def test_verses_without_an_answer_are_errors(spark):
+    class Half(decode.Segmenter):
+        def segment(self, df, keys, text_col="text"):
+            return df.where("i % 2 = 0").select(*keys, F.array(text_col).alias("words"))
+
+    df = spark.createDataFrame([(i, ["ab", "c"]) for i in range(5)], "i int, words array<string>").withColumn("text", F.array_join("words", " "))
+    rows = benchmark.evaluate(Half(), df, ["i"])
+    assert {r["i"]: r["error"] for r in rows.collect()} == {0: None, 1: "no answer", 2: None, 3: "no answer", 4: None}
+    got = {r["metric"]: r["value"] for r in report.macro_average(rows).collect()}
+    assert got["n_errors"] == 2.0 and got["predicted_words"] == 1.0
+
+
+def test_benchmark_run(spark, tmp_path):
+    """From files to files: train and test apart, four labels, noisy texts joined by key, models saved and loaded."""
+    verse = "in principio erat verbum et"
+    book = lambda t, n: {"Ioh": {"1": {str(k): t for k in range(1, n + 1)}}}
+    for name, t, n in (("train", verse, 9), ("test", verse, 3), ("noisy", verse.replace("principio", "prncipio"), 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(book(t, n)))
+    file = lambda n: str(tmp_path / f"{n}.json")
+    args = lambda *more: benchmark.arguments(["--language", "lat", "--corpus", file("test"), "--out", str(tmp_path / "out"), *more])
+    assert args("--algorithm", "STANDARD").annotation == "binary"
+    with pytest.raises(ValueError):
+        benchmark.run(spark, args("--algorithm", "STANDARD"))
+    assert benchmark.run(spark, args("--algorithm", "STANDARD", "--annotation", "quadri", "--train", file("train"))) == {"verses": 3, "errors": 0}
+    assert benchmark.run(spark, args("--algorithm", "HIERARCHICAL", "--beam", "3", "--train", file("train"), "--noisy", file("noisy"))) == {"verses": 2, "errors": 0}
+    scores = {r["metric"]: float(r["value"]) for r in spark.read.option("header", True).csv(str(tmp_path / "out/lat_quadri_STANDARD_1.csv")).collect()}
+    assert scores["word_f1"] == 1.0
+    assert spark.read.text(str(tmp_path / "out/lat_STANDARD_quadri_1_segments.txt")).count() == 3
+    assert [json.loads(r["value"])["errors"] for r in spark.read.text(str(tmp_path / "out/log")).collect()] == [0, 0]
+    paths = benchmark.model_table(str(tmp_path / "models"))["lat", "quadri"]
+    words = corpus.read_nested(spark, file("train")).withColumn("words", text.words("text"))
+    decode.ContextModel.fit(words, scheme="quadri").save(paths["contexts"])
+    decode.WordModel.fit(words).save(paths["words"])
+    assert benchmark.run(spark, args("--algorithm", "HIERARCHICAL", "--annotation", "quadri", "--models", str(tmp_path / "models")))["errors"] == 0
+    with pytest.raises(ValueError):
+        benchmark.run(spark, args("--algorithm", "STANDARD", "--models", str(tmp_path / "absent")))
 
 
 def test_stream(spark, tmp_path):

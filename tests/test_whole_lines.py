@@ -33,7 +33,7 @@ def drawn(i, line):
 def test_noise_of_whole_lines(spark, folder):
     want = {i: (c, "".join(o)) for i, (c, o) in enumerate(map(drawn, range(len(LINES)), LINES))}
     assert max(len(c) for c, _ in want.values()) > 126
-    rows = registry.QUERIES["noise_apply_whole"](spark, folder).collect()
+    rows = registry.QUERIES["noise_apply"](spark, folder).collect()
     assert {r["line"]: (r["clean"], r["noisy"]) for r in rows} == want
     for r in registry.QUERIES["align_gap"](spark, folder).collect():
         assert (r["gt"].replace("⌀", ""), r["noisy"].replace("⌀", "")) == want[r["line"]] and len(r["gt"]) == len(r["noisy"])
@@ -41,7 +41,7 @@ def test_noise_of_whole_lines(spark, folder):
 
 def test_noise_is_learned_from_whole_lines(spark, folder):
     pairs = [(c, o) for i, line in enumerate(LINES) for c, o in zip(*drawn(i, line), strict=True)]
-    got = {r["ch"]: r["p"] for r in registry.QUERIES["noise_learn_whole"](spark, folder).collect() if r["kind"] == "character_distribution"}
+    got = {r["ch"]: r["p"] for r in registry.QUERIES["noise_learn"](spark, folder).collect() if r["kind"] == "character_distribution"}
     assert got == {c: round(sum(x == c for x, _ in pairs) / len(pairs), 9) for c, _ in pairs}
 
 
@@ -77,7 +77,7 @@ def test_edit_distance_of_all_lines(spark, folder):
         clean, noisy = drawn(i, line)
         d = distance(clean, "".join(noisy))
         want[i] = (d, round(d / len(clean), 9))
-    assert {r["line"]: (r["distance"], r["cer"]) for r in registry.QUERIES["edit_distance_cer_whole"](spark, folder).collect()} == want
+    assert {r["line"]: (r["distance"], r["cer"]) for r in registry.QUERIES["edit_distance_cer"](spark, folder).collect()} == want
 
 
 def test_kbest_of_whole_lines(spark, folder):

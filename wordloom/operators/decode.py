@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +19,22 @@ MAX_LENGTH = 128
 FLOOR = 1e-300
 
 
+class Scorer(Protocol):
+    """Whatever gives each character the probabilities of its labels, in the order of the scheme's ids."""
+
+    scheme: str
+
+    def score(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
+        """keys, text, probabilities (an array for each of the first `limit` characters), best (label ids)."""
+        ...
+
+
+def softmax(scores) -> Column:
+    """Probabilities of an array of raw scores; the largest is taken off first, so none overflows."""
+    shifted = text.let(text.col(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
+    return text.let(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
+
+
 def best_labels(probabilities, max_length: int | None = MAX_LENGTH) -> Column:
     """The most probable label of each character, the first on a tie; at most max_length - 2 of them."""
     p = text.col(probabilities)
@@ -41,27 +60,129 @@ def k_best(probabilities, k: int, max_length: int | None = MAX_LENGTH) -> Column
     return F.transform(beams, lambda b: F.struct(b["score"].alias("score"), b["seq"].alias("seq"), F.exp(b["score"]).alias("probability")))
 
 
-def candidates(df: DataFrame, keys: list[str], text_col: str, probabilities: str, k: int) -> DataFrame:
-    """keys, rank, candidate, score: k best sequences rebuilt as texts; equal texts collapse to the best-ranked one."""
-    spread = df.select(*keys, text_col, F.posexplode(k_best(probabilities, k)).alias("rank", "beam"))
-    rebuilt = spread.select(*keys, "rank", labels.rebuild(text_col, "beam.seq").alias("candidate"), F.col("beam.score").alias("score"))
-    best = rebuilt.groupBy(*keys, "candidate").agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score"))
-    return best
+def k_best_sequences(places: list[list[float]], k: int) -> list[tuple[float, list[int]]]:
+    """The same in a worker: (sum of logs, labels), best first, ties in the order of expansion.
+
+    Beams are chains of (label, rest), so a place costs k times the labels whatever the length.
+    """
+    beams: list[tuple[float, tuple | None]] = [(0.0, None)]
+    for place in places:
+        logs = [math.log(max(x, FLOOR)) for x in place]
+        grown = [(score + x, (i, rest)) for score, rest in beams for i, x in enumerate(logs)]
+        beams = heapq.nsmallest(k, grown, key=lambda b: -b[0]) if len(grown) > k else sorted(grown, key=lambda b: -b[0])
+    out = []
+    for score, chain in beams:
+        seq = []
+        while chain is not None:
+            seq.append(chain[0])
+            chain = chain[1]
+        out.append((score, seq[::-1]))
+    return out
+
+
+def k_best_pairs(ends: list[float], k: int) -> list[tuple[float, list[int]]]:
+    """The k best sequences of two labels, from the probability of the second at each place.
+
+    The best sequence takes the likelier label everywhere. Any other changes some places, at a price each; only the k - 1 cheapest
+    places can be among the k best. Subsets of them are listed by price from a heap.
+    """
+    best, cost, score = [], [], 0.0
+    for p in ends:
+        one, zero = math.log(max(p, FLOOR)), math.log(max(1 - p, FLOOR))
+        best.append(int(one > zero))
+        cost.append(abs(one - zero))
+        score += max(one, zero)
+    cheap = heapq.nsmallest(k - 1, range(len(cost)), key=cost.__getitem__)
+    found, heap = [(score, best)], [(cost[cheap[0]], (0,))] if cheap else []
+    while heap and len(found) < k:
+        price, chosen = heapq.heappop(heap)
+        seq = list(best)
+        for c in chosen:
+            seq[cheap[c]] ^= 1
+        found.append((score - price, seq))
+        last = chosen[-1] + 1
+        if last < len(cheap):
+            heapq.heappush(heap, (price + cost[cheap[last]], (*chosen, last)))
+            heapq.heappush(heap, (price - cost[cheap[last - 1]] + cost[cheap[last]], (*chosen[:-1], last)))
+    return found
+
+
+def k_best_rows(df: DataFrame, keys: list[str], ends: str, k: int) -> DataFrame:
+    """keys, rank, score, seq: the k best sequences of two labels, from an array with the probability of the second at each place.
+
+    Found in the worker, in time linear in the length; k_best says the same as an expression, for short texts.
+    """
+    src = df.select(*keys, F.col(ends).alias("__p"))
+    n, names = len(keys), [*keys, "found"]
+    kind = pa.list_(pa.struct([("rank", pa.int32()), ("score", pa.float64()), ("seq", pa.list_(pa.int32()))]))
+    schema = src.select(*keys).withColumn("found", F.lit(None).cast("array<struct<rank:int,score:double,seq:array<int>>>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[{"rank": r, "score": x, "seq": seq} for r, (x, seq) in enumerate(k_best_pairs(p or [], k))] for p in b.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, kind)], names=names)
+
+    return src.mapInArrow(run, schema).select(*keys, F.inline("found"))
+
+
+def rebuilt(t: str, label_ids: list[int]) -> str:
+    """Characters with a space after each labelled 1 or 3, ends stripped (functions.labels.rebuild in a worker)."""
+    return "".join(c + " " if x in (1, 3) else c for c, x in zip(t, label_ids, strict=False)).strip()
+
+
+def distinct_candidates(t: str, sequences: list[tuple[float, list[int]]]) -> list[tuple[int, str, float]]:
+    """rank, candidate, score: sequences rebuilt as texts; equal texts collapse to the best-ranked one."""
+    out: dict[str, tuple[int, float]] = {}
+    for rank, (score, seq) in enumerate(sequences):
+        out.setdefault(rebuilt(t, seq), (rank, score))
+    return [(rank, candidate, score) for candidate, (rank, score) in out.items()]
+
+
+CANDIDATES = "array<struct<rank:int,candidate:string,score:double>>"
+
+
+def candidates(df: DataFrame, keys: list[str], text_col: str, probabilities: str, k: int, separator: str | None = None) -> DataFrame:
+    """keys, rank, candidate, score: k best sequences rebuilt as texts; equal texts collapse to the best-ranked one.
+
+    separator names a column with the probabilities of one more place after the text: it is decoded too, takes part in scores and
+    ranks, and leaves the text alone, so fewer texts come out of k sequences.
+    """
+    src = df.select(*keys, F.col(text_col).alias("__text"), F.col(probabilities).alias("__p"), *([F.col(separator).alias("__s")] if separator else []))
+    n, names = len(keys), [*keys, "found"]
+    schema = src.select(*keys).withColumn("found", F.lit(None).cast(CANDIDATES)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = b.column(n + 2).to_pylist() if separator else [None] * b.num_rows
+            found = []
+            for t, p, s in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), ends, strict=True):
+                found.append([dict(zip(("rank", "candidate", "score"), c, strict=True)) for c in distinct_candidates(t or "", k_best_sequences([*(p or []), *([s] if s else [])], k))])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, pa.list_(pa.struct([("rank", pa.int32()), ("candidate", pa.string()), ("score", pa.float64())])))], names=names)
+
+    return src.mapInArrow(run, schema).select(*keys, F.inline("found"))
 
 
 def choose(scored: DataFrame, keys: list[str], combine_lambda: float | None = None) -> DataFrame:
     """keys, words: of each key the candidate of least perplexity, the better rank on a tie.
 
-    combine_lambda ranks by beam score - lambda * total negative log-likelihood instead (an extension, off by default).
+    combine_lambda ranks by beam score - lambda * total negative log-likelihood instead (an extension, off by default). A perplexity
+    that is null or no number puts a candidate last, the first one first.
     """
-    ppl = F.when(F.isnan("perplexity"), F.when(F.col("rank") == 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).otherwise(F.col("perplexity"))
-    rule = ppl if combine_lambda is None else combine_lambda * F.col("nll") - F.col("score")
+    odd = F.col("perplexity").isNull() | F.isnan("perplexity")
+    ppl = F.when(odd, F.when(F.col("rank") == 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).otherwise(F.col("perplexity"))
+    rule = ppl if combine_lambda is None else combine_lambda * F.coalesce("nll", F.lit(0.0)) - F.col("score")
     return scored.groupBy(*keys).agg(text.words(F.min_by("candidate", F.struct(rule.alias("r"), "rank"))).alias("words"))
 
 
 # ---- word model
 
 
+def _pairs(words_col: str) -> Column:
+    """Each word with the one before it, the first with the empty one."""
+    before = F.concat(F.array(F.lit("")), F.slice(words_col, 1, F.greatest(F.size(words_col) - 1, F.lit(0))))
+    return F.zip_with(before, text.col(words_col), lambda a, b: F.struct(a.alias("before"), b.alias("word")))
+
+
 class WordModel:
     """Interpolated word bigrams with a floor for unknown words, as tables."""
 
@@ -71,8 +192,7 @@ class WordModel:
     @classmethod
     def fit(cls, df: DataFrame, words_col: str = "words", **options) -> WordModel:
         uni = df.select(F.explode(words_col).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        pairs = F.zip_with(F.concat(F.array(F.lit("")), F.slice(words_col, 1, F.greatest(F.size(words_col) - 1, F.lit(0)))), text.col(words_col), lambda a, b: F.struct(a.alias("before"), b.alias("word")))
-        bi = df.select(F.explode(pairs).alias("p")).select("p.before", "p.word").groupBy("before", "word").agg(F.count("*").alias("n"))
+        bi = df.select(F.explode(_pairs(words_col)).alias("p")).select("p.before", "p.word").groupBy("before", "word").agg(F.count("*").alias("n"))
         return cls(uni, bi, **options)
 
     def save(self, path: str) -> None:
@@ -84,46 +204,62 @@ class WordModel:
         return cls(spark.read.parquet(f"{path}/unigrams"), spark.read.parquet(f"{path}/bigrams"), **options)
 
     def perplexity(self, df: DataFrame, keys: list[str], words_col: str = "words") -> DataFrame:
-        """keys, nll, n, perplexity: exp of the mean negative log-likelihood; texts without words are left out."""
-        total = self.unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("size"))
+        """keys, nll, n, perplexity: exp of the mean negative log-likelihood; texts without words are left out.
+
+        Each distinct pair of words is looked up once, whatever its frequency.
+        """
+        total = self.unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("size"))
         after = self.bigrams.groupBy("before").agg(F.sum("n").alias("n_before"))
-        pairs = F.zip_with(F.concat(F.array(F.lit("")), F.slice(words_col, 1, F.greatest(F.size(words_col) - 1, F.lit(0)))), text.col(words_col), lambda a, b: F.struct(a.alias("before"), b.alias("word")))
-        rows = df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.before", "p.word")
-        # each distinct pair is looked up once
+        rows = df.select(*keys, F.explode(_pairs(words_col)).alias("p")).select(*keys, "p.before", "p.word")
         distinct = rows.select("before", "word").distinct()
         look = distinct.join(self.bigrams.withColumnRenamed("n", "n_pair"), ["before", "word"], "left").join(after, "before", "left").join(self.unigrams.withColumnRenamed("n", "n_word"), "word", "left").crossJoin(F.broadcast(total))  # one row
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
         bigram = F.coalesce(F.try_divide(zero("n_pair"), zero("n_before")), F.lit(0.0))
-        unigram = F.when(F.col("n_word").isNotNull(), zero("n_word") + 1).otherwise(F.pow(F.lit(self.unknown), F.length("word"))) / (F.col("total") + F.col("size"))
+        unigram = F.when(F.col("n_word").isNotNull(), zero("n_word") + 1).otherwise(F.pow(F.lit(self.unknown), F.length("word"))) / F.greatest(F.col("total") + F.col("size"), F.lit(1))
         look = look.select("before", "word", (-F.ln(self.weight * bigram + (1 - self.weight) * unigram)).alias("nll"))
         summed = rows.join(look, ["before", "word"]).groupBy(*keys).agg(F.sum("nll").alias("nll"), F.count("*").alias("n"))
         return summed.withColumn("perplexity", F.exp(F.col("nll") / F.col("n")))
 
+    def evaluate(self, held_out: DataFrame, words_col: str = "words") -> DataFrame:
+        """n_words, loss, perplexity over all words of texts that were not fitted on."""
+        scored = self.perplexity(held_out.select(F.monotonically_increasing_id().alias("__k"), F.col(words_col).alias("__w")), ["__k"], "__w")
+        out = scored.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_words"), (F.sum("nll") / F.sum("n")).alias("loss"))
+        return out.withColumn("perplexity", F.exp("loss"))
+
 
 # ---- context classifier
 
 
 #: Characters to the left (with the one labelled) and right of each back-off level; observations a level needs.
 LEVELS, LEAST_SEEN = ((4, 3), (3, 2), (2, 1)), 5
-#: Deciding contexts that are sent to every worker at most (about 100 bytes each).
-SENT_CONTEXTS = 1_000_000
+#: Bytes of deciding contexts that are sent to every worker at most; a context is taken to need so many.
+SENT_BYTES, CONTEXT_BYTES = 128 << 20, 160
+#: Signs of the labels by id.
+SIGNS = {"binary": "IE", "quadri": "IEBS"}
 
 
 class ContextModel:
-    """Boundary counts by context, with back-off to shorter ones: a label for every context of the longest kind.
+    """Label counts by context, with back-off to shorter ones, for the two or four labels of a scheme.
 
-    A context is decided by the longest level seen LEAST_SEEN times, else by the shortest: boundary if 2 * boundaries >= seen.
+    A context is decided by the longest level seen LEAST_SEEN times, else by the shortest: the label with the largest count, of the
+    two labels the boundary on a tie, of the four that with the smallest id.
     """
 
-    def __init__(self, counts: DataFrame):
-        self.counts = counts  # context, n, e
+    def __init__(self, counts: DataFrame, scheme: str = "binary"):
+        self.counts, self.scheme = counts, scheme  # context, n, e (times I, E, then B and S)
+
+    @property
+    def columns(self) -> list[str]:
+        """The count columns beside n, which is their sum with the inside label."""
+        return ["e"] if self.scheme == "binary" else ["e", "b", "s"]
 
     def save(self, path: str) -> None:
         self.counts.write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ContextModel:
-        return cls(spark.read.parquet(path))
+        counts = spark.read.parquet(path)
+        return cls(counts, "quadri" if "s" in counts.columns else "binary")
 
     @staticmethod
     def contexts(words_or_text: Column, is_text: bool, limit: int | None = None) -> Column:
@@ -141,94 +277,192 @@ class ContextModel:
         return text.let(padded, places)
 
     @classmethod
-    def fit(cls, df: DataFrame, words_col: str = "words") -> ContextModel:
+    def fit(cls, df: DataFrame, words_col: str = "words", scheme: str = "binary") -> ContextModel:
         """Counts are summed within each batch of texts before they are shuffled."""
-        spelled = df.select(F.lower(F.array_join(words_col, "")).alias("text"), F.array_join(F.transform(words_col, lambda w: F.concat(F.repeat(F.lit("I"), F.length(w) - 1), F.lit("E"))), "").alias("labels"))
-        left, right = LEVELS[0]
+        if scheme not in SIGNS:
+            raise ValueError(f"unknown annotation scheme: {scheme}")
+        spelled = df.select(F.lower(F.array_join(words_col, "")).alias("text"), F.array_join(labels.annotate(words_col, scheme), "").alias("labels"))
+        (left, right), signs = LEVELS[0], SIGNS[scheme][1:]
+        model = cls(None, scheme)
+        names = ["context", "n", *model.columns]
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                seen, ends = Counter(), Counter()
-                for t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for batch in batches:
+                seen, marked = Counter(), [Counter() for _ in signs]
+                for t, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     padded = "\x02" * (left - 1) + (t or "") + "\x03" * right
                     keys = [padded[i : i + left + right] for i in range(min(len(t or ""), len(marks or "")))]
                     seen.update(keys)
-                    ends.update([k for k, m in zip(keys, marks or "", strict=False) if m == "E"])
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64()), pa.array([ends[k] for k in seen], pa.int64())], names=["context", "n", "e"])
-
-        partial = spelled.mapInArrow(count, "context string, n long, e long")
-        return cls(partial.groupBy("context").agg(F.sum("n").alias("n"), F.sum("e").alias("e")))
-
-    def tables(self) -> list[dict[str, tuple[int, int]]] | None:
-        """For each level the contexts that can decide, if they are few enough to be sent to every worker."""
-        parts = []
-        for k, (left, right) in enumerate(LEVELS):
-            cut = F.substr("context", F.lit(1 + LEVELS[0][0] - left), F.lit(left + right))
-            level = self.counts.groupBy(cut.alias("c")).agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-            parts.append(level.where(F.col("n") >= (LEAST_SEEN if k + 1 < len(LEVELS) else 1)).select(F.lit(k).alias("k"), "c", "n", "e"))
-        every = parts[0].union(parts[1]).union(parts[2]).limit(SENT_CONTEXTS + 1).collect()
-        if len(every) > SENT_CONTEXTS:
-            return None
-        out: list[dict[str, tuple[int, int]]] = [{} for _ in LEVELS]
-        for r in every:
-            out[r["k"]][r["c"]] = (r["n"], r["e"])
+                    for sign, m in zip(signs, marked, strict=True):
+                        m.update([k for k, x in zip(keys, marks or "", strict=False) if x == sign])
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64()), *[pa.array([m[k] for k in seen], pa.int64()) for m in marked]], names=names)
+
+        partial = spelled.mapInArrow(count, "context string, " + ", ".join(f"{c} long" for c in names[1:]))
+        return cls(partial.groupBy("context").agg(*[F.sum(c).alias(c) for c in names[1:]]), scheme)
+
+    def _levels(self) -> DataFrame:
+        """k, c, n, ...: the contexts of each level that can decide, by one pass over the counts."""
+        cut = lambda left, right: F.substr("context", F.lit(1 + LEVELS[0][0] - left), F.lit(left + right))
+        spread = F.array(*[F.struct(F.lit(k).alias("k"), cut(*level).alias("c")) for k, level in enumerate(LEVELS)])
+        rows = self.counts.select("n", *self.columns, F.inline(spread))
+        least = F.when(F.col("k") + 1 < len(LEVELS), F.lit(LEAST_SEEN)).otherwise(F.lit(1))
+        return rows.groupBy("k", "c").agg(*[F.sum(x).alias(x) for x in ("n", *self.columns)]).where(F.col("n") >= least)
+
+    def tables(self) -> list[dict[str, tuple[int, ...]]] | None:
+        """For each level the contexts that can decide, if they are few enough to be sent to every worker; counted before they are."""
+        levels = self._levels().persist()
+        try:
+            if levels.count() * CONTEXT_BYTES > SENT_BYTES:
+                return None
+            got = levels.select("k", "c", "n", *self.columns).toPandas()
+        finally:
+            levels.unpersist()
+        out: list[dict[str, tuple[int, ...]]] = [{} for _ in LEVELS]
+        counts = list(zip(*(got[c].tolist() for c in ("n", *self.columns)), strict=True))
+        for k, c, v in zip(got["k"].tolist(), got["c"].tolist(), counts, strict=True):
+            out[k][c] = v
         return out
 
     def decisions(self, of: DataFrame) -> DataFrame:
-        """context, n, e of the level that decides, for each distinct context in `of`."""
+        """context, n, ... of the level that decides, for each distinct context in `of`."""
         out = of.select("context").distinct()
-        names = []
+        columns, names = ("n", *self.columns), []
         for k, (left, right) in enumerate(LEVELS):
             cut = lambda c, left=left, right=right: F.substr(c, F.lit(1 + LEVELS[0][0] - left), F.lit(left + right))
-            level = self.counts.groupBy(cut(F.col("context")).alias(f"k{k}")).agg(F.sum("n").alias(f"n{k}"), F.sum("e").alias(f"e{k}"))
+            level = self.counts.groupBy(cut(F.col("context")).alias(f"k{k}")).agg(*[F.sum(c).alias(f"{c}{k}") for c in columns])
             out = out.withColumn(f"k{k}", cut(F.col("context"))).join(level, f"k{k}", "left")
-            names.append((f"n{k}", f"e{k}"))
-        last = names[-1]
-        pick = F.struct(F.coalesce(last[0], F.lit(0)).alias("n"), F.coalesce(last[1], F.lit(0)).alias("e"))
-        for n, e in reversed(names[:-1]):
-            pick = F.when(F.col(n) >= LEAST_SEEN, F.struct(F.col(n).alias("n"), F.col(e).alias("e"))).otherwise(pick)
-        return out.select("context", pick.alias("d")).select("context", "d.n", "d.e")
+            names.append([f"{c}{k}" for c in columns])
+        pick = F.struct(*[F.coalesce(x, F.lit(0)).alias(c) for x, c in zip(names[-1], columns, strict=True)])
+        for found in reversed(names[:-1]):
+            pick = F.when(F.col(found[0]) >= LEAST_SEEN, F.struct(*[F.col(x).alias(c) for x, c in zip(found, columns, strict=True)])).otherwise(pick)
+        return out.select("context", pick.alias("d")).select("context", "d.*")
+
+    def prepare(self, spark: SparkSession) -> None:
+        """Send the deciding contexts to the workers once, for several calls of score."""
+        if not hasattr(self, "_shared"):
+            tables = self.tables()
+            self._shared = None if tables is None else spark.sparkContext.broadcast(tables)
 
     def score(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
-        """keys, text, probabilities (per character [inside, end], smoothed by one half each), best (integer decisions).
+        """keys, text, probabilities (per character, by label id, smoothed by one half each), best (integer decisions).
 
-        The deciding contexts are looked up in dictionaries if they are at most SENT_CONTEXTS, by joins otherwise.
+        The deciding contexts are looked up in dictionaries if they fit SENT_BYTES, by joins otherwise.
         """
-        tables = self.tables()
+        self.prepare(df.sparkSession)
         src = df.select(*keys, F.col(text_col).alias("__text"))
-        if tables is None:
+        if self._shared is None:
             return self._score_by_join(src, keys, limit).withColumnRenamed("__text", "text")
-        shared = df.sparkSession.sparkContext.broadcast(tables)
-        (left, right), names = LEVELS[0], [*src.columns, "ends", "best"]
-        schema = src.withColumn("ends", F.array(F.lit(0.0))).withColumn("best", F.array(F.lit(0))).schema
-
-        n_keys = len(keys)
+        names = [*src.columns, "p", "best"]
+        schema = src.withColumn("p", F.array(F.array(F.lit(0.0)))).withColumn("best", F.array(F.lit(0))).schema
+        n, look = len(keys), Lookup(self._shared, self.scheme, limit)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (long, mid, short), none = shared.value, (0, 0)
-            a, b, c, d = left - LEVELS[1][0], left + LEVELS[1][1], left - LEVELS[2][0], left + LEVELS[2][1]
             for batch in batches:
-                ends, best = [], []
-                for t in batch.column(n_keys).to_pylist():
-                    t = t or ""
-                    padded = "\x02" * (left - 1) + t + "\x03" * right
-                    at = [long.get(k) or mid.get(k[a:b]) or short.get(k[c:d], none) for k in [padded[i : i + left + right] for i in range(len(t) if limit is None else min(len(t), limit))]]
-                    ends.append([(e + 0.5) / (n + 1.0) for n, e in at])
-                    best.append([int(2 * e >= n) for n, e in at])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.float64())), pa.array(best, pa.list_(pa.int32()))], names=names)
-
-        scored = src.mapInArrow(run, schema)
-        return scored.select(*keys, F.col("__text").alias("text"), F.transform("ends", lambda p: F.array(1 - p, p)).alias("probabilities"), "best")
+                at = [look.counts(t or "") for t in batch.column(n).to_pylist()]
+                p = [[look.probabilities(c) for c in row] for row in at]
+                best = [[look.best(c) for c in row] for row in at]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.list_(pa.list_(pa.float64()))), pa.array(best, pa.list_(pa.int32()))], names=names)
 
-    def _score_by_join(self, src: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+        return src.mapInArrow(run, schema).select(*keys, F.col("__text").alias("text"), F.col("p").alias("probabilities"), "best")
+
+    def label(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
+        """keys, candidate: the text rebuilt by the best labels in the worker that finds them; null texts are empty."""
+        return self._mapped(df, keys, text_col, limit, "string", lambda look, t: rebuilt(t, [look.best(c) for c in look.counts(t)]), pa.string())
+
+    def propose(self, df: DataFrame, keys: list[str], text_col: str, k: int, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
+        """keys, rank, candidate, score: `candidates` of the probabilities, found in the worker that scores."""
+
+        def one(look: Lookup, t: str):
+            counts = look.counts(t)
+            sequences = k_best_pairs([look.probabilities(c)[1] for c in counts], k) if look.scheme == "binary" else k_best_sequences([look.probabilities(c) for c in counts], k)
+            return [{"rank": r, "candidate": c, "score": s} for r, c, s in distinct_candidates(t, sequences)]
+
+        kind = pa.list_(pa.struct([("rank", pa.int32()), ("candidate", pa.string()), ("score", pa.float64())]))
+        return self._mapped(df, keys, text_col, limit, CANDIDATES, one, kind).select(*keys, F.inline("candidate"))
+
+    def _mapped(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None, sql_type: str, one, kind: pa.DataType) -> DataFrame:
+        self.prepare(df.sparkSession)
+        src = df.select(*keys, F.col(text_col).alias("__text"))
+        n, names, scheme = len(keys), [*keys, "candidate"], self.scheme
+        schema = src.select(*keys).withColumn("candidate", F.lit(None).cast(sql_type)).schema
+        if self._shared is None:  # too many contexts to send: what decides comes by a join
+            columns = ["n", *self.columns]
+            src = self._decided(src, keys, limit)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                look = Lookup(None, scheme, limit)
+                for b in batches:
+                    out = []
+                    for t, cells in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
+                        look.given = [tuple(c[x] for x in columns) for c in cells or []]
+                        out.append(one(look, t or ""))
+                    yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, kind)], names=names)
+
+            return src.mapInArrow(run, schema)
+        look = Lookup(self._shared, scheme, limit)
+
+        def run_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([one(look, t or "") for t in b.column(n).to_pylist()], kind)], names=names)
+
+        return src.mapInArrow(run_sent, schema)
+
+    def _decided(self, src: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+        """keys, __text, cells: the counts that decide each character, in order; null without characters."""
         rows = src.select(*keys, F.posexplode(self.contexts(F.col("__text"), True, limit)).alias("at", "context"))
         decided = rows.join(self.decisions(rows), "context")
-        p = (F.col("e") + 0.5) / (F.col("n") + 1.0)
-        cell = F.struct("at", F.array(1 - p, p).alias("p"), (2 * F.col("e") >= F.col("n")).cast("int").alias("l"))
-        grouped = decided.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-        grouped = grouped.select(*keys, F.transform("cells", lambda c: c["p"]).alias("probabilities"), F.transform("cells", lambda c: c["l"]).alias("best"))
-        none = F.array()
-        return src.join(grouped, keys, "left").select(*src.columns, F.coalesce("probabilities", none.cast("array<array<double>>")).alias("probabilities"), F.coalesce("best", none.cast("array<int>")).alias("best"))
+        cells = decided.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "n", *self.columns))).alias("cells"))
+        return src.join(cells, keys, "left")
+
+    def _score_by_join(self, src: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+        decided = self._decided(src, keys, limit).withColumn("cells", F.coalesce("cells", F.array()))
+        k = len(self.columns) + 1
+
+        def probabilities(c: Column) -> Column:
+            if k == 2:
+                p = (c["e"] + 0.5) / (c["n"] + 1.0)
+                return F.array(1 - p, p)
+            inside = c["n"] - c["e"] - c["b"] - c["s"]
+            return F.array(*[(x + 0.5) / (c["n"] + 0.5 * k) for x in (inside, *(c[x] for x in self.columns))])
+
+        def best(c: Column) -> Column:
+            if k == 2:
+                return (2 * c["e"] >= c["n"]).cast("int")
+            counts = F.array(c["n"] - c["e"] - c["b"] - c["s"], c["e"], c["b"], c["s"])
+            return (F.array_position(counts, F.array_max(counts)) - 1).cast("int")
+
+        return decided.select(*src.columns, F.transform("cells", probabilities).alias("probabilities"), F.transform("cells", best).alias("best"))
+
+
+class Lookup:
+    """Counts that decide each character of a text, and what follows from them, in a worker."""
+
+    def __init__(self, shared, scheme: str, limit: int | None):
+        self.shared, self.scheme, self.limit, self.given = shared, scheme, limit, None
+        self.none = (0, 0) if scheme == "binary" else (0, 0, 0, 0)
+
+    def counts(self, t: str) -> list[tuple[int, ...]]:
+        if self.given is not None:
+            return self.given
+        long, mid, short = self.shared.value
+        left, right = LEVELS[0]
+        a, b, c, d = left - LEVELS[1][0], left + LEVELS[1][1], left - LEVELS[2][0], left + LEVELS[2][1]
+        padded = "\x02" * (left - 1) + t + "\x03" * right
+        keys = [padded[i : i + left + right] for i in range(len(t) if self.limit is None else min(len(t), self.limit))]
+        return [long.get(k) or mid.get(k[a:b]) or short.get(k[c:d], self.none) for k in keys]
+
+    def probabilities(self, c: tuple[int, ...]) -> list[float]:
+        if self.scheme == "binary":
+            p = (c[1] + 0.5) / (c[0] + 1.0)
+            return [1 - p, p]
+        whole = c[0] + 2.0
+        return [(c[0] - sum(c[1:]) + 0.5) / whole, *((x + 0.5) / whole for x in c[1:])]
+
+    def best(self, c: tuple[int, ...]) -> int:
+        if self.scheme == "binary":
+            return int(2 * c[1] >= c[0])
+        counts = (c[0] - sum(c[1:]), *c[1:])
+        return counts.index(max(counts))
 
 
 # ---- segmenters
@@ -241,29 +475,63 @@ class Segmenter:
         raise NotImplementedError
 
 
+def loaded(what: str, path: str, load):
+    """load(), with any failure as a ValueError that names the model."""
+    try:
+        return load()
+    except Exception as e:
+        raise ValueError(f"no {what} could be loaded from {path}: {e}") from e
+
+
 class StandardSegmenter(Segmenter):
     """One stage: the best label of each character. What lies beyond max_length - 2 characters is dropped; None keeps all."""
 
-    def __init__(self, scorer: ContextModel, max_length: int | None = MAX_LENGTH):
+    def __init__(self, scorer: Scorer, max_length: int | None = MAX_LENGTH):
         self.scorer, self.max_length = scorer, max_length
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, **options) -> StandardSegmenter:
+        """From a saved context model; ValueError if there is none."""
+        return cls(loaded("context model", path, lambda: ContextModel.load(spark, path)), **options)
+
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
         limit = None if self.max_length is None else self.max_length - 2
+        if isinstance(self.scorer, ContextModel):
+            return self.scorer.label(df, keys, text_col, limit).select(*keys, text.words("candidate").alias("words"))
         scored = self.scorer.score(df, keys, text_col, limit)
         return scored.select(*keys, text.words(labels.rebuild("text", "best")).alias("words"))
 
 
 class HierarchicalSegmenter(Segmenter):
-    """Two stages: k best label sequences, then the candidate of least perplexity."""
+    """Two stages: k best label sequences, then the candidate of least perplexity; texts without characters give no words."""
+
+    def __init__(self, scorer: Scorer, model: WordModel, beam_width: int = 5, max_length: int | None = MAX_LENGTH, combine_lambda: float | None = None, decode_separator: bool = False):
+        self.scorer, self.model, self.beam_width, self.max_length, self.combine_lambda, self.decode_separator = scorer, model, beam_width, max_length, combine_lambda, decode_separator
+
+    @classmethod
+    def load(cls, spark: SparkSession, scorer_path: str, model_path: str, **options) -> HierarchicalSegmenter:
+        """From a saved context model and a saved word model; ValueError if one is missing."""
+        return cls(loaded("context model", scorer_path, lambda: ContextModel.load(spark, scorer_path)), loaded("word model", model_path, lambda: WordModel.load(spark, model_path)), **options)
 
-    def __init__(self, scorer: ContextModel, model: WordModel, beam_width: int = 5, max_length: int = MAX_LENGTH, combine_lambda: float | None = None):
-        self.scorer, self.model, self.beam_width, self.max_length, self.combine_lambda = scorer, model, beam_width, max_length, combine_lambda
+    def candidates(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+        """keys, rank, candidate, score. With decode_separator a place after the text (of even odds, as count models know no such
+        token) is decoded where the text leaves room for it."""
+        limit = None if self.max_length is None else self.max_length - 2
+        if isinstance(self.scorer, ContextModel) and not self.decode_separator:
+            return self.scorer.propose(df, keys, text_col, self.beam_width, limit)
+        scored = self.scorer.score(df, keys, text_col, limit)
+        if not self.decode_separator:
+            return candidates(scored, keys, "text", "probabilities", self.beam_width)
+        n = 2 if self.scorer.scheme == "binary" else 4
+        room = F.lit(True) if limit is None else F.length(F.coalesce("text", F.lit(""))) < limit
+        scored = scored.withColumn("__sep", F.when(room, F.array_repeat(F.lit(1.0 / n), n)))
+        return candidates(scored, keys, "text", "probabilities", self.beam_width, "__sep")
 
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-        scored = self.scorer.score(df, keys, text_col, self.max_length - 2)
-        found = candidates(scored, keys, "text", "probabilities", self.beam_width)
+        # the candidates are read three times: for pairs of words, for their sums, for the choice
+        found = self.candidates(df, keys, text_col).persist()
         ppl = self.model.perplexity(found.withColumn("words", text.words("candidate")), [*keys, "rank"])
-        return choose(found.join(ppl, [*keys, "rank"]), keys, self.combine_lambda)
+        return choose(found.join(ppl, [*keys, "rank"], "left"), keys, self.combine_lambda)
 
 
 def fixed_width(text_col, width: int = 5) -> Column:
@@ -273,22 +541,34 @@ def fixed_width(text_col, width: int = 5) -> Column:
 
 
 def exact_split(df: DataFrame, key, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """df plus is_train: exactly int(share * n) rows by the order of a hash of the key.
+    """df plus is_train: exactly int(share * n) rows by the order of a hash of the key, rows of one key in any order.
 
-    Rows are counted by the first four digits of the hash; only the bucket in which the cut falls is ranked.
+    Rows are counted by a prefix of the hash, then those of the prefix in which the cut falls by a longer one, until what is left is
+    one hash (rows that share a key) or few rows: no task ranks more than that, but for rows of one key.
     """
-    hashed = df.withColumn("__h", F.md5(F.concat_ws("|", text.col(key), F.lit(str(seed))))).withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
-    counts = sorted((r["__b"], r["n"]) for r in hashed.groupBy("__b").agg(F.count("*").alias("n")).collect())  # 65,536 rows at most
-    want, cut, left = int(share * sum(n for _, n in counts)), -1, 0
-    for b, n in counts:
-        if n > want:
-            cut, left = b, want
+    digest, step = F.md5(F.concat_ws("|", text.col(key), F.lit(str(seed)))), 4
+    hashed = df.withColumn("__h", digest)
+    want, prefix, n = None, "", None
+    while len(prefix) < 32:
+        inside = hashed.where(F.startswith("__h", F.lit(prefix))) if prefix else hashed
+        counts = sorted((r["b"], r["n"]) for r in inside.groupBy(F.substring("__h", len(prefix) + 1, step).alias("b")).agg(F.count("*").alias("n")).collect())  # 65,536 rows at most
+        want = int(share * sum(x for _, x in counts)) if want is None else want
+        for b, n in counts:
+            if n > want:
+                prefix += b
+                break
+            want -= n
+        else:
+            return hashed.withColumn("is_train", F.lit(True)).drop("__h")
+        if n <= 100_000 or not want:
             break
-        want -= n
-    else:
-        cut = 1 << 16
-    ranked = hashed.where(F.col("__b") == cut).withColumn("__r", F.row_number().over(Window.orderBy("__h")))
-    rest = hashed.where(F.col("__b") != cut).withColumn("__r", F.lit(None).cast("int"))
-    train = F.when(F.col("__b") != cut, F.col("__b") < cut).otherwise(F.col("__r") <= left)
-    return rest.unionByName(ranked).withColumn("is_train", train).drop("__h", "__b", "__r")
+    ranked = hashed.where(F.startswith("__h", F.lit(prefix))).withColumn("__r", F.row_number().over(Window.orderBy("__h")))
+    ranked = ranked.withColumn("is_train", F.col("__r") <= want).drop("__h", "__r")
+    rest = hashed.where(~F.startswith("__h", F.lit(prefix))).withColumn("is_train", F.col("__h") < prefix).drop("__h")
+    return rest.unionByName(ranked)
+
 
+def shuffled_split(texts: DataFrame, text_col: str = "text", share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and development texts: the first share in the order of a hash, and the rest."""
+    split = exact_split(texts, F.concat_ws("|", F.coalesce(text_col, F.lit(""))), share, seed)
+    return split.where("is_train").drop("is_train"), split.where("not is_train").drop("is_train")

@@ -292,7 +292,7 @@ def perplexity(spark, sf_dir):
 @query()
 def segment_hierarchical(spark, sf_dir):
     v = verses_of(spark, sf_dir)
-    segmenter = decode.HierarchicalSegmenter(decode.ContextModel.fit(v), decode.WordModel.fit(v), beam_width=3)
+    segmenter = decode.HierarchicalSegmenter(decode.ContextModel.fit(v), decode.WordModel.fit(benchmark.lower_words(v)), beam_width=3)
     found = segmenter.segment(v.select(*KEYS, F.lower(text.without_spaces("text")).alias("text")), KEYS)
     return found.select(*KEYS, F.array_join("words", " ").alias("segmented"))
 
@@ -300,34 +300,22 @@ def segment_hierarchical(spark, sf_dir):
 @query()
 def segment_unsupervised(spark, sf_dir):
     v = corpus.unspaced_texts(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.lower("text").alias("text")))
-    found = BayesianSegmenter().train(v, epochs=3).segment(v, ["item_id"])
+    found = BayesianSegmenter().train(v).segment(v, ["item_id"])
     return found.select("item_id", F.array_join("words", " ").alias("segmented"))
 
 
 @query(
     LINES
-    + """, q AS (SELECT doc_id, line, list_transform(range(1, least(8, length(plain)) + 1), lambda i: (unicode(substring(plain, CAST(i AS BIGINT), 1)) % 9 + 1) / 11.0::DOUBLE) AS p FROM v),
-m AS (SELECT doc_id, line, p, unnest(range(CAST(power(2, len(p)) AS BIGINT))) AS s FROM q),
-e AS (SELECT doc_id, line, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN (s >> CAST(i - 1 AS BIGINT)) & 1 = 1 THEN ln(p[i]) ELSE ln(1 - p[i]) END)), 9) AS score FROM m),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC) AS k FROM e)
-SELECT doc_id, line, CAST(k - 1 AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r WHERE k <= 3"""
+    + """, q AS (SELECT doc_id, line, list_transform(range(1, length(plain) + 1), lambda i: (unicode(substring(plain, CAST(i AS BIGINT), 1)) % 9 + 1) / 11.0::DOUBLE) AS p FROM v),
+c AS (SELECT doc_id, line, list_sum(list_transform(p, lambda x: ln(greatest(x, 1 - x)))) AS best, list_sort(list_transform(p, lambda x: abs(ln(x) - ln(1 - x)))) AS loss FROM q),
+k AS (SELECT doc_id, line, unnest(CASE WHEN len(loss) = 1 THEN [0, 1] ELSE [0, 1, 2] END) AS rank, best, loss FROM c)
+SELECT doc_id, line, CAST(rank AS INTEGER) AS rank, CAST(round(best - CASE WHEN rank = 0 THEN 0 ELSE loss[rank] END, 6) AS DOUBLE) AS score FROM k"""
 )
-def kbest_short(spark, sf_dir):
-    """Of the first 8 characters, which its SQL can enumerate; kbest decodes whole lines."""
-    return _kbest(spark, sf_dir, 8)
-
-
-@query()
 def kbest(spark, sf_dir):
-    return _kbest(spark, sf_dir)
-
-
-def _kbest(spark, sf_dir, most: int | None = None):
+    """The three best sequences of whole lines: after the best, those that give up the cheapest place, and the second cheapest."""
     v = verses_of(spark, sf_dir)
-    plain = text.without_spaces("text")
-    p = F.transform(labels.code_points(plain if most is None else F.substring(plain, 1, most)), lambda c: F.array(1 - (c % 9 + 1) / 11.0, (c % 9 + 1) / 11.0))
-    spread = v.select(*KEYS, p.alias("p")).select(*KEYS, F.posexplode(decode.k_best("p", 3, None)).alias("rank", "b"))
-    return spread.select(*KEYS, "rank", F.round("b.score", 9).alias("score"))
+    p = F.transform(labels.code_points(text.without_spaces("text")), lambda c: (c % 9 + 1) / 11.0)
+    return decode.k_best_rows(v.select(*KEYS, p.alias("p")), KEYS, "p", 3).select(*KEYS, "rank", F.round("score", 6).alias("score"))
 
 
 # ---- noise
@@ -335,10 +323,10 @@ def _kbest(spark, sf_dir, most: int | None = None):
 #: Substitution of a letter by the next one and deletion, by md5 uniforms.
 NOISED = (
     LINES
-    + """, c AS (SELECT doc_id, line, plain, i, substring(plain, CAST(i + 1 AS BIGINT), 1) AS ch FROM (SELECT doc_id, line, lower(plain) AS plain, unnest(range(least(length(plain), 126))) AS i FROM v)),
+    + """, c AS (SELECT doc_id, line, plain, i, substring(plain, CAST(i + 1 AS BIGINT), 1) AS ch FROM (SELECT doc_id, line, lower(plain) AS plain, unnest(range(length(plain))) AS i FROM v)),
 x AS (SELECT *, CAST(('0x' || substr(md5('7|' || doc_id || ':' || line || '|' || i), 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE AS u FROM c),
 y AS (SELECT *, CASE WHEN ch BETWEEN 'a' AND 'y' AND u < 0.1::DOUBLE THEN chr(unicode(ch) + 1) WHEN ch BETWEEN 'a' AND 'y' AND u < 0.15::DOUBLE THEN '' ELSE ch END AS o FROM x),
-z AS (SELECT doc_id, line, substring(any_value(plain), 1, 126) AS clean, string_agg(o, '' ORDER BY i) AS noisy FROM y GROUP BY doc_id, line)
+z AS (SELECT doc_id, line, any_value(plain) AS clean, string_agg(o, '' ORDER BY i) AS noisy FROM y GROUP BY doc_id, line)
 """
 )
 
@@ -352,34 +340,25 @@ def _model(spark) -> noise.NoiseModel:
     return model
 
 
-def _noisy(spark, sf_dir, most: int | None = None):
-    """Whole lines, or their first characters as the SQL has them."""
-    clean = F.lower(text.without_spaces("text"))
-    v = verses_of(spark, sf_dir).withColumn("clean", clean if most is None else F.substring(clean, 1, most))
+def _noisy(spark, sf_dir):
+    """Whole lines without spaces in lower case, and what the noise model makes of them."""
+    v = verses_of(spark, sf_dir).withColumn("clean", F.lower(text.without_spaces("text")))
     return v.withColumn("noisy", _model(spark).generate("clean", F.concat_ws(":", "doc_id", "line")))
 
 
 @query(NOISED + "SELECT doc_id, line, clean, noisy FROM z")
 def noise_apply(spark, sf_dir):
-    """The first 126 characters, as its SQL; noise_apply_whole has the whole lines."""
-    return _noisy(spark, sf_dir, 126).select(*KEYS, "clean", "noisy")
-
-
-@query()
-def noise_apply_whole(spark, sf_dir):
     return _noisy(spark, sf_dir).select(*KEYS, "clean", "noisy")
 
 
-@query(NOISED + "SELECT doc_id, line, CAST(levenshtein(clean, noisy) AS INTEGER) AS distance, CAST(round(levenshtein(clean, noisy) / CAST(length(clean) AS DOUBLE), 9) AS DOUBLE) AS cer FROM z WHERE regexp_full_match(clean, '[ -~]*')")
-def edit_distance_cer(spark, sf_dir):
-    """Of the first 126 characters of the lines in ASCII, as its SQL (DuckDB measures bytes); edit_distance_cer_whole has all lines."""
-    n = _noisy(spark, sf_dir, 126).where(F.col("clean").rlike("^[ -~]*$"))
-    return _distances(n)
+#: Small letters beyond ASCII in the tables, for SQL that measures bytes: each becomes a capital, which no lower-cased line holds.
+BEYOND = "äöüßéèêàçîôûùœñáíóúâëï"
+SINGLE = f"z1 AS (SELECT doc_id, line, translate(clean, '{BEYOND}', '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'[: len(BEYOND)]}') AS clean, translate(noisy, '{BEYOND}', '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'[: len(BEYOND)]}') AS noisy FROM z)"
 
 
-@query()
-def edit_distance_cer_whole(spark, sf_dir):
-    """Of all lines, whole; characters are counted, not bytes."""
+@query(NOISED + f", {SINGLE} SELECT doc_id, line, CAST(levenshtein(clean, noisy) AS INTEGER) AS distance, CAST(round(levenshtein(clean, noisy) / CAST(length(clean) AS DOUBLE), 9) AS DOUBLE) AS cer FROM z1")
+def edit_distance_cer(spark, sf_dir):
+    """Characters are counted, not bytes."""
     return _distances(_noisy(spark, sf_dir))
 
 
@@ -397,18 +376,7 @@ t AS (SELECT 'character_distribution' AS kind, ch, CAST(NULL AS VARCHAR) AS key,
 SELECT kind, ch, key, CAST(round(p, 9) AS DOUBLE) AS p FROM t"""
 )
 def noise_learn(spark, sf_dir):
-    """From the first 126 characters, as its SQL; noise_learn_whole learns from whole lines."""
-    return _learned(spark, sf_dir, 126)
-
-
-@query()
-def noise_learn_whole(spark, sf_dir):
-    return _learned(spark, sf_dir)
-
-
-def _learned(spark, sf_dir, most: int | None = None):
-    clean = F.lower(text.without_spaces("text"))
-    v = verses_of(spark, sf_dir).withColumn("clean", clean if most is None else F.substring(clean, 1, most))
+    v = verses_of(spark, sf_dir).withColumn("clean", F.lower(text.without_spaces("text")))
     key = F.concat_ws(":", "doc_id", "line")
     # aligned by construction: a deleted character leaves the gap
     chars = F.filter(F.split("clean", ""), lambda c: c != "")
