@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, fresh, maybe_broadcast, texts
 
+#: Measured bytes up to which the hashes of repeated windows are broadcast. Beyond, the windows' texts (about 3 times the input) and
+#: the documents are shuffled instead.
+LOOKUP_BYTES = 64 << 20
 #: Least lines and words of a run that may go.
 LEAST_LINES, LEAST_WORDS = 2, 20
 
@@ -110,15 +113,15 @@ def dedup_lines(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), *cols], names=["doc_id", "k", "hash", "body"][: 3 + bodies])
 
     marked = work.settle(src.mapInArrow(lambda it: mark(it, False), f"doc_id {kind}, k long, hash binary"), "chunks")
-    often = maybe_broadcast(work.settle(marked.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated"))
+    often = maybe_broadcast(work.settle(marked.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated"), LOOKUP_BYTES)
     bodies = src.mapInArrow(lambda it: mark(it, True), f"doc_id {kind}, k long, hash binary, body binary").drop("k").join(often, "hash")
     equal = work.settle(bodies.groupBy("hash", "body").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).select("hash", "first", "n"), "compared")
     firsts = equal.groupBy("hash").agg(F.max("first").alias("first"), F.count("*").alias("bodies")).where("bodies = 1 and first is not null")
     firsts = work.settle(firsts.select("hash", "first"), "firsts")
-    gone = work.settle(marked.join(maybe_broadcast(firsts), "hash").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "k", "hash").distinct(), "removed")
+    gone = work.settle(marked.join(maybe_broadcast(firsts, LOOKUP_BYTES), "hash").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "k", "hash").distinct(), "removed")
     work.drop(marked, equal)
     names, listed, doc, k = df.columns, fresh(df, "gone"), fresh(df, "doc"), fresh(df, "key")
-    lists = maybe_broadcast(gone.groupBy(F.col("doc_id").alias(doc), F.col("k").alias(k)).agg(F.collect_list("hash").alias(listed)))
+    lists = maybe_broadcast(gone.groupBy(F.col("doc_id").alias(doc), F.col("k").alias(k)).agg(F.collect_list("hash").alias(listed)), LOOKUP_BYTES)
     joined = df.join(lists, F.col(f"`{id_col}`").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(k)), "left").select(*[F.col(f"`{c}`") for c in names], listed)
     at = names.index(text_col)
 
