@@ -254,12 +254,12 @@ def _mixed_links(members: DataFrame, nodes: DataFrame, df: DataFrame, work: Work
 
 
 def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row: the components of documents with similar sets of word shingles.
+    """doc_id, n_shingles, component_id, kept, group_id for each row: the components of documents with similar sets of word shingles.
 
     A set holds the distinct shingles of `size` words, or the whole sequence where there are fewer; documents without words have
     empty sets and link with nothing. Links have 100 * intersection >= percent * union. kept: doc_id is the least of its
     component. Rows with a null id are returned unlinked, component null, kept. Rows that repeat an id are judged each by its own
-    text. Other columns are left out but those named in `carry`, which must not bear the names of the result.
+    text; group_id tells their components apart (null without a set). Other columns are left out but those named in `carry`, which must not bear the names of the result.
     """
     carry = list(carry)
     table = work.settle(sketch(df, size, id_col, text_col, carry), "sketches")
@@ -287,8 +287,8 @@ def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int
         joined = joined.join(maybe_broadcast(more), "component", "left").withColumn("component", F.coalesce("whole", "component"))
     joined = work.settle(joined.select("set_key", "rep", "component"), "components")
     least = work.settle(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "least-ids", n)
-    named = work.settle(joined.join(maybe_broadcast(least), "component").select("set_key", "component_id"), "named-classes")
-    columns = ["doc_id", "n_shingles", "component_id", *carry]
+    named = work.settle(joined.join(maybe_broadcast(least), "component").select("set_key", "component_id", F.col("component").alias("group_id")), "named-classes")
+    columns = ["doc_id", "n_shingles", "component_id", "group_id", *carry]
     out = table.where(searched).select("doc_id", "n_shingles", "set_key", *carry).join(maybe_broadcast(named), "set_key").select(*columns)
-    out = out.unionByName(table.where(~searched).withColumn("component_id", F.col("doc_id")).select(*columns))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *carry)
+    out = out.unionByName(table.where(~searched).withColumns({"component_id": F.col("doc_id"), "group_id": F.lit(None).cast("long")}).select(*columns))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "group_id", *carry)

@@ -67,14 +67,14 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     bound_batches(spark)
     work, (keyed, key) = Workspace(spark, "pipeline-minhash"), _with_row_key(docs)
-    found = work.settle(minhash.near_duplicates(keyed, work, carry=key).select("component_id", "kept", "n_shingles", *key), "groups")
+    found = work.settle(minhash.near_duplicates(keyed, work, carry=key).select("group_id", "kept", *key), "groups")
     gone = found.where("not kept").select(*key)
     # kept rows of one group share the least id: the first of them by hash stays, once
-    shared = found.where("kept and component_id is not null and n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(*key)).alias("first"), F.max(F.struct(*key)).alias("last"), F.count("*").alias("n")).where("n > 1")
+    shared = found.where("kept and group_id is not null").groupBy("group_id").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = work.settle(shared, "shared-ids")
     if not shared.take(1):
         return _without(keyed, work.settle(gone.distinct(), "gone"), key).select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = found.where("kept").join(shared.select("component_id", "first"), "component_id").select(*key, (F.struct(*key) == F.col("first")).alias("once"))
+    again = found.where("kept").join(shared.select("group_id", "first"), "group_id").select(*key, (F.struct(*key) == F.col("first")).alias("once"))
     again = work.settle(again.distinct(), "rows-of-shared-ids")
     rest = _without(keyed, work.settle(gone.union(again.select(*key)).distinct(), "gone"), key)
     once = keyed.join(maybe_broadcast(again.where("once").select(*key)), key, "left_semi").dropDuplicates(key)

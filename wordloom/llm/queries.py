@@ -56,7 +56,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op9"), size=4)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op9"), size=4).drop("group_id")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
