@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,6 +232,15 @@ def test_unsupervised(spark):
     word = "circumspectantibus"
     model = PitmanYor({word: 1000, "et": 500}, {("", word): 900, (word, "et"): 500}, Letters({word: 1, "et": 1}, 7, 26, 0.5, 2.0, 6.0), (0.5, 0.5), (2.0, 2.0), 30)
     assert model.split(word + "et" + word, None) == [word, "et", word]
+    small = PitmanYor({"ab": 3, "a": 2, "b": 1}, {("ab", "a"): 2, ("a", "b"): 1, ("", "ab"): 2}, Letters({"ab": 1, "a": 1, "b": 1}, 3, 2, 0.5, 2.0, 2.0), (0.4, 0.6), (1.0, 1.5), 4)
+    for t in ("abab", "aab", "baabab"):  # the most probable of all segmentations
+        cuts = itertools.product((0, 1), repeat=len(t) - 1)
+        every = ["".join(c + " " * x for c, x in zip(t, [*cut, 0], strict=True)).split() for cut in cuts]
+        every = [w for w in every if max(map(len, w)) <= 4]
+        assert small.log_likelihood(small.split(t, None)) == pytest.approx(max(map(small.log_likelihood, every)))
+        drawn = Counter(tuple(small.split(t, random.Random(k))) for k in range(3000))
+        mass = {tuple(w): math.exp(small.log_likelihood(w)) for w in every}
+        assert all(abs(drawn[w] / 3000 - m / sum(mass.values())) < 0.04 for w, m in mass.items())
     assert sum(model.probability(b, w) for w in (word, "et") for b in ["et"]) < 1 and s._longest(5.0, 18, 100) >= 18
     got = s.segment(spark.createDataFrame([(1, "helloworld"), (2, "")], "k int, text string"), ["k"]).collect()
     assert "".join(got[0]["words"]) == "helloworld" and got[1]["words"] == []

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .decode import Segmenter
 
-#: Bytes of a count table that are sent to every worker at most; a row is taken to need so many. Beyond that a table is joined.
+#: Bytes of a count table that are sent to every worker at most; a row is taken to need so many. Larger ones are refused, not cut.
 SENT_BYTES, ROW_BYTES = 256 << 20, 120
 #: Share of the probability of lengths that may lie beyond the longest word looked for.
 TAIL = 1e-9
@@ -101,47 +101,69 @@ class PitmanYor:
         (_, d), (_, theta) = self.d, self.theta
         return (max(self.pairs.get((before, w), 0) - d, 0.0) + (theta + d * row[1]) * p) / (theta + row[0])
 
+    def unigrams(self, text: str) -> list[list[float]]:
+        """P(word) of text[i - k : i] at [i][k], letter by letter from each place."""
+        letters, (d, _), (theta, _) = self.letters, self.d, self.theta
+        lengths = [k * math.log(letters.mean) - letters.mean - math.lgamma(k + 1) for k in range(self.longest + 1)]
+        out = [[0.0] * (min(i, self.longest) + 1) for i in range(len(text) + 1)]
+        for j in range(len(text)):
+            part, total = "\x02" * (letters.order - 1) + text[j : j + self.longest], 0.0
+            for k in range(1, len(part) - letters.order + 2):
+                total += math.log(letters.letter(part[k - 1 : k - 1 + letters.order]))
+                seen = max(self.words.get(text[j : j + k], 0) - d, 0.0)
+                out[j + k][k] = (seen + (theta + d * self.types) * math.exp(max(total + lengths[k], -600.0))) / (theta + self.total)
+        return out
+
     def split(self, text: str, rng: random.Random | None) -> list[str]:
         """A sampled segmentation, or the most probable one without a source of chance.
 
-        States are (end, length of the last word). A pair that was never seen costs what its words cost, so places without a known
-        pair are summed once for all words before.
+        States are (end, length of the last word). A word that was never seen stands in no known pair, so what came before is summed
+        (or its best taken) once for all such words; only known words look at each word before them.
         """
         n = len(text)
         if not n:
             return []
-        unigram = [[0.0] * (min(i, self.longest) + 1) for i in range(n + 1)]
-        for i in range(1, n + 1):
-            for k in range(1, min(i, self.longest) + 1):
-                unigram[i][k] = self.unigram(text[i - k : i])
-        score = [[-math.inf] * (min(i, self.longest) + 1) for i in range(n + 1)]
-        back: list[list[int]] = [[0] * (min(i, self.longest) + 1) for i in range(n + 1)]
+        unigram, (_, d), (_, theta) = self.unigrams(text), self.d, self.theta
+        score: list[list[float]] = [[]]
+        behind: list[list[float]] = [[]]  # score and what backing off after this word costs
+        back, whole, first = [[0]], [0.0], [0]
         for i in range(1, n + 1):
+            row, came, off = [-math.inf], [0], [-math.inf]
             for k in range(1, min(i, self.longest) + 1):
                 j, w, p = i - k, text[i - k : i], unigram[i][k]
                 if not j:
-                    score[i][k] = math.log(self.probability("", w, p))
-                    continue
-                options = [score[j][m] + math.log(self.probability(text[j - m : j], w, p)) for m in range(1, min(j, self.longest) + 1)]
-                top = max(options)
-                if rng is None:
-                    score[i][k], back[i][k] = top, options.index(top) + 1
+                    best, at = math.log(self.probability("", w, p)), 0
+                elif w not in self.words:
+                    best, at = whole[j] + math.log(p), first[j]
                 else:
-                    score[i][k] = top + math.log(sum(math.exp(s - top) for s in options))
-        out, i, last = [], n, score[n]
+                    lp = math.log(p)
+                    options = [score[j][m] + math.log(self.probability(b, w, p)) if (b := text[j - m : j], w) in self.pairs else behind[j][m] + lp for m in range(1, len(score[j]))]
+                    top = max(options)
+                    best, at = (top, options.index(top) + 1) if rng is None else (top + math.log(sum(math.exp(x - top) for x in options)), 0)
+                row.append(best)
+                came.append(at)
+                after = self.after.get(w)
+                off.append(best if after is None else best + math.log((theta + d * after[1]) / (theta + after[0])))
+            top = max(off)
+            score.append(row)
+            back.append(came)
+            behind.append(off)
+            first.append(off.index(top))
+            whole.append(top if rng is None else top + math.log(sum(math.exp(x - top) for x in off[1:])))
+        out, i = [], n
         if rng is None:
-            k = max(range(1, len(last)), key=last.__getitem__)
+            k = max(range(1, len(score[n])), key=score[n].__getitem__)
             while i:
                 out.append(text[i - k : i])
                 i, k = i - k, back[i][k]
             return out[::-1]
-        weights, w = last[1:], None
+        weights, w = score[n][1:], None
         while i:
             if w is not None:  # the word before, given the one after it
-                p = self.unigram(w)
-                weights = [score[i][m] + math.log(self.probability(text[i - m : i], w, p)) for m in range(1, min(i, self.longest) + 1)]
+                p = unigram[i + len(w)][len(w)]
+                weights = [score[i][m] + math.log(self.probability(text[i - m : i], w, p)) for m in range(1, len(score[i]))]
             top = max(weights)
-            k = rng.choices(range(1, len(weights) + 1), [math.exp(s - top) for s in weights])[0]
+            k = rng.choices(range(1, len(weights) + 1), [math.exp(x - top) for x in weights])[0]
             w = text[i - k : i]
             out.append(w)
             i -= k
