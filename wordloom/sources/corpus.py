@@ -33,9 +33,18 @@ def write_nested(df: DataFrame, path: str) -> None:
     b.select(F.to_json(F.map_from_arrays(F.array("book"), F.array("chapters"))).alias("value")).write.mode("overwrite").text(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer tasks than there are cores, as files of one row group do; else df itself.
+
+    One exchange of the rows, only ever of a table too small to keep the cores busy; texts of any length land anywhere, no key is hot.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents_as_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as a corpus: a verse for each line with a word; book = source, chapter = doc_id, verse = line."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "lang", "text"))
     lines = docs.select("source", "doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     kept = lines.withColumn("words", text.words("raw")).where(F.size("words") > 0)
     return kept.select(F.col("source").alias("book"), "doc_id", "lang", "line", "words", F.array_join("words", " ").alias("text"))
