@@ -6,9 +6,11 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -232,8 +234,8 @@ class WordModel:
 
 #: Characters to the left (with the one labelled) and right of each back-off level; observations a level needs.
 LEVELS, LEAST_SEEN = ((4, 3), (3, 2), (2, 1)), 5
-#: Bytes of deciding contexts that are sent to every worker at most; a context is taken to need so many.
-SENT_BYTES, CONTEXT_BYTES = 128 << 20, 160
+#: Bytes of deciding contexts that are sent to every worker at most: of each, a number and its counts take 8 bytes apiece.
+SENT_BYTES = 64 << 20
 #: Signs of the labels by id.
 SIGNS = {"binary": "IE", "quadri": "IEBS"}
 
@@ -308,20 +310,15 @@ class ContextModel:
         least = F.when(F.col("k") + 1 < len(LEVELS), F.lit(LEAST_SEEN)).otherwise(F.lit(1))
         return rows.groupBy("k", "c").agg(*[F.sum(x).alias(x) for x in ("n", *self.columns)]).where(F.col("n") >= least)
 
-    def tables(self) -> list[dict[str, tuple[int, ...]]] | None:
-        """For each level the contexts that can decide, if they are few enough to be sent to every worker; counted before they are."""
+    def tables(self) -> Tables | None:
+        """The contexts that can decide, if they are few enough to be sent to every worker; counted before they are."""
         levels = self._levels().persist()
         try:
-            if levels.count() * CONTEXT_BYTES > SENT_BYTES:
+            if levels.count() * 8 * (2 + len(self.columns)) > SENT_BYTES:
                 return None
-            got = levels.select("k", "c", "n", *self.columns).toPandas()
+            return Tables.build(levels.select("k", "c", "n", *self.columns).toArrow())
         finally:
             levels.unpersist()
-        out: list[dict[str, tuple[int, ...]]] = [{} for _ in LEVELS]
-        counts = list(zip(*(got[c].tolist() for c in ("n", *self.columns)), strict=True))
-        for k, c, v in zip(got["k"].tolist(), got["c"].tolist(), counts, strict=True):
-            out[k][c] = v
-        return out
 
     def decisions(self, of: DataFrame) -> DataFrame:
         """context, n, ... of the level that decides, for each distinct context in `of`."""
@@ -346,7 +343,7 @@ class ContextModel:
     def score(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
         """keys, text, probabilities (per character, by label id, smoothed by one half each), best (integer decisions).
 
-        The deciding contexts are looked up in dictionaries if they fit SENT_BYTES, by joins otherwise.
+        The deciding contexts are looked up in sorted arrays if they fit SENT_BYTES, by joins otherwise.
         """
         self.prepare(df.sparkSession)
         src = df.select(*keys, F.col(text_col).alias("__text"))
@@ -359,22 +356,21 @@ class ContextModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = [look.counts(t or "") for t in batch.column(n).to_pylist()]
-                p = [[look.probabilities(c) for c in row] for row in at]
-                best = [[look.best(c) for c in row] for row in at]
+                p, best = [look.probabilities(c).tolist() for c in at], [look.best(c).tolist() for c in at]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.list_(pa.list_(pa.float64()))), pa.array(best, pa.list_(pa.int32()))], names=names)
 
         return src.mapInArrow(run, schema).select(*keys, F.col("__text").alias("text"), F.col("p").alias("probabilities"), "best")
 
     def label(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
         """keys, candidate: the text rebuilt by the best labels in the worker that finds them; null texts are empty."""
-        return self._mapped(df, keys, text_col, limit, "string", lambda look, t: rebuilt(t, [look.best(c) for c in look.counts(t)]), pa.string())
+        return self._mapped(df, keys, text_col, limit, "string", lambda look, t: rebuilt(t, look.best(look.counts(t)).tolist()), pa.string())
 
     def propose(self, df: DataFrame, keys: list[str], text_col: str, k: int, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
         """keys, rank, candidate, score: `candidates` of the probabilities, found in the worker that scores."""
 
         def one(look: Lookup, t: str):
-            counts = look.counts(t)
-            sequences = k_best_pairs([look.probabilities(c)[1] for c in counts], k) if look.scheme == "binary" else k_best_sequences([look.probabilities(c) for c in counts], k)
+            p = look.probabilities(look.counts(t))
+            sequences = k_best_pairs(p[:, 1].tolist(), k) if look.scheme == "binary" else k_best_sequences(p.tolist(), k)
             return [{"rank": r, "candidate": c, "score": s} for r, c, s in distinct_candidates(t, sequences)]
 
         kind = pa.list_(pa.struct([("rank", pa.int32()), ("candidate", pa.string()), ("score", pa.float64())]))
@@ -434,35 +430,97 @@ class ContextModel:
         return decided.select(*src.columns, F.transform("cells", probabilities).alias("probabilities"), F.transform("cells", best).alias("best"))
 
 
+class Tables(NamedTuple):
+    """The contexts that can decide, shortest level first, as sorted numbers with their counts.
+
+    A context that is seen often enough lies around a shorter one that is, too: its number is the place of that one, then its own
+    first and last character, as digits of base alphabet. Contexts of the shortest level count all their characters.
+    """
+
+    alphabet: np.ndarray
+    numbers: list[np.ndarray]
+    counts: list[np.ndarray]
+
+    @classmethod
+    def build(cls, rows: pa.Table) -> Tables:
+        """From rows k, c and counts, where every context of a level has its inner part on the next."""
+        of, signs = [], []
+        for k, (left, right) in enumerate(LEVELS):
+            level = rows.filter(pc.equal(rows["k"], k))
+            of.append(np.stack([level[c].to_numpy() for c in level.column_names[2:]], axis=1))
+            signs.append(code_points("".join(level["c"].to_pylist())).reshape(-1, left + right))
+        made = cls(np.unique(np.concatenate([x.ravel() for x in signs])), [], [])
+        for x, n in zip(reversed(signs), reversed(of), strict=True):
+            number = made.number(made.digits(x), len(made.numbers))
+            order = np.argsort(number)
+            made.numbers.append(number[order])
+            made.counts.append(n[order])
+        return made
+
+    def digits(self, points: np.ndarray) -> np.ndarray:
+        """Places in the alphabet, -1 for strangers."""
+        return find(self.alphabet, points)
+
+    def number(self, digits: np.ndarray, level: int) -> np.ndarray:
+        """The number of each row of digits as a context of a level, -1 where it can't be there."""
+        base, width = len(self.alphabet), digits.shape[1]
+        if level:
+            inner = find(self.numbers[level - 1], self.number(digits[:, 1:-1], level - 1))
+            used = [digits[:, 0], digits[:, -1]]
+        else:
+            inner, used = digits[:, 0], [digits[:, i] for i in range(1, width)]
+        out, known = inner.copy(), inner >= 0
+        for d in used:
+            out = out * base + d
+            known = known & (d >= 0)
+        return np.where(known, out, -1)
+
+
+def code_points(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def find(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each x in an ordered array, -1 if it is not there."""
+    if not len(ordered):
+        return np.full(x.shape, -1, np.int64)
+    at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+    return np.where(ordered[at] == x, at, -1)
+
+
 class Lookup:
-    """Counts that decide each character of a text, and what follows from them, in a worker."""
+    """Counts that decide each character of a text, and what follows from them, in a worker. A row for each character."""
 
     def __init__(self, shared, scheme: str, limit: int | None):
         self.shared, self.scheme, self.limit, self.given = shared, scheme, limit, None
-        self.none = (0, 0) if scheme == "binary" else (0, 0, 0, 0)
 
-    def counts(self, t: str) -> list[tuple[int, ...]]:
+    def counts(self, t: str) -> np.ndarray:
+        columns = 2 if self.scheme == "binary" else 4
         if self.given is not None:
-            return self.given
-        long, mid, short = self.shared.value
-        left, right = LEVELS[0]
-        a, b, c, d = left - LEVELS[1][0], left + LEVELS[1][1], left - LEVELS[2][0], left + LEVELS[2][1]
-        padded = "\x02" * (left - 1) + t + "\x03" * right
-        keys = [padded[i : i + left + right] for i in range(len(t) if self.limit is None else min(len(t), self.limit))]
-        return [long.get(k) or mid.get(k[a:b]) or short.get(k[c:d], self.none) for k in keys]
+            return np.array(self.given, np.int64).reshape(-1, columns)
+        tables, (left, right) = self.shared.value, LEVELS[0]
+        n = len(t) if self.limit is None else min(len(t), self.limit)
+        out = np.zeros((n, columns), np.int64)
+        if not n:
+            return out
+        around = tables.digits(code_points("\x02" * (left - 1) + t[: n + right] + "\x03" * right)[: n + left + right - 1])
+        digits = np.lib.stride_tricks.sliding_window_view(around, left + right)
+        for level, (numbers, counts) in enumerate(zip(tables.numbers, tables.counts, strict=True)):
+            cut = len(tables.numbers) - 1 - level
+            at = find(numbers, tables.number(digits[:, cut : digits.shape[1] - cut], level))
+            out[at >= 0] = counts[at[at >= 0]]
+        return out
 
-    def probabilities(self, c: tuple[int, ...]) -> list[float]:
+    def probabilities(self, c: np.ndarray) -> np.ndarray:
         if self.scheme == "binary":
-            p = (c[1] + 0.5) / (c[0] + 1.0)
-            return [1 - p, p]
-        whole = c[0] + 2.0
-        return [(c[0] - sum(c[1:]) + 0.5) / whole, *((x + 0.5) / whole for x in c[1:])]
+            p = (c[:, 1] + 0.5) / (c[:, 0] + 1.0)
+            return np.stack([1 - p, p], axis=1)
+        return (np.column_stack([c[:, 0] - c[:, 1:].sum(axis=1), c[:, 1:]]) + 0.5) / (c[:, :1] + 2.0)
 
-    def best(self, c: tuple[int, ...]) -> int:
+    def best(self, c: np.ndarray) -> np.ndarray:
         if self.scheme == "binary":
-            return int(2 * c[1] >= c[0])
-        counts = (c[0] - sum(c[1:]), *c[1:])
-        return counts.index(max(counts))
+            return (2 * c[:, 1] >= c[:, 0]).astype(np.int32)
+        return np.column_stack([c[:, 0] - c[:, 1:].sum(axis=1), c[:, 1:]]).argmax(axis=1)
 
 
 # ---- segmenters
