@@ -1,8 +1,10 @@
 import itertools
 import math
 import random
+import types
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,30 @@ def test_four_labels(spark):
         decode.ContextModel.fit(df, scheme="other")
 
 
+def test_lookup_equals_dictionaries():
+    """Random texts of one, two and four-byte characters, with strangers and NUL, against plain dictionaries of all levels."""
+    r = random.Random(5)
+    make = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    seen = [Counter() for _ in decode.LEVELS]
+    for t in [make(r.randint(1, 60), "abé\0\U0001f600") for _ in range(300)]:
+        padded = "\x02\x02\x02" + t + "\x03\x03\x03"
+        for i in range(len(t)):
+            for level, (left, right) in zip(seen, decode.LEVELS, strict=True):
+                level[padded[i + 4 - left : i + 4 + right]] += 1
+    kept = [{c: n for c, n in level.items() if n >= (decode.LEAST_SEEN if k + 1 < len(seen) else 1)} for k, level in enumerate(seen)]
+    rows = [{"k": k, "c": c, "n": n, "e": n // 2} for k, level in enumerate(kept) for c, n in level.items()]
+    tables = decode.Tables.build(pa.Table.from_pylist(rows))
+    for limit in (None, 10):
+        look = decode.Lookup(types.SimpleNamespace(value=tables), "binary", limit)
+        for t in ["", "a", "zz", *(make(r.randint(0, 40), "abcé\0\U0001f600") for _ in range(200))]:
+            padded = "\x02\x02\x02" + t + "\x03\x03\x03"
+            found = lambda i: next((n for level, (a, b) in zip(kept, decode.LEVELS, strict=True) if (n := level.get(padded[i + 4 - a : i + 4 + b]))), 0)  # noqa: B023, E731
+            want = [[n, n // 2] for n in (found(i) for i in range(len(t[:limit])))]
+            assert look.counts(t).tolist() == want
+    empty = decode.Tables.build(pa.table({c: pa.array([], pa.string() if c == "c" else pa.int64()) for c in ("k", "c", "n", "e")}))
+    assert decode.Lookup(types.SimpleNamespace(value=empty), "binary", None).counts("ab").tolist() == [[0, 0], [0, 0]]
+
+
 def test_contexts_too_many_to_send(spark, monkeypatch):
     rows = [(i, "in principio erat verbum".split()) for i in range(6)] + [(9, [])]
     df = spark.createDataFrame(rows, "i int, words array<string>").withColumn("text", F.array_join("words", ""))
