@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..sources.scratch import Scratch
 
 #: Characters that get a label: token places less the two special ones.
 MAX_LENGTH = 128
@@ -114,7 +115,7 @@ def k_best_rows(df: DataFrame, keys: list[str], ends: str, k: int) -> DataFrame:
 
     Found in the worker, in time linear in the length; k_best says the same as an expression, for short texts.
     """
-    src = df.select(*keys, F.col(ends).alias("__p"))
+    src = df.select(*keys, F.col(ends).alias(unused("p", keys)))
     n, names = len(keys), [*keys, "found"]
     kind = pa.list_(pa.struct([("rank", pa.int32()), ("score", pa.float64()), ("seq", pa.list_(pa.int32()))]))
     schema = src.select(*keys).withColumn("found", F.lit(None).cast("array<struct<rank:int,score:double,seq:array<int>>>")).schema
@@ -127,6 +128,21 @@ def k_best_rows(df: DataFrame, keys: list[str], ends: str, k: int) -> DataFrame:
     return src.mapInArrow(run, schema).select(*keys, F.inline("found"))
 
 
+def isolated(one, text: str) -> tuple:
+    """one(text) and no error, or nothing and what went wrong: a text that fails must not end the run of all others."""
+    try:
+        return one(text), None
+    except Exception as e:  # noqa: BLE001
+        return None, f"{type(e).__name__}: {e}"
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A name like this one that is not taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def rebuilt(t: str, label_ids: list[int]) -> str:
     """Characters with a space after each labelled 1 or 3, ends stripped (functions.labels.rebuild in a worker)."""
     return "".join(c + " " if x in (1, 3) else c for c, x in zip(t, label_ids, strict=False)).strip()
@@ -149,7 +165,8 @@ def candidates(df: DataFrame, keys: list[str], text_col: str, probabilities: str
     separator names a column with the probabilities of one more place after the text: it is decoded too, takes part in scores and
     ranks, and leaves the text alone, so fewer texts come out of k sequences.
     """
-    src = df.select(*keys, F.col(text_col).alias("__text"), F.col(probabilities).alias("__p"), *([F.col(separator).alias("__s")] if separator else []))
+    given = [F.col(c).alias(unused(name, keys)) for c, name in ((text_col, "text"), (probabilities, "p"), (separator, "s")) if c]
+    src = df.select(*keys, *given)
     n, names = len(keys), [*keys, "found"]
     schema = src.select(*keys).withColumn("found", F.lit(None).cast(CANDIDATES)).schema
 
@@ -168,12 +185,13 @@ def choose(scored: DataFrame, keys: list[str], combine_lambda: float | None = No
     """keys, words: of each key the candidate of least perplexity, the better rank on a tie.
 
     combine_lambda ranks by beam score - lambda * total negative log-likelihood instead (an extension, off by default). A perplexity
-    that is null or no number puts a candidate last, the first one first.
+    that is null or no number puts a candidate last, the first one first. A column error is kept.
     """
     odd = F.col("perplexity").isNull() | F.isnan("perplexity")
     ppl = F.when(odd, F.when(F.col("rank") == 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).otherwise(F.col("perplexity"))
     rule = ppl if combine_lambda is None else combine_lambda * F.coalesce("nll", F.lit(0.0)) - F.col("score")
-    return scored.groupBy(*keys).agg(text.words(F.min_by("candidate", F.struct(rule.alias("r"), "rank"))).alias("words"))
+    error = [F.max("error").alias("error")] if "error" in scored.columns else []
+    return scored.groupBy(*keys).agg(text.words(F.min_by("candidate", F.struct(rule.alias("r"), "rank"))).alias("words"), *error)
 
 
 # ---- word model
@@ -205,6 +223,18 @@ class WordModel:
     def load(cls, spark: SparkSession, path: str, **options) -> WordModel:
         return cls(spark.read.parquet(f"{path}/unigrams"), spark.read.parquet(f"{path}/bigrams"), **options)
 
+    def prepare(self, spark: SparkSession) -> WordTables | None:
+        """The model as it is sent to workers, once for several calls; None if it is larger than SENT_BYTES, measured before it is collected."""
+        if not hasattr(self, "_shared"):
+            uni, bi = self.unigrams.persist(), self.bigrams.persist()
+            try:
+                size = uni.agg(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()[0] + 16 * bi.count()
+                self._shared = spark.sparkContext.broadcast(WordTables.build(uni.toArrow(), bi.toArrow(), self.weight, self.unknown)) if size <= SENT_BYTES else None
+            finally:
+                uni.unpersist()
+                bi.unpersist()
+        return self._shared
+
     def perplexity(self, df: DataFrame, keys: list[str], words_col: str = "words") -> DataFrame:
         """keys, nll, n, perplexity: exp of the mean negative log-likelihood; texts without words are left out.
 
@@ -229,6 +259,51 @@ class WordModel:
         return out.withColumn("perplexity", F.exp("loss"))
 
 
+class WordTables:
+    """Word bigrams in sorted arrays: a pair is the number of its first word times their count, plus that of the second."""
+
+    def __init__(self, words: list[str], n_word: np.ndarray, n_before: np.ndarray, numbers: np.ndarray, n_pair: np.ndarray, weight: float, unknown: float):
+        self.words, self.n_word, self.n_before, self.numbers, self.n_pair, self.weight, self.unknown = words, n_word, n_before, numbers, n_pair, weight, unknown
+        self.total = max(1, int(n_word.sum()) + int((n_word > 0).sum()))
+
+    @classmethod
+    def build(cls, uni: pa.Table, bi: pa.Table, weight: float, unknown: float) -> WordTables:
+        words = pc.unique(pa.chunked_array([*uni["word"].chunks, *bi["before"].chunks, pa.array([""], pa.string())]))
+        place = lambda c: pc.index_in(c, value_set=words).to_numpy().astype(np.int64)
+        n_word, first, second, n = np.zeros(len(words), np.int64), place(bi["before"]), place(bi["word"]), bi["n"].to_numpy()
+        n_word[place(uni["word"])] = uni["n"].to_numpy()
+        number = first * len(words) + second
+        order = np.argsort(number)
+        return cls(words.to_pylist(), n_word, np.bincount(first, n, len(words)).astype(np.int64), number[order], n[order], weight, unknown)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_places"}
+
+    def nll(self, words: list[str]) -> np.ndarray:
+        """Of each word the negative log probability after the one before it, that of the first after none."""
+        if not hasattr(self, "_places"):
+            self._places = {w: i for i, w in enumerate(self.words)}
+        at = np.array([self._places.get(w, -1) for w in words], np.int64)
+        before = np.concatenate([[self._places[""]], at[:-1]])
+        pair = find(self.numbers, np.where((at >= 0) & (before >= 0), before * len(self.words) + at, -1))
+        n_pair = np.where(pair >= 0, self.n_pair[pair], 0) if len(self.n_pair) else np.zeros(len(at))
+        n_before = np.where(before >= 0, self.n_before[before], 0)
+        bigram = np.divide(n_pair, n_before, out=np.zeros(len(at)), where=n_before > 0)
+        n_word = np.where(at >= 0, self.n_word[at], 0)
+        alone = np.where(n_word > 0, n_word + 1.0, self.unknown ** np.array([len(w) for w in words], float)) / self.total
+        return -np.log(np.maximum(self.weight * bigram + (1 - self.weight) * alone, math.ulp(0.0)))
+
+    def best(self, found: list[tuple[int, str, float]], combine_lambda: float | None) -> str:
+        """Of candidates (rank, text, score) the one that `choose` takes."""
+        split = [c.split() for _, c, _ in found]
+        each = [self.nll(w).sum() if w else None for w in split]
+        rules = []
+        for (rank, _, score), words, x in zip(found, split, each, strict=True):
+            rule = (-math.inf if rank == 0 else math.inf) if x is None else math.exp(min(x / len(words), 700.0))
+            rules.append((rule if combine_lambda is None else combine_lambda * (x or 0.0) - score, rank))
+        return found[min(range(len(found)), key=rules.__getitem__)][1]
+
+
 # ---- context classifier
 
 
@@ -334,6 +409,11 @@ class ContextModel:
             pick = F.when(F.col(found[0]) >= LEAST_SEEN, F.struct(*[F.col(x).alias(c) for x, c in zip(found, columns, strict=True)])).otherwise(pick)
         return out.select("context", pick.alias("d")).select("context", "d.*")
 
+    def sent(self) -> bool:
+        """Whether the deciding contexts go to the workers; else they are joined."""
+        self.prepare(self.counts.sparkSession)
+        return self._shared is not None
+
     def prepare(self, spark: SparkSession) -> None:
         """Send the deciding contexts to the workers once, for several calls of score."""
         if not hasattr(self, "_shared"):
@@ -346,11 +426,11 @@ class ContextModel:
         The deciding contexts are looked up in sorted arrays if they fit SENT_BYTES, by joins otherwise.
         """
         self.prepare(df.sparkSession)
-        src = df.select(*keys, F.col(text_col).alias("__text"))
+        src = df.select(*keys, F.col(text_col).alias("text"))
         if self._shared is None:
-            return self._score_by_join(src, keys, limit).withColumnRenamed("__text", "text")
-        names = [*src.columns, "p", "best"]
-        schema = src.withColumn("p", F.array(F.array(F.lit(0.0)))).withColumn("best", F.array(F.lit(0))).schema
+            return self._score_by_join(src, keys, limit)
+        names = [*src.columns, "probabilities", "best"]
+        schema = src.withColumn("probabilities", F.array(F.array(F.lit(0.0)))).withColumn("best", F.array(F.lit(0))).schema
         n, look = len(keys), Lookup(self._shared, self.scheme, limit)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,59 +439,61 @@ class ContextModel:
                 p, best = [look.probabilities(c).tolist() for c in at], [look.best(c).tolist() for c in at]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.list_(pa.list_(pa.float64()))), pa.array(best, pa.list_(pa.int32()))], names=names)
 
-        return src.mapInArrow(run, schema).select(*keys, F.col("__text").alias("text"), F.col("p").alias("probabilities"), "best")
+        return src.mapInArrow(run, schema)
 
     def label(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
-        """keys, candidate: the text rebuilt by the best labels in the worker that finds them; null texts are empty."""
+        """keys, candidate, error: the text rebuilt by the best labels in the worker that finds them; null texts are empty.
+
+        error says what a text raised in the worker; its candidate is null.
+        """
         return self._mapped(df, keys, text_col, limit, "string", lambda look, t: rebuilt(t, look.best(look.counts(t)).tolist()), pa.string())
 
     def propose(self, df: DataFrame, keys: list[str], text_col: str, k: int, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
-        """keys, rank, candidate, score: `candidates` of the probabilities, found in the worker that scores."""
+        """keys, rank, candidate, score, error: `candidates` of the probabilities, found in the worker that scores."""
 
         def one(look: Lookup, t: str):
-            p = look.probabilities(look.counts(t))
-            sequences = k_best_pairs(p[:, 1].tolist(), k) if look.scheme == "binary" else k_best_sequences(p.tolist(), k)
-            return [{"rank": r, "candidate": c, "score": s} for r, c, s in distinct_candidates(t, sequences)]
+            return [{"rank": r, "candidate": c, "score": s} for r, c, s in look.candidates(t, k)]
 
         kind = pa.list_(pa.struct([("rank", pa.int32()), ("candidate", pa.string()), ("score", pa.float64())]))
-        return self._mapped(df, keys, text_col, limit, CANDIDATES, one, kind).select(*keys, F.inline("candidate"))
+        return self._mapped(df, keys, text_col, limit, CANDIDATES, one, kind).select(*keys, F.inline_outer("candidate"), "error")
+
+    def pick(self, df: DataFrame, keys: list[str], text_col: str, k: int, words, combine_lambda: float | None, limit: int | None = MAX_LENGTH - 2) -> DataFrame:
+        """keys, candidate, error: of k candidates the one that a word model (as WordModel.prepare shares it) likes best."""
+        return self._mapped(df, keys, text_col, limit, "string", lambda look, t: words.value.best(look.candidates(t, k), combine_lambda), pa.string())
 
     def _mapped(self, df: DataFrame, keys: list[str], text_col: str, limit: int | None, sql_type: str, one, kind: pa.DataType) -> DataFrame:
         self.prepare(df.sparkSession)
-        src = df.select(*keys, F.col(text_col).alias("__text"))
-        n, names, scheme = len(keys), [*keys, "candidate"], self.scheme
-        schema = src.select(*keys).withColumn("candidate", F.lit(None).cast(sql_type)).schema
-        if self._shared is None:  # too many contexts to send: what decides comes by a join
-            columns = ["n", *self.columns]
-            src = self._decided(src, keys, limit)
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                look = Lookup(None, scheme, limit)
-                for b in batches:
-                    out = []
-                    for t, cells in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
-                        look.given = [tuple(c[x] for x in columns) for c in cells or []]
-                        out.append(one(look, t or ""))
-                    yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, kind)], names=names)
-
-            return src.mapInArrow(run, schema)
+        given = unused("text", keys)
+        src = df.select(*keys, F.col(text_col).alias(given))
+        n, names, scheme = len(keys), [*keys, "candidate", "error"], self.scheme
+        schema = src.select(*keys).withColumn("candidate", F.lit(None).cast(sql_type)).withColumn("error", F.lit(None).cast("string")).schema
+        columns = ["n", *self.columns]
+        joined = self._shared is None  # too many contexts to send: what decides comes by a join
+        if joined:
+            src = self._decided(src, keys, given, limit)
         look = Lookup(self._shared, scheme, limit)
 
-        def run_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([one(look, t or "") for t in b.column(n).to_pylist()], kind)], names=names)
-
-        return src.mapInArrow(run_sent, schema)
-
-    def _decided(self, src: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
-        """keys, __text, cells: the counts that decide each character, in order; null without characters."""
-        rows = src.select(*keys, F.posexplode(self.contexts(F.col("__text"), True, limit)).alias("at", "context"))
+                out = []
+                cells = b.column(n + 1).to_pylist() if joined else [None] * b.num_rows
+                for t, c in zip(b.column(n).to_pylist(), cells, strict=True):
+                    if joined:
+                        look.given = [tuple(x[name] for name in columns) for x in c or []]
+                    out.append(isolated(lambda t: one(look, t), t or ""))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([x for x, _ in out], kind), pa.array([e for _, e in out], pa.string())], names=names)
+
+        return src.mapInArrow(run, schema)
+
+    def _decided(self, src: DataFrame, keys: list[str], given: str, limit: int | None) -> DataFrame:
+        """keys, the text, cells: the counts that decide each character, in order; null without characters."""
+        rows = src.select(*keys, F.posexplode(self.contexts(F.col(given), True, limit)).alias("at", "context"))
         decided = rows.join(self.decisions(rows), "context")
         cells = decided.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "n", *self.columns))).alias("cells"))
         return src.join(cells, keys, "left")
 
     def _score_by_join(self, src: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
-        decided = self._decided(src, keys, limit).withColumn("cells", F.coalesce("cells", F.array()))
+        decided = self._decided(src, keys, "text", limit).withColumn("cells", F.coalesce("cells", F.array()))
         k = len(self.columns) + 1
 
         def probabilities(c: Column) -> Column:
@@ -511,6 +593,11 @@ class Lookup:
             out[at >= 0] = counts[at[at >= 0]]
         return out
 
+    def candidates(self, t: str, k: int) -> list[tuple[int, str, float]]:
+        """rank, text, score of the k best label sequences."""
+        p = self.probabilities(self.counts(t))
+        return distinct_candidates(t, k_best_pairs(p[:, 1].tolist(), k) if self.scheme == "binary" else k_best_sequences(p.tolist(), k))
+
     def probabilities(self, c: np.ndarray) -> np.ndarray:
         if self.scheme == "binary":
             p = (c[:, 1] + 0.5) / (c[:, 0] + 1.0)
@@ -527,7 +614,10 @@ class Lookup:
 
 
 class Segmenter:
-    """What turns texts without spaces into words. segment(df, keys, text_col) gives keys, words."""
+    """What turns texts without spaces into words. segment(df, keys, text_col) gives keys, words, and may give error: what a text
+    raised, whose words are null. one_row tells that each row of df gives one row without a shuffle, whatever the keys hold."""
+
+    one_row = False
 
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
         raise NotImplementedError
@@ -541,11 +631,33 @@ def loaded(what: str, path: str, load):
         raise ValueError(f"no {what} could be loaded from {path}: {e}") from e
 
 
+class FunctionSegmenter(Segmenter):
+    """Words by a Python function from a text to a list of words, called in the workers. A text on which it fails gets its error."""
+
+    one_row = True
+
+    def __init__(self, split):
+        self.split = split
+
+    def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+        src = df.select(*keys, F.col(text_col).alias(unused("text", keys)))
+        n, split = len(keys), self.split
+        schema = src.select(*keys).withColumn("words", F.lit(None).cast("array<string>")).withColumn("error", F.lit(None).cast("string")).schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [isolated(lambda t: [str(w) for w in split(t)], t or "") for t in b.column(n).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([w for w, _ in out], pa.list_(pa.string())), pa.array([e for _, e in out], pa.string())], names=[*keys, "words", "error"])
+
+        return src.mapInArrow(run, schema)
+
+
 class StandardSegmenter(Segmenter):
     """One stage: the best label of each character. What lies beyond max_length - 2 characters is dropped; None keeps all."""
 
     def __init__(self, scorer: Scorer, max_length: int | None = MAX_LENGTH):
         self.scorer, self.max_length = scorer, max_length
+        self.one_row = isinstance(scorer, ContextModel) and scorer.sent()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **options) -> StandardSegmenter:
@@ -555,7 +667,7 @@ class StandardSegmenter(Segmenter):
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
         limit = None if self.max_length is None else self.max_length - 2
         if isinstance(self.scorer, ContextModel):
-            return self.scorer.label(df, keys, text_col, limit).select(*keys, text.words("candidate").alias("words"))
+            return self.scorer.label(df, keys, text_col, limit).select(*keys, text.words("candidate").alias("words"), "error")
         scored = self.scorer.score(df, keys, text_col, limit)
         return scored.select(*keys, text.words(labels.rebuild("text", "best")).alias("words"))
 
@@ -571,6 +683,10 @@ class HierarchicalSegmenter(Segmenter):
         """From a saved context model and a saved word model; ValueError if one is missing."""
         return cls(loaded("context model", scorer_path, lambda: ContextModel.load(spark, scorer_path)), loaded("word model", model_path, lambda: WordModel.load(spark, model_path)), **options)
 
+    def in_workers(self) -> bool:
+        """Whether candidates can be judged where they are found, if the models are small enough to be sent."""
+        return isinstance(self.scorer, ContextModel) and isinstance(self.model, WordModel) and not self.decode_separator
+
     def candidates(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
         """keys, rank, candidate, score. With decode_separator a place after the text (of even odds, as count models know no such
         token) is decoded where the text leaves room for it."""
@@ -586,6 +702,10 @@ class HierarchicalSegmenter(Segmenter):
         return candidates(scored, keys, "text", "probabilities", self.beam_width, "__sep")
 
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+        limit = None if self.max_length is None else self.max_length - 2
+        if self.in_workers() and (words := self.model.prepare(df.sparkSession)):
+            found = self.scorer.pick(df, keys, text_col, self.beam_width, words, self.combine_lambda, limit)
+            return found.select(*keys, text.words("candidate").alias("words"), "error")
         # the candidates are read three times: for pairs of words, for their sums, for the choice
         found = self.candidates(df, keys, text_col).persist()
         ppl = self.model.perplexity(found.withColumn("words", text.words("candidate")), [*keys, "rank"])
@@ -601,15 +721,15 @@ def fixed_width(text_col, width: int = 5) -> Column:
 def exact_split(df: DataFrame, key, share: float = 0.8, seed: int = 42) -> DataFrame:
     """df plus is_train: exactly int(share * n) rows by the order of a hash of the key, rows of one key in any order.
 
-    Rows are counted by a prefix of the hash, then those of the prefix in which the cut falls by a longer one, until what is left is
-    one hash (rows that share a key) or few rows: no task ranks more than that, but for rows of one key.
+    Rows are counted by a prefix of the hash, then those of the prefix in which the cut falls by a longer one, until few rows are left,
+    which one task ranks, or one hash: the rows of one key are numbered where they are.
     """
-    digest, step = F.md5(F.concat_ws("|", text.col(key), F.lit(str(seed)))), 4
-    hashed = df.withColumn("__h", digest)
-    want, prefix, n = None, "", None
+    h, step = unused("hash", df.columns), 4
+    hashed = df.withColumn(h, F.md5(F.concat_ws("|", text.col(key), F.lit(str(seed)))))
+    want, prefix, n = None, "", 0
     while len(prefix) < 32:
-        inside = hashed.where(F.startswith("__h", F.lit(prefix))) if prefix else hashed
-        counts = sorted((r["b"], r["n"]) for r in inside.groupBy(F.substring("__h", len(prefix) + 1, step).alias("b")).agg(F.count("*").alias("n")).collect())  # 65,536 rows at most
+        inside = hashed.where(F.startswith(h, F.lit(prefix))) if prefix else hashed
+        counts = sorted((r["b"], r["n"]) for r in inside.groupBy(F.substring(h, len(prefix) + 1, step).alias("b")).agg(F.count("*").alias("n")).collect())  # 65,536 rows at most
         want = int(share * sum(x for _, x in counts)) if want is None else want
         for b, n in counts:
             if n > want:
@@ -617,13 +737,34 @@ def exact_split(df: DataFrame, key, share: float = 0.8, seed: int = 42) -> DataF
                 break
             want -= n
         else:
-            return hashed.withColumn("is_train", F.lit(True)).drop("__h")
-        if n <= 100_000 or not want:
+            return hashed.withColumn("is_train", F.lit(True)).drop(h)
+        if n <= FEW_ROWS or not want:
+            break
+    cut = hashed.where(F.startswith(h, F.lit(prefix)))
+    if n <= FEW_ROWS or not want:
+        rank = unused("rank", hashed.columns)
+        split = cut.withColumn(rank, F.row_number().over(Window.orderBy(h))).withColumn("is_train", F.col(rank) <= want).drop(h, rank)
+    else:
+        split = _first_rows(cut.drop(h), want)
+    rest = hashed.where(~F.startswith(h, F.lit(prefix))).withColumn("is_train", F.col(h) < prefix).drop(h)
+    return rest.unionByName(split)
+
+
+#: Rows that one task may rank.
+FEW_ROWS = 100_000
+
+
+def _first_rows(df: DataFrame, want: int) -> DataFrame:
+    """df plus is_train, true on `want` of its rows: they are numbered and written, tasks are counted, and a number tells in from out."""
+    at, task = unused("number", df.columns), F.shiftright(F.col(unused("number", df.columns)), 33)
+    written = Scratch(df.sparkSession, "split").settle(df.withColumn(at, F.monotonically_increasing_id()))
+    last = -1
+    for r in sorted(written.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect()):  # one for each task
+        last = (r["task"] << 33) + min(r["n"], want) - 1
+        want -= min(r["n"], want)
+        if not want:
             break
-    ranked = hashed.where(F.startswith("__h", F.lit(prefix))).withColumn("__r", F.row_number().over(Window.orderBy("__h")))
-    ranked = ranked.withColumn("is_train", F.col("__r") <= want).drop("__h", "__r")
-    rest = hashed.where(~F.startswith("__h", F.lit(prefix))).withColumn("is_train", F.col("__h") < prefix).drop("__h")
-    return rest.unionByName(ranked)
+    return written.withColumn("is_train", F.col(at) <= last).drop(at)
 
 
 def shuffled_split(texts: DataFrame, text_col: str = "text", share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import labels, scores, text
 from ..operators import align, decode, noise, report
 from ..operators.bayesian import BayesianSegmenter
+from ..operators.ngram import CharacterModel
+from ..operators.trained import TrainedClassifier
 from ..sources import corpus, tei
 from . import benchmark
 
@@ -162,9 +164,11 @@ def ref_parse(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", text.chapter_of("ref").alias("chapter"), text.verse_of("ref").alias("verse"))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY o, i) - 1 AS BIGINT) AS pos, p || lpad(CAST(i AS VARCHAR), 4, '0') AS ms_id FROM (SELECT 1 AS o, '2' AS p, unnest(range(1, 326)) AS i UNION ALL SELECT 2, '1', unnest(range(1, 135)) UNION ALL SELECT 3, '3', unnest(range(1, 500)))")
+@query("SELECT k.*, url FROM pages JOIN (SELECT CAST(row_number() OVER (ORDER BY o, i) - 1 AS BIGINT) AS pos, p || lpad(CAST(i AS VARCHAR), 4, '0') AS ms_id FROM (SELECT 1 AS o, '2' AS p, unnest(range(1, 326)) AS i UNION ALL SELECT 2, '1', unnest(range(1, 135)) UNION ALL SELECT 3, '3', unnest(range(1, 500)))) k ON pos = page_id")
 def manuscript_ids(spark, sf_dir):
-    return corpus.manuscript_ids(spark)
+    """The catalogue's ids, each with the page that stands at its place."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("pos"), "url")
+    return corpus.manuscript_ids(spark).join(pages, "pos")
 
 
 @query(
@@ -255,9 +259,9 @@ def segment_standard(spark, sf_dir):
     return found.select(*KEYS, F.array_join("words", " ").alias("segmented"))
 
 
-@query(
-    SEGMENTED
-    + """, o AS (SELECT *, list_distinct(list_transform(range(1, len(t)), lambda i: CAST(list_sum(list_transform(t[1:i], lambda x: length(x))) AS INTEGER))) AS e,
+#: From truth t and predicted words p to the means of all measures.
+MACRO = (
+    """, o AS (SELECT *, list_distinct(list_transform(range(1, len(t)), lambda i: CAST(list_sum(list_transform(t[1:i], lambda x: length(x))) AS INTEGER))) AS e,
   list_distinct(list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS INTEGER))) AS q FROM u),
 """
     + SCORED[SCORED.index("n AS (SELECT *, len(list_intersect(e, q)) AS tp") :]
@@ -265,12 +269,76 @@ def segment_standard(spark, sf_dir):
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST(round(avg({m}), 6) AS DOUBLE) AS value FROM z" for m in scores.ALL)
     + " UNION ALL SELECT 'n_errors', 0.0)"
 )
+
+
+@query(SEGMENTED + MACRO)
 def macro_scores(spark, sf_dir):
     v = verses_of(spark, sf_dir)
     rows = benchmark.evaluate(decode.StandardSegmenter(decode.ContextModel.fit(v)), v, KEYS)
     return report.macro_average(rows).withColumn("value", F.round("value", 6))
 
 
+#: Fitted on the four fifths of the lines that split_80_20 marks, applied to the rest.
+HELD_OUT = (
+    SEGMENTED.replace(
+        "a AS (SELECT doc_id",
+        """h AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id || '|' || line || '|42')) <= floor(count(*) OVER () * 0.8) AS is_train FROM v),
+a AS (SELECT is_train, doc_id""",
+    )
+    .replace("FROM v),\nc AS (SELECT doc_id", "FROM h),\nc AS (SELECT is_train, doc_id")
+    .replace("FROM c GROUP BY k0", "FROM c WHERE is_train GROUP BY k0")
+    .replace("d AS (SELECT f.k0, CASE", "t0 AS (SELECT DISTINCT k0 FROM c WHERE NOT is_train),\nd AS (SELECT t0.k0, CASE")
+    .replace("ELSE 2 * f2.e >= f2.n END AS cut\n  FROM f JOIN f1 ON f1.k1 = substring(f.k0, 2, 5) JOIN f2 ON f2.k2 = substring(f.k0, 3, 3))", "ELSE coalesce(2 * f2.e >= f2.n, true) END AS cut\n  FROM t0 LEFT JOIN f ON f.k0 = t0.k0 LEFT JOIN f1 ON f1.k1 = substring(t0.k0, 2, 5) LEFT JOIN f2 ON f2.k2 = substring(t0.k0, 3, 3))")
+    .replace("WHERE c.i < 126", "WHERE c.i < 126 AND NOT c.is_train")
+)
+
+
+def _split(spark, sf_dir):
+    split = decode.exact_split(verses_of(spark, sf_dir), F.concat_ws("|", "doc_id", "line"))
+    return split.where("is_train").drop("is_train"), split.where("not is_train").drop("is_train")
+
+
+@query(HELD_OUT + MACRO)
+def held_out_scores(spark, sf_dir):
+    """Means of the count model on lines it was not fitted on."""
+    train, test = _split(spark, sf_dir)
+    rows = benchmark.evaluate(decode.StandardSegmenter(decode.ContextModel.fit(train)), test, KEYS)
+    return report.macro_average(rows).withColumn("value", F.round("value", 6))
+
+
+@query()
+def trained_scores(spark, sf_dir):
+    """Means of the trained classifier on the lines of held_out_scores."""
+    train, test = _split(spark, sf_dir)
+    return report.macro_average(benchmark.evaluate(decode.StandardSegmenter(TrainedClassifier.fit(train)), test, KEYS))
+
+
+#: The marked lines of all n-grams of six characters, and of shorter ones at the start.
+GRAMS = (
+    LINES
+    + """, m AS (SELECT chr(2) || lower(text) || chr(3) AS t FROM v),
+g AS (SELECT substring(t, CAST(i AS BIGINT), 6) AS gram FROM (SELECT t, unnest(range(1, length(t) - 4)) AS i FROM m) UNION ALL SELECT substring(t, 1, CAST(i AS BIGINT)) FROM (SELECT t, unnest(range(2, least(6, length(t) + 1))) AS i FROM m))
+SELECT gram, count(*) AS n FROM g GROUP BY gram"""
+)
+
+
+@query(GRAMS)
+def character_grams(spark, sf_dir):
+    """What the character model is fitted on, counted on sliding windows of token ids."""
+    return CharacterModel.grams(benchmark.lower_words(verses_of(spark, sf_dir)))
+
+
+@query()
+def held_out_perplexity(spark, sf_dir):
+    """By characters, of the character model and of word bigrams, on lines that neither was fitted on."""
+    train, test = (benchmark.lower_words(x) for x in _split(spark, sf_dir))
+    by_character = CharacterModel.fit(train).perplexity(test, KEYS).select(F.lit("characters").alias("model"), "nll", "n")
+    length = F.length(F.array_join("words", " ")) + 1
+    by_word = decode.WordModel.fit(train).perplexity(test, KEYS).drop("n").join(test.select(*KEYS, length.alias("n")), KEYS).select(F.lit("word bigrams").alias("model"), "nll", "n")
+    sums = by_character.unionByName(by_word).groupBy("model").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_characters"), (F.sum("nll") / F.sum("n")).alias("loss"))
+    return sums.withColumn("perplexity", F.exp("loss"))
+
+
 MODELLED = (
     LINES
     + """, b AS (SELECT doc_id, line, i, CASE WHEN i = 1 THEN '' ELSE words[i - 1] END AS x, words[i] AS y FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM v)),

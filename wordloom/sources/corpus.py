@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from .scratch import Scratch
 
 NESTED = "map<string,map<string,map<string,string>>>"
 #: Corpora by language; noise levels (target character error rate) by corpus.
@@ -22,6 +23,48 @@ def read_nested(spark: SparkSession, path: str) -> DataFrame:
     return verses.select("book", "chapter", F.col("verse.key").alias("verse"), F.col("verse.value").alias("text"), F.struct("b", "c", "v").alias("pos"))
 
 
+#: Strings of a file that one task numbers.
+STRETCH = 1 << 16
+
+
+def read_nested_split(spark: SparkSession, path: str) -> DataFrame:
+    """What read_nested gives, with each range of a large file read by a task of its own.
+
+    The text is read in pieces that end at quotes, which is where a file can be split. A quote after an odd number of backslashes stands
+    inside a string, so the number of other quotes before a piece says which string or gap it belongs to: those of a range are counted
+    within it, and the sums of the ranges before are added. Braces in gaps give the depth, a colon behind a string makes it a key, and
+    each value takes the last key of each depth; both are carried over stretches of strings in the same two steps.
+    """
+    work = Scratch(spark, "nested")
+    pieces = spark.read.option("lineSep", '"').text(path)
+    pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    pieces = work.settle(pieces.withColumn("quote", 1 - F.length(F.regexp_extract("value", r"(\\*)$", 1)) % 2))
+    so_far = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = pieces.groupBy("file", "block").agg(F.sum("quote").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(so_far("file", "block")), F.lit(0)).alias("before"))
+    placed = pieces.withColumn("n", F.coalesce(F.sum("quote").over(so_far("file", "block", "at")), F.lit(0))).join(ranges, ["file", "block"])
+    # a string and the gap behind it share k; the gap before the first string has k = 0
+    placed = placed.withColumn("s", F.col("n") + F.col("before")).withColumn("k", F.floor((F.col("s") + 1) / 2))
+    whole = lambda odd: F.array_join(F.transform(F.filter("all", lambda x: x["s"] % 2 == odd), lambda x: x["value"]), '"')
+    strings = placed.groupBy("file", "k").agg(F.sort_array(F.collect_list(F.struct("s", "block", "at", "value"))).alias("all")).select("file", "k", whole(1).alias("string"), whole(0).alias("gap"))
+    strings = work.settle(strings.withColumn("stretch", F.floor(F.col("k") / STRETCH)).withColumn("opens", F.length(F.regexp_replace("gap", "[^{]", "")) - F.length(F.regexp_replace("gap", "[^}]", ""))))
+    deeper = strings.groupBy("file", "stretch").agg(F.sum("opens").alias("n")).select("file", "stretch", F.coalesce(F.sum("n").over(so_far("file", "stretch")), F.lit(0)).alias("deep"))
+    depth = F.coalesce(F.sum("opens").over(so_far("file", "stretch", "k")), F.lit(0)) + F.col("deep")
+    named = strings.join(deeper, ["file", "stretch"]).withColumn("depth", depth).where("k > 0")
+    named = named.withColumn("string", F.from_json(F.concat(F.lit('["'), "string", F.lit('"]')), "array<string>")[0]).withColumn("is_key", F.col("gap").rlike(r"^\s*:"))
+    names = ("book", "chapter", "verse")
+    keys = [F.when(F.col("is_key") & (F.col("depth") == d), F.struct("k", F.col("string").alias("name"))).alias(c) for d, c in enumerate(names, 1)]
+    named = named.select("file", "k", "stretch", "string", "gap", "depth", "is_key", *keys)
+    # the last keys within a stretch, else those of the stretches before
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    carried = named.groupBy("file", "stretch").agg(*[F.max(c).alias(c) for c in names]).select("file", "stretch", *[last(c, so_far("file", "stretch")).alias(f"{c}_before") for c in names])
+    here = Window.partitionBy("file", "stretch").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = named.join(carried, ["file", "stretch"]).select("file", "k", "string", "gap", "depth", "is_key", *[F.coalesce(last(c, here), f"{c}_before")["name"].alias(c) for c in names])
+    bare = F.regexp_extract("gap", r"^\s*:\s*([^\s,{}\[\]]+)", 1)  # a value that is no string
+    verses = filled.where("depth = 3").withColumn("bare", F.when(F.col("is_key"), bare).otherwise("")).where("not is_key or bare <> ''")
+    text_ = F.when(~F.col("is_key"), F.col("string")).when(F.col("bare") != "null", F.col("bare"))
+    return verses.select(*names, text_.alias("text"), F.struct("file", "k").alias("pos"))
+
+
 def write_nested(df: DataFrame, path: str) -> None:
     """One JSON object for each book (a line each), non-ASCII kept; read it back with read_nested."""
     by_pos = lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
@@ -123,6 +166,29 @@ def read_distributions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("kind string, ch string, key string, p double").json(path)
 
 
+def write_distributions_nested(tables: DataFrame, path: str, exclude: str = text.GAP) -> None:
+    """Noise tables as one JSON object in the published layout: character_distribution by character, the other kinds by character and
+    key. Excluded characters go as outer keys; inner keys may still be one. The tables are small: an alphabet's rows times its letters."""
+    rows = tables.where(~F.contains(F.lit(exclude), F.col("ch")))
+    plain = rows.where(F.col("key").isNull()).groupBy("kind").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ch", "p")))).alias("plain"))
+    by_key = rows.where(F.col("key").isNotNull()).groupBy("kind", "ch").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "p")))).alias("keys"))
+    nested = by_key.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("ch", "keys"))).alias("nested"))
+    entry = lambda c: F.concat(F.lit('"'), "kind", F.lit('": '), F.to_json(c)).alias("v")
+    parts = plain.select(entry("plain")).unionByName(nested.select(entry("nested")))
+    parts.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("v")), ", "), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_distributions_nested(spark: SparkSession, path: str) -> DataFrame:
+    """kind, ch, key, p of a file in the published layout; kinds that it lacks give no rows."""
+    kinds = "character_distribution map<string,double>, " + ", ".join(f"{k} map<string,map<string,double>>" for k in ("conditional", "substitutions", "insertions"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", kinds).alias("d")).select("d.*")
+    plain = raw.select(F.explode("character_distribution").alias("ch", "p")).select(F.lit("character_distribution").alias("kind"), "ch", F.lit(None).cast("string").alias("key"), "p")
+    for kind in ("conditional", "substitutions", "insertions"):
+        by_key = raw.select(F.explode(kind).alias("ch", "keys")).select(F.lit(kind).alias("kind"), "ch", F.explode("keys").alias("key", "p"))
+        plain = plain.unionByName(by_key)
+    return plain
+
+
 def write_scores(summary: DataFrame, path: str) -> None:
     """metric, value as one CSV file."""
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
