@@ -240,9 +240,12 @@ def field(spark):
 
 
 def test_pii_field_finds_other_forms(field):
-    """Held out: spans that come back in other forms are found, numbers of the same forms that repeat nothing are not."""
+    """Held out: spans that come back in other forms are found, numbers of the same forms that repeat nothing are not.
+
+    What is added beside the planted spans must repeat a base span letter for letter, as where a text names it next to another number.
+    """
     model, rest = field
-    hits = planted_n = wrong = others_n = strange = 0
+    hits = planted_n = wrong = others_n = strange = misnamed = 0
     for t in rest:
         text, planted, others = pii.with_other_forms(t, random.Random(len(t)))
         base = pii.base_spans(text)
@@ -250,11 +253,14 @@ def test_pii_field_finds_other_forms(field):
         meets = lambda s, found: any(x[0] == s[0] and x[1] < s[2] and s[1] < x[2] for x in found)  # noqa: B023, E731
         hits += sum(meets(s, added + base) for s in planted)
         wrong += sum(meets(s, added) for s in others)
-        strange += sum(not meets(s, planted + others) for s in added)
+        touches = lambda s, found: any(x[1] < s[2] and s[1] < x[2] for x in found)  # noqa: B023, E731
+        repeated = {text[a:b] for _, a, b in base}
+        strange += sum(not touches(s, planted + others) and text[s[1] : s[2]] not in repeated for s in added)
+        misnamed += sum(touches(s, planted) and not meets(s, planted + others) for s in added)
         planted_n, others_n = planted_n + len(planted), others_n + len(others)
         whole = pii.base_spans(t)  # untouched, only what stands in a base span elsewhere is added
         assert {t[a:b] for _, a, b in pii.added_spans(t, whole, model)} <= {t[a:b] for _, a, b in whole}
-    assert planted_n > 150 and hits >= 0.9 * planted_n and wrong <= 0.05 * others_n and strange == 0
+    assert planted_n > 150 and hits >= 0.9 * planted_n and wrong <= 0.05 * others_n and strange == 0 and misnamed <= 0.01 * planted_n
 
 
 def test_pii_field(field):
@@ -267,7 +273,7 @@ def test_pii_field(field):
     assert pii.added_spans("version 3.0 of 12345678", [], model) == [] and pii.added_spans("", [], model) == []
     spaced = "+1 (374) 555-8639 or 374 555 8639"
     assert [spaced[a:b] for _, a, b in pii.added_spans(spaced, pii.base_spans(spaced), model)] == ["374 555 8639"]
-    many = " ".join(f"a{i}@b.cd 10.0.0.{i}" for i in range(300))
+    many = " ".join(f"a{i}@b.cd 10.0.{i // 200}.{i % 200}" for i in range(300))
     g = pii.Graph(many, pii.base_spans(many))
     assert (g.observed > 0).all() and len(g.observed) == 600
     glued = "1.1.1.1/2.2.2.2/" * 40 + "x1"
