@@ -144,6 +144,33 @@ def fold_table(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.fold("text", text.greek_fold()).alias("text"))
 
 
+#: The variant letters that are folded, and what becomes of each; the last three and the gap follow in the SQL.
+VARIANTS = "ἀἁἂἃἄἅἆἇἐἑἒἓἔἕἠἡἢἣἤἥἦἧἰἱἲἳἴἵἶἷὀὁὂὃὄὅὐὑὒὓὔὕὖὗὠὡὢὣὤὥὦὧὰὲὴὶὸὺὼᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾰᾱᾲᾳᾴᾶᾷῂῃῄῆῇῐῑῒῖῗῠῡῢῤῥῦῧῲῳῴῶῷάέήίόύώΐΰϲͻϹ"
+PLAIN = "ααααααααεεεεεεηηηηηηηηιιιιιιιιοοοοοουυυυυυυυωωωωωωωωαεηιουωααααααααηηηηηηηηωωωωωωωωαααααααηηηηηιιιιιυυυρρυυωωωωωαεηιουωιυσσΣ"
+#: Small letters become variant letters, ϛ and gaps, other ones in each fifth of the documents, so that all of the table is met.
+GREEK_LETTERS = VARIANTS + "ϛ" + text.GAP
+FIFTHS = [(VARIANTS + "ϛ" + text.GAP)[min(26 * k, len(GREEK_LETTERS) - 26) :][:26] for k in range(5)]
+AS_GREEK = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', '{letters}')" for k, letters in enumerate(FIFTHS)) + " END"
+
+
+def _greek(spark, sf_dir):
+    letters = F.element_at(F.lit(FIFTHS), (F.col("doc_id") % 5 + 1).cast("int"))
+    made = F.array_join(F.transform(text.characters("text"), lambda c: F.when(c.between("a", "z"), F.substr(letters, F.ascii(c) - 96, F.lit(1))).otherwise(c)), "")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", made.alias("text"))
+
+
+@query(f"SELECT doc_id, strip_accents({AS_GREEK}) AS text FROM documents")
+def greek_strip_marks(spark, sf_dir):
+    """Decomposition and removal of marks for every script, over documents in Greek letters."""
+    return _greek(spark, sf_dir).select("doc_id", text.remove_diacritics("text").alias("text"))
+
+
+@query(f"SELECT doc_id, replace(replace(translate({AS_GREEK}, '{VARIANTS}', '{PLAIN}'), 'ϛ', 'στ'), '{text.GAP}', '') AS text FROM documents")
+def greek_fold_table(spark, sf_dir):
+    """All entries of the fold table, over documents that hold each of them."""
+    return _greek(spark, sf_dir).select("doc_id", text.fold("text", text.greek_fold()).alias("text"))
+
+
 @query(
     r"""
 WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5
@@ -452,6 +479,45 @@ def noise_learn(spark, sf_dir):
     return noise.learn(v.select(F.col("clean").alias("gt"), one.alias("noisy"))).withColumn("p", F.round("p", 9))
 
 
+#: Pairs with substitutions, deletions and insertions, the tables learned from them, and the rates at a target of 0.1.
+CHAINED = (
+    LINES
+    + """, c AS (SELECT doc_id, line, i, substring(plain, CAST(i + 1 AS BIGINT), 1) AS ch FROM (SELECT doc_id, line, lower(plain) AS plain, unnest(range(length(plain))) AS i FROM v)),
+d AS (SELECT *, UNIFORM(3) AS u FROM c),
+g AS (SELECT ch, CASE WHEN ch BETWEEN 'a' AND 'y' AND u < 0.06::DOUBLE THEN chr(unicode(ch) + 1) WHEN ch BETWEEN 'a' AND 'y' AND u < 0.1::DOUBLE THEN '⌀' ELSE ch END AS o FROM d
+  UNION ALL SELECT '⌀', CASE WHEN ch < 'm' THEN 'q' ELSE 'x' END FROM d WHERE u BETWEEN 0.1::DOUBLE AND 0.13::DOUBLE),
+k AS (SELECT ch, o, count(*) AS n FROM g GROUP BY ch, o),
+t AS (SELECT ch, sum(n) AS n, sum(CASE WHEN o = '⌀' THEN n ELSE 0 END) AS dels, sum(CASE WHEN o <> ch AND o <> '⌀' THEN n ELSE 0 END) AS subs FROM k WHERE ch <> '⌀' GROUP BY ch),
+tot AS (SELECT sum(n) AS n, (SELECT sum(n) FROM k WHERE ch = '⌀') AS ins, (SELECT sum(dels + subs) FROM t) AS errs FROM t),
+s AS (SELECT 0.1::DOUBLE / ((errs + ins) / CAST(n AS DOUBLE)) AS scale, ins / CAST(n AS DOUBLE) AS gap FROM tot),
+r AS (SELECT ch, subs / CAST(n AS DOUBLE) * scale AS cut1, (subs + dels) / CAST(n AS DOUBLE) * scale AS cut2 FROM t, s),
+q AS (SELECT sum(CASE WHEN o = 'q' THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) AS share FROM k WHERE ch = '⌀'),
+y AS (SELECT c.*, UNIFORM(11) AS u, UNIFORM(13) AS w, UNIFORM(14) AS x FROM c),
+z AS (SELECT doc_id, line, string_agg(CASE WHEN u < cut1 THEN chr(unicode(y.ch) + 1) WHEN u < cut2 THEN '' ELSE y.ch END || CASE WHEN w < gap * scale THEN CASE WHEN x < share THEN 'q' ELSE 'x' END ELSE '' END, '' ORDER BY i) AS noisy
+  FROM y JOIN r USING (ch), s, q GROUP BY doc_id, line)
+SELECT doc_id, line, noisy FROM z"""
+)
+for n in (3, 11, 13, 14):
+    CHAINED = CHAINED.replace(f"UNIFORM({n})", f"CAST(('0x' || substr(md5('{n}|' || doc_id || ':' || line || '|' || i), 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE")
+
+
+@query(CHAINED)
+def noise_chain(spark, sf_dir):
+    """Tables learned from aligned pairs with all three kinds of errors, scaled to a target rate, and applied to the same lines."""
+    v = verses_of(spark, sf_dir).withColumn("clean", F.lower(text.without_spaces("text")))
+    key = F.concat_ws(":", "doc_id", "line")
+
+    def pair(c, i):
+        u, letter = noise.uniform(3, key, i), c.between("a", "y")
+        seen = F.when(letter & (u < 0.06), F.translate(c, "abcdefghijklmnopqrstuvwxy", "bcdefghijklmnopqrstuvwxyz")).when(letter & (u < 0.1), text.GAP).otherwise(c)
+        more = u.between(0.1, 0.13)
+        return F.struct(F.concat(F.when(more, text.GAP).otherwise(""), c).alias("gt"), F.concat(F.when(more, F.when(c < "m", "q").otherwise("x")).otherwise(""), seen).alias("noisy"))
+
+    pairs = v.select(F.transform(text.characters("clean"), pair).alias("p")).select(F.array_join("p.gt", "").alias("gt"), F.array_join("p.noisy", "").alias("noisy"))
+    model = noise.NoiseModel(noise.learn(pairs), 0.1, seed=11)
+    return v.select(*KEYS, model.generate("clean", key).alias("noisy"))
+
+
 @query()
 def align_gap(spark, sf_dir):
     return align.align_pairs(_noisy(spark, sf_dir), KEYS, "clean", "noisy")
