@@ -619,6 +619,10 @@ class Segmenter:
 
     one_row = False
 
+    def splitter(self, spark: SparkSession):
+        """A function from a text to its words that can be sent to workers, or None where only `segment` can do it."""
+        return None
+
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
         raise NotImplementedError
 
@@ -639,6 +643,9 @@ class FunctionSegmenter(Segmenter):
     def __init__(self, split):
         self.split = split
 
+    def splitter(self, spark: SparkSession):
+        return self.split
+
     def segment(self, df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
         src = df.select(*keys, F.col(text_col).alias(unused("text", keys)))
         n, split = len(keys), self.split
@@ -659,6 +666,12 @@ class StandardSegmenter(Segmenter):
         self.scorer, self.max_length = scorer, max_length
         self.one_row = isinstance(scorer, ContextModel) and scorer.sent()
 
+    def splitter(self, spark: SparkSession):
+        if not self.one_row:
+            return None
+        look = Lookup(self.scorer._shared, self.scorer.scheme, None if self.max_length is None else self.max_length - 2)
+        return lambda t: rebuilt(t, look.best(look.counts(t)).tolist()).split()
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, **options) -> StandardSegmenter:
         """From a saved context model; ValueError if there is none."""
@@ -683,6 +696,13 @@ class HierarchicalSegmenter(Segmenter):
         """From a saved context model and a saved word model; ValueError if one is missing."""
         return cls(loaded("context model", scorer_path, lambda: ContextModel.load(spark, scorer_path)), loaded("word model", model_path, lambda: WordModel.load(spark, model_path)), **options)
 
+    def splitter(self, spark: SparkSession):
+        if not self.in_workers() or not self.scorer.sent() or not (words := self.model.prepare(spark)):
+            return None
+        look = Lookup(self.scorer._shared, self.scorer.scheme, None if self.max_length is None else self.max_length - 2)
+        k, weight = self.beam_width, self.combine_lambda
+        return lambda t: words.value.best(look.candidates(t, k), weight).split()
+
     def in_workers(self) -> bool:
         """Whether candidates can be judged where they are found, if the models are small enough to be sent."""
         return isinstance(self.scorer, ContextModel) and isinstance(self.model, WordModel) and not self.decode_separator
@@ -712,6 +732,20 @@ class HierarchicalSegmenter(Segmenter):
         return choose(found.join(ppl, [*keys, "rank"], "left"), keys, self.combine_lambda)
 
 
+def split_all(df: DataFrame, keys: list[str], text_col: str, splitters: list) -> DataFrame:
+    """keys, config, words, error: what each of several splitters makes of each text, in one pass; config counts them from 0."""
+    src = df.select(*keys, F.col(text_col).alias(unused("text", keys)))
+    n, kind = len(keys), pa.list_(pa.struct([("config", pa.int32()), ("words", pa.list_(pa.string())), ("error", pa.string())]))
+    schema = src.select(*keys).withColumn("found", F.lit(None).cast("array<struct<config:int,words:array<string>,error:string>>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[dict(zip(("config", "words", "error"), (i, *isolated(f, t or "")), strict=True)) for i, f in enumerate(splitters)] for t in b.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, kind)], names=[*keys, "found"])
+
+    return src.mapInArrow(run, schema).select(*keys, F.inline("found"))
+
+
 def fixed_width(text_col, width: int = 5) -> Column:
     """Words of `width` characters: a deterministic segmentation to measure against."""
     some = lambda t: F.transform(F.sequence(F.lit(1), F.size(t), F.lit(width)), lambda i: F.array_join(F.slice(t, i, width), ""))

@@ -340,6 +340,14 @@ def trained_scores(spark, sf_dir):
     return report.macro_average(benchmark.evaluate(decode.StandardSegmenter(TrainedClassifier.fit(train)), test, KEYS))
 
 
+@query()
+def grid_scores(spark, sf_dir):
+    """All algorithms that are fitted apart, both schemes and three beams on held-out lines in one pass, by language and in all."""
+    train, test = _split(spark, sf_dir)
+    configurations = [("STANDARD", 1, "binary"), ("STANDARD", 1, "quadri"), *[("HIERARCHICAL", k, s) for k in (3, 10, 15) for s in ("binary", "quadri")]]
+    return benchmark.grid(train, test, KEYS, configurations, by=["lang"], totals=True).withColumn("value", F.round("value", 6))
+
+
 #: The marked lines of all n-grams of six characters, and of shorter ones at the start.
 GRAMS = (
     LINES
