@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import characters, col, let, strip
@@ -82,3 +82,14 @@ def windows(tokens, max_length: int = 512, stride: int = 128, pad: int = 0) -> C
         return F.transform(starts, lambda i: F.struct(i.alias("start"), cut(i).alias("input_ids"), F.array_repeat(F.lit(1), max_length).alias("attention_mask"), cut(i).alias("labels")))
 
     return let(col(tokens), cut_all)
+
+
+def alignment_report(df: DataFrame, keys: list[str], text_col: str = "text", labels_col: str = "label_ids", max_length: int = 128) -> DataFrame:
+    """keys, place, token, label of each token of a text: the marks [CLS] and [SEP] around its characters, whose labels are IGNORED.
+
+    What is longer is cut as items are; tokens count from 0. A row shows at a glance whether labels stand where their characters do.
+    """
+    body = F.slice(characters(text_col), 1, max_length - 2)
+    tokens = F.concat(F.array(F.lit("[CLS]")), body, F.array(F.lit("[SEP]")))
+    marks = F.slice(token_labels(labels_col, max_length), 1, F.size(body) + 2)
+    return df.select(*keys, F.posexplode(F.arrays_zip(tokens.alias("token"), marks.alias("label"))).alias("place", "t")).select(*keys, "place", "t.token", "t.label")

@@ -173,15 +173,18 @@ class PitmanYor:
         return sum(math.log(self.probability(b, w)) for b, w in zip(["", *words], words, strict=False))
 
 
+#: Tables that are drawn at once.
+DRAWN = 1_000_000
+
+
 def drawn_discount(total: int, types: int, single: int, theta: float, d: float, theta_prior: tuple[float, float], d_prior: tuple[float, float], rng: np.random.Generator) -> tuple[float, float]:
     """New discount and strength by Teh's auxiliary variables, under minimal seating: each of the types has one table, `single` of
     them one guest; the beta and gamma priors are those of the arguments."""
     if total < 2 or types < 1:
         return d, theta
     x = rng.beta(theta + 1, total - 1) if total > 1 else 1.0
-    sits = rng.random(min(types - 1, 100_000)) < theta / (theta + d * np.arange(1, min(types - 1, 100_000) + 1))
-    scale = (types - 1) / max(len(sits), 1)
-    yes = float(sits.sum()) * scale
+    # one draw for each table beyond the first, in blocks
+    yes = float(sum((rng.random(len(i)) < theta / (theta + d * i)).sum() for lo in range(1, types, DRAWN) for i in [np.arange(lo, min(types, lo + DRAWN))]))
     alone = (types - single) * 1.0  # types with more than one guest: at least one guest beyond the first, who paid 1 - d
     d = rng.beta(d_prior[0] + (types - 1 - yes), d_prior[1] + alone)
     theta = rng.gamma(theta_prior[0] + yes, 1.0 / (theta_prior[1] - math.log(max(x, 1e-300))))

@@ -491,7 +491,7 @@ def noise_learn(spark, sf_dir):
 CHAINED = (
     LINES
     + """, c AS (SELECT doc_id, line, i, substring(plain, CAST(i + 1 AS BIGINT), 1) AS ch FROM (SELECT doc_id, line, lower(plain) AS plain, unnest(range(length(plain))) AS i FROM v)),
-d AS (SELECT *, UNIFORM(3) AS u FROM c),
+d AS (SELECT *, UNIFORM(3, 1) AS u FROM c),
 g AS (SELECT ch, CASE WHEN ch BETWEEN 'a' AND 'y' AND u < 0.06::DOUBLE THEN chr(unicode(ch) + 1) WHEN ch BETWEEN 'a' AND 'y' AND u < 0.1::DOUBLE THEN '⌀' ELSE ch END AS o FROM d
   UNION ALL SELECT '⌀', CASE WHEN ch < 'm' THEN 'q' ELSE 'x' END FROM d WHERE u BETWEEN 0.1::DOUBLE AND 0.13::DOUBLE),
 k AS (SELECT ch, o, count(*) AS n FROM g GROUP BY ch, o),
@@ -500,13 +500,13 @@ tot AS (SELECT sum(n) AS n, (SELECT sum(n) FROM k WHERE ch = '⌀') AS ins, (SEL
 s AS (SELECT 0.1::DOUBLE / ((errs + ins) / CAST(n AS DOUBLE)) AS scale, ins / CAST(n AS DOUBLE) AS gap FROM tot),
 r AS (SELECT ch, subs / CAST(n AS DOUBLE) * scale AS cut1, (subs + dels) / CAST(n AS DOUBLE) * scale AS cut2 FROM t, s),
 q AS (SELECT sum(CASE WHEN o = 'q' THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) AS share FROM k WHERE ch = '⌀'),
-y AS (SELECT c.*, UNIFORM(11) AS u, UNIFORM(13) AS w, UNIFORM(14) AS x FROM c),
+y AS (SELECT c.*, UNIFORM(11, 1) AS u, UNIFORM(11, 17) AS w, UNIFORM(11, 25) AS x FROM c),
 z AS (SELECT doc_id, line, string_agg(CASE WHEN u < cut1 THEN chr(unicode(y.ch) + 1) WHEN u < cut2 THEN '' ELSE y.ch END || CASE WHEN w < gap * scale THEN CASE WHEN x < share THEN 'q' ELSE 'x' END ELSE '' END, '' ORDER BY i) AS noisy
   FROM y JOIN r USING (ch), s, q GROUP BY doc_id, line)
 SELECT doc_id, line, noisy FROM z"""
 )
-for n in (3, 11, 13, 14):
-    CHAINED = CHAINED.replace(f"UNIFORM({n})", f"CAST(('0x' || substr(md5('{n}|' || doc_id || ':' || line || '|' || i), 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE")
+for n, at in ((3, 1), (11, 1), (11, 17), (11, 25)):
+    CHAINED = CHAINED.replace(f"UNIFORM({n}, {at})", f"CAST(('0x' || substr(md5('{n}|' || doc_id || ':' || line || '|' || i), {at}, 8)) AS UBIGINT) / 4294967296.0::DOUBLE")
 
 
 @query(CHAINED)
@@ -558,6 +558,72 @@ def tei_parse(spark, sf_dir):
     return out.select("page_id", "parsed.title", F.explode("parsed.verses").alias("v"), "parsed.error").select("page_id", "title", "v.chapter", "v.verse", "v.text", "error")
 
 
+#: Whole documents as transcriptions: line breaks in words, readings in every third line, an incipit of the first line.
+TRANSCRIBED = (
+    LINES
+    + r""", x AS (SELECT doc_id, line, list_filter(list_transform(words, lambda w: regexp_replace(translate(w, '<>&"', ''), '\p{C}', '', 'g')), lambda w: w <> '') AS ws FROM v),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM x WHERE len(ws) > 0)
+SELECT doc_id, 'document ' || doc_id AS title, CASE WHEN n = 1 THEN 'Incipit' ELSE '3' END AS chapter, CAST(line AS VARCHAR) AS verse,
+  array_to_string(ws, ' ') || CASE WHEN line % 3 = 0 THEN ' ' || ws[1] || ' ' || ws[len(ws)] ELSE '' END AS text FROM y"""
+)
+
+
+@query(TRANSCRIBED)
+def tei_documents(spark, sf_dir):
+    """Verses of whole documents in a TEI frame, parsed back."""
+    v = verses_of(spark, sf_dir).select("doc_id", "line", F.filter(F.transform("words", lambda w: F.regexp_replace(F.translate(w, '<>&"', ""), r"\p{C}", "")), lambda w: w != "").alias("ws")).where(F.size("ws") > 0)
+    # each fourth word goes on in the next line of the manuscript
+    word = lambda w, i: F.concat(F.lit("<w>"), F.substr(w, F.lit(1), F.lit(1)), F.when(i % 4 == 3, '<lb break="no"/>').otherwise(""), F.substr(w, F.lit(2)), F.lit("</w>"))
+    reading = lambda kind, w: F.concat(F.lit(f"<rdg{kind}><w>"), w, F.lit("</w></rdg>"))
+    first, last = F.element_at("ws", 1), F.element_at("ws", -1)
+    app = F.when(F.col("line") % 3 == 0, F.concat(F.lit("<app>"), reading(' type="orig"', first), reading(' type="corr"', F.lit("never")), F.lit("</app><app>"), reading("", last), F.lit("</app>"))).otherwise("")
+    ab = F.concat(F.lit('<ab n="B20K3V'), F.col("line").cast("string"), F.lit('">'), F.array_join(F.transform("ws", word), "<lb/>"), app, F.lit("</ab>"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("line", ab.alias("ab")))), lambda x: x["ab"])  # a document's own lines
+    docs = v.groupBy("doc_id").agg(lines.alias("abs"))
+    head = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><title n="document '), F.col("doc_id").cast("string"), F.lit('"/><div type="book" n="B20"><div type="incipit" n="B20incipit">'))
+    body = F.concat(F.element_at("abs", 1), F.lit('</div><div type="chapter" n="B20K3">'), F.array_join(F.slice("abs", 2, F.greatest(F.size("abs") - 1, F.lit(0))), ""))
+    xml = F.concat(head, body, F.lit('</div></div><div type="book" n="B21"><div type="chapter" n="B21K1"><ab n="B21K1V1"><w>other</w></ab></div></div></TEI>'))
+    out = tei.parse_transcriptions(docs.select("doc_id", xml.alias("xml")))
+    return out.select("doc_id", "parsed.title", F.explode("parsed.verses").alias("v")).select("doc_id", "title", "v.chapter", "v.verse", "v.text")
+
+
+#: Documents in dict form: a verse for each line, every fifth word supplied, readings in every third line.
+DICT_FORM = (
+    LINES
+    + """SELECT doc_id, '7V' || line AS chapter, CAST(line AS VARCHAR) AS verse,
+  array_to_string(list_transform(range(1, len(words) + 1), lambda i: CASE WHEN i % 5 = 0 THEN 'SUPPLIED' ELSE words[i] || ' ' END), '')
+  || CASE WHEN line % 3 = 0 THEN words[1] || ' ' || words[len(words)] || ' ' ELSE '' END AS text FROM v"""
+)
+
+
+@query(DICT_FORM)
+def dict_form_verses(spark, sf_dir):
+    """Verses, supplied words and original readings out of documents in dict form, each made from a whole document."""
+    v = verses_of(spark, sf_dir)
+    quoted = lambda w: F.to_json(F.array(w))
+    one = lambda w: F.substr(quoted(w), F.lit(2), F.length(quoted(w)) - 2)
+    word = lambda w, i: F.when((i + 1) % 5 == 0, F.concat(F.lit('{"supplied": {"#text": '), one(w), F.lit("}}"))).otherwise(one(w))
+    reading = lambda kind, w: F.concat(F.lit(f'{{"@type": "{kind}", "w": '), w, F.lit("}"))
+    first, last = one(F.element_at("words", 1)), one(F.element_at("words", -1))
+    app = F.concat(F.lit(', "app": [{"rdg": ['), reading("orig", first), F.lit(", "), reading("corr", last), F.lit(']}, {"seg": {"rdg": ['), reading("orig", F.concat(F.lit('{"#text": '), last, F.lit("}"))), F.lit("]}}]"))
+    ab = F.concat(F.lit('{"@n": "B04K7V'), F.col("line").cast("string"), F.lit('", "w": ['), F.array_join(F.transform("words", word), ", "), F.lit("]"), F.when(F.col("line") % 3 == 0, app).otherwise(""), F.lit("}"))
+    docs = v.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", ab.alias("ab")))), lambda x: x["ab"]), ", ").alias("abs"))  # a document's own lines
+    json = F.concat(F.lit('{"TEI": {"text": {"body": {"div": {"div": ["no verse", {"ab": ['), "abs", F.lit("]}]}}}}}"))
+    return tei.dict_verses(docs.select("doc_id", json.alias("json")), ["doc_id"]).select("doc_id", "chapter", "verse", "text")
+
+
+@query(
+    LINES.replace("documents WHERE", "(SELECT item_id AS doc_id, '' AS source, replace(text, chr(10), ' ') AS text FROM benchmark) WHERE")
+    + f""", b AS (SELECT doc_id, plain, {BINARY_SQL} AS b, unnest(range(least(126, length(plain)) + 2)) AS place FROM v)
+SELECT doc_id AS item_id, CAST(place AS INTEGER) AS place, CASE WHEN place = 0 THEN '[CLS]' WHEN place = least(126, length(plain)) + 1 THEN '[SEP]' ELSE substring(plain, CAST(place AS BIGINT), 1) END AS token,
+  CASE WHEN place = 0 OR place = least(126, length(plain)) + 1 THEN -100 WHEN substring(b, CAST(place AS BIGINT), 1) = 'E' THEN 1 ELSE 0 END AS label FROM b"""
+)
+def alignment_report(spark, sf_dir):
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", text.words("text").alias("words")).where(F.size("words") > 0)
+    given = b.select("item_id", F.array_join("words", "").alias("text"), labels.ids(labels.binary("words")).alias("label_ids"))
+    return labels.alignment_report(given, ["item_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -66,7 +66,7 @@ def read_nested_split(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_nested(df: DataFrame, path: str) -> None:
-    """One JSON object for each book (a line each), non-ASCII kept; read it back with read_nested."""
+    """One JSON object for each book (a line each), non-ASCII kept; read_nested_split reads it back (read_nested: files of one book)."""
     by_pos = lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
     order = lambda key, value: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("pos", key, value)), by_pos), lambda x: F.struct(x[key], x[value])))
     if "pos" not in df.columns:

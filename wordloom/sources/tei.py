@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import REFERENCE, SPECIAL_CHAPTERS, SPECIAL_VERSES
+from ..functions.text import REFERENCE, SPECIAL_CHAPTERS, SPECIAL_VERSES, chapter_of, verse_of
 
 NS = "{http://www.tei-c.org/ns/1.0}"
 SCHEMA = "struct<title:string,verses:array<struct<chapter:string,verse:string,text:string>>,error:string>"
@@ -80,24 +81,82 @@ def parse_transcriptions(df: DataFrame, xml_col: str = "xml", **options) -> Data
     return df.withColumn("parsed", run(F.col(xml_col)))
 
 
-def collect_text(node) -> list[str]:
-    """Texts under #text and w (with unclear) of a parsed document as dicts and lists, in order."""
+# ---- documents in dict form: elements as objects, attributes as @name, text as #text
+
+
+def collect_text(node) -> list:
+    """What stands under #text and w (of an object with unclear: that), at any depth, in order; other strings are no text."""
     if isinstance(node, list):
         return [t for x in node for t in collect_text(x)]
     if not isinstance(node, dict):
-        return [node] if isinstance(node, str) else []
+        return []
     out = []
     for key, value in node.items():
-        if key in ("#text", "w", "unclear", "rdg", "app"):
+        if key == "w" and isinstance(value, dict) and "unclear" in value:
+            out.append(value["unclear"])
+        elif key in ("#text", "w"):
+            out.append(value)
+        else:
             out += collect_text(value)
     return out
 
 
 def original_words(node) -> list[str]:
-    """Words of readings whose @type is orig."""
+    """Words (w, or its #text) of the readings of type orig, at any depth; what lies beside the readings of an object is passed over."""
     if isinstance(node, list):
         return [t for x in node for t in original_words(x)]
     if not isinstance(node, dict):
         return []
-    out = collect_text(node.get("w")) if node.get("@type") == "orig" else []
-    return out + [t for key, x in node.items() if key != "w" for t in original_words(x)]
+    if "rdg" not in node:
+        return [t for x in node.values() for t in original_words(x)]
+    words = [r["w"] for r in node["rdg"] if isinstance(r, dict) and r.get("@type") == "orig" and "w" in r]
+    words = [w.get("#text") if isinstance(w, dict) else w for w in words]
+    return [w for w in words if isinstance(w, str)]
+
+
+def _from_json(read, kind: str):
+    """A column function that applies read to parsed JSON; null for null and for what is no JSON."""
+
+    @F.pandas_udf(kind)
+    def run(column: pd.Series) -> pd.Series:
+        out = []
+        for x in column:
+            try:
+                out.append(None if x is None else read(json.loads(x)))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out)
+
+    return run
+
+
+def texts_of(json_col: str) -> Column:
+    """collect_text of a JSON column; what is no string is given as JSON."""
+    return _from_json(lambda x: [t if isinstance(t, str) else json.dumps(t, ensure_ascii=False) for t in collect_text(x)], "array<string>")(F.col(json_col))
+
+
+def original_words_of(c: Column) -> Column:
+    return _from_json(original_words, "array<string>")(c)
+
+
+def dict_verses(df: DataFrame, keys: list[str], json_col: str = "json") -> DataFrame:
+    """keys, chapter, verse, pos, text of documents in dict form (TEI, text, body, div, div, ab); verses that come again are continued.
+
+    A verse is an object with @n in a list ab. Of its words (a list w) strings are added with a blank behind each, without line ends; of
+    objects only that they are supplied, as the word SUPPLIED; then come the original words of app. Documents that are no JSON, and all
+    that has another form, give no rows.
+    """
+    doc = df.select(*keys, F.try_parse_json(json_col).alias("d"))
+    items = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    divs = doc.select(*keys, F.posexplode(items("d", "$.TEI.text.body.div.div")).alias("i", "div"))
+    verses = divs.select(*keys, "i", F.posexplode(items("div", "$.ab")).alias("j", "ab"))
+    n = F.try_variant_get("ab", "$['@n']", "string")
+    is_object = lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))
+    word = lambda x: F.when(is_object(x), F.when(F.try_variant_get(x, "$.supplied", "variant").isNotNull(), "SUPPLIED").otherwise("")).otherwise(F.concat(F.replace(x.cast("string"), F.lit("\n"), F.lit("")), F.lit(" ")))
+    words = F.array_join(F.transform(F.filter(items("ab", "$.w"), lambda x: x.isNotNull()), word), "")
+    app = F.to_json(F.try_variant_get("ab", "$.app", "variant"))
+    read = F.when(app.isNotNull(), F.concat(F.replace(F.array_join(F.coalesce(original_words_of(app), F.array().cast("array<string>")), " "), F.lit("\n"), F.lit("")), F.lit(" ")))
+    parts = verses.select(*keys, "i", "j", n.alias("n"), F.concat(F.coalesce(words, F.lit("")), F.coalesce(read, F.lit(""))).alias("t")).where("n is not null")
+    parts = parts.select(*keys, F.struct("i", "j").alias("pos"), chapter_of("n").alias("chapter"), verse_of("n").alias("verse"), "t")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "")  # a verse's own parts
+    return parts.groupBy(*keys, "chapter", "verse").agg(F.min("pos").alias("pos"), joined.alias("text"))

@@ -8,8 +8,11 @@ from urllib.parse import quote
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .tei import parse_transcriptions
+
 
 class Share(InputPartition):
     def __init__(self, ids: list[str]):
@@ -62,3 +65,41 @@ def fetch(spark: SparkSession, ids: list[str], template: str, **options) -> Data
     """ms_id, xml, error of each id. Failures are rows too; `where("error is null")` keeps the successes with their ids."""
     spark.dataSource.register(TranscriptionSource)
     return spark.read.format("transcriptions").options(ids=",".join(ids), template=template, **options).load()
+
+
+def extract(spark: SparkSession, ids: list[str], template: str, out: str, book_id: str = "B20", block: int = 64, fetch_options: dict | None = None) -> DataFrame:
+    """ms_id, title, pos, chapter, verse, text of all manuscripts under out, after the missing ones of ids were fetched, parsed and added.
+
+    Each block of ids is one job that appends to out/verses: a run that ends early keeps its whole blocks, and the next run fetches
+    what out lacks and nothing twice. A manuscript without verses is one row with nulls, so it is not fetched again; what could not be
+    fetched or parsed is logged in out/failures, with its id, and tried again.
+    """
+    wanted = spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "ms_id string")
+    have = extracted(spark, out)
+    missing = [r["ms_id"] for r in (wanted if have is None else wanted.join(have.select("ms_id").distinct(), "ms_id", "left_anti")).collect()]  # no more than were asked for
+    order = {i: n for n, i in enumerate(dict.fromkeys(ids))}
+    missing.sort(key=order.__getitem__)
+    for at in range(0, len(missing), block):
+        got = parse_transcriptions(fetch(spark, missing[at : at + block], template, **(fetch_options or {})), book_id=book_id).persist()
+        failed = got.select("ms_id", F.coalesce("error", "parsed.error").alias("error")).where("error is not null")
+        failed.write.mode("append").json(f"{out}/failures")
+        good = got.where("error is null and parsed.error is null")
+        good.select("ms_id", "parsed.title", F.posexplode_outer("parsed.verses").alias("pos", "v")).select("ms_id", "title", "pos", "v.*").write.mode("append").parquet(f"{out}/verses")
+        got.unpersist()
+    return extracted(spark, out) or spark.createDataFrame([], VERSES)
+
+
+VERSES = "ms_id string, title string, pos int, chapter string, verse string, text string"
+
+
+def extracted(spark: SparkSession, out: str) -> DataFrame | None:
+    """What extract has written so far; None before the first block."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/verses")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(VERSES).parquet(f"{out}/verses")
+
+
+def as_corpus(verses: DataFrame) -> DataFrame:
+    """Extracted verses as a corpus for write_nested: the book is the manuscript."""
+    return verses.where("chapter is not null").select(F.col("ms_id").alias("book"), "chapter", "verse", "text", "pos")
