@@ -87,29 +87,39 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, size: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes, null for empty sets), sig, bands of each row, and the columns to carry."""
+    """doc_id, n_shingles, set_key (16 bytes, null for empty sets), sig of each row, and the columns to carry."""
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    names = ["doc_id", "n_shingles", "set_key", "sig", "bands", *carry]
-    schema = StructType.fromDDL("doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    names = ["doc_id", "n_shingles", "set_key", "sig", *carry]
+    schema = StructType.fromDDL("doc_id long, n_shingles long, set_key binary, sig binary")
     for c in carry:
         schema = schema.add(c, src.schema[c].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            n, key, sig, bands = [], [], [], []
+            n, key, sig = [], [], []
             for t in texts(batch.column(1)):
                 x = shingles(t, size, known)
                 n.append(len(x))
-                s = signature(x) if len(x) else None
                 key.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                sig.append(s.tobytes() if len(x) else None)
-                bands.append(band_keys(s) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *batch.columns[2:]], names=names)
+                sig.append(signature(x).tobytes() if len(x) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), *batch.columns[2:]], names=names)
 
     return src.mapInArrow(run, schema)
 
 
+def in_bands(nodes: DataFrame) -> DataFrame:
+    """id, number, band: a row for each band of each node. Bands follow from the signatures, so they are not kept beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [band_keys(np.frombuffer(s, np.uint32)) for s in b.column(1).to_pylist()]
+            ids, numbers = np.repeat(b.column(0).to_numpy(), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(numbers), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))], names=["id", "number", "band"])
+
+    return nodes.select("id", "sig").mapInArrow(run, "id long, number int, band long")
+
+
 @F.pandas_udf(BinaryType())
 def last_bytes(sig: pd.Series) -> pd.Series:
     """The lowest byte of each minimum: equal minima agree in it, others once in 256."""
@@ -125,8 +135,8 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _full_sets(ids: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, id_col: str, text_col: str) -> DataFrame:
-    """id, members of the given nodes: their full shingle sets, from the whole texts."""
+def _full_sets(ids: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace, size: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """id, members of the given nodes: their full shingle sets, from the whole texts; and the written tables that they are read from."""
     n = nodes.count()
     named = work.settle(nodes.select("id", "rep", "set_key").join(maybe_broadcast(work.settle(ids.distinct(), "wanted", n)), "id", "left_semi"), "named")
     reps = maybe_broadcast(named.select(F.col("rep").alias("doc")).distinct())
@@ -139,7 +149,7 @@ def _full_sets(ids: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in got], pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())], names=["rep", "set_key", "members"])
 
     full = work.settle(wanted.mapInArrow(sets, "rep long, set_key binary, members binary"), "sets")
-    return full.join(named, ["rep", "set_key"]).select("id", "members").dropDuplicates(["id"])
+    return full.join(named, ["rep", "set_key"]).select("id", "members").dropDuplicates(["id"]), [named, full]
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -155,7 +165,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace,
     signed = pairs.join(brief.toDF("a", "n_a", "sig_a"), "a").join(brief.toDF("b", "n_b", "sig_b"), "b")
     close = signed.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(agreeing("sig_a", "sig_b") >= LEAST_AGREEING)
     close = work.settle(close.select("a", "b"), "close")
-    full = _full_sets(close.select(F.col("a").alias("id")).union(close.select("b")), nodes, df, work, size, id_col, text_col)
+    full, held = _full_sets(close.select(F.col("a").alias("id")).union(close.select("b")), nodes, df, work, size, id_col, text_col)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +174,9 @@ def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, work: Workspace,
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     joined = close.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-    return work.settle(joined.select("a", "b", "ma", "mb").mapInArrow(confirm, "a long, b long"), "links")
+    links = work.settle(joined.select("a", "b", "ma", "mb").mapInArrow(confirm, "a long, b long"), "links")
+    work.drop(close, *held)
+    return links
 
 
 class Group:
@@ -234,7 +246,8 @@ def _mixed_links(members: DataFrame, nodes: DataFrame, df: DataFrame, work: Work
     active = work.settle(rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(meet, rows.schema), "active")
     if not active.take(1):
         return None
-    full = _full_sets(active.select("id"), nodes, df, work, size, id_col, text_col)
+    work.drop(mixed)
+    full, held = _full_sets(active.select("id"), nodes, df, work, size, id_col, text_col)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, g in groups(batches):
@@ -250,7 +263,9 @@ def _mixed_links(members: DataFrame, nodes: DataFrame, df: DataFrame, work: Work
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     whole = active.join(full, "id").repartition(*by).sortWithinPartitions(*by)
-    return work.settle(whole.mapInArrow(confirm, "a long, b long"), "mixed-links")
+    links = work.settle(whole.mapInArrow(confirm, "a long, b long"), "mixed-links")
+    work.drop(active, *held)
+    return links
 
 
 def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
@@ -265,12 +280,16 @@ def near_duplicates(df: DataFrame, work: Workspace, size: int = 5, percent: int
     table = work.settle(sketch(df, size, id_col, text_col, carry), "sketches")
     searched = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
     # equal sets are one node, numbered as it is written; all that is kept of a set but its least id is equal for all its rows
-    same = F.first(F.struct("n_shingles", "sig", "bands"))
+    same = F.first(F.struct("n_shingles", "sig"))
     nodes = table.where(searched).groupBy("set_key").agg(F.min("doc_id").alias("rep"), same.alias("same"))
     nodes = work.settle(nodes.select(F.monotonically_increasing_id().alias("id"), "rep", "set_key", "same.*"), "nodes")
     classes, n = nodes.select("id", "set_key", "rep"), nodes.count()
 
-    member = nodes.select("id", F.posexplode("bands").alias("number", "band"))
+    # what the result needs of each row; signatures are kept of distinct sets only
+    sketches, table = table, work.settle(table.select("doc_id", "n_shingles", "set_key", *carry), "rows")
+    work.drop(sketches)
+
+    member = in_bands(nodes)
     leaders = work.settle(member.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"), "leaders", 4 * n)
     shared = work.settle(member.join(leaders, "band").select("band", "number", "a", "id"), "shared-bands")
     stars = work.settle(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "star-pairs", n)
