@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from conftest import DATA
 from duck import same
 from pyspark.sql import functions as F
@@ -447,3 +448,39 @@ def test_pipeline(spark):
     given, out = seen["best-fit-packing"]
     assert {r["doc_id"] for r in out.collect()} == set(given)
     assert corpus_pipeline.run(spark, DATA).count() == out.count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_chunks_lose_no_run(spark, monkeypatch, seed):
+    """Boundaries of rolling hashes change no result, nor do hashes that share bits or lists that are shuffled."""
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) + str(rng.randint(0, 3)) for _ in range(rng.choice([0, 1, 4, 9, 12]))) for _ in range(14)]
+    rows = [(rng.choice([None, *[i] * 9]), "\n".join(rng.choice(lines) if rng.random() < 0.8 else f"alone {i} {j} " + "w " * rng.randint(0, 12) for j in range(rng.randint(1, 14)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    result = lambda: sorted(map(repr, line_dedup.dedup_lines(df, Workspace(spark, "t")).collect()))
+    sent = result()
+    monkeypatch.setattr(line_dedup, "LOOKUP_BYTES", 1)
+    assert result() == sent
+    monkeypatch.setattr(line_dedup, "within", lambda numbers, field: np.ones(len(numbers), bool))
+    assert result() == sent and any("removed_lines=''" not in r for r in sent)
+
+
+def test_line_boundaries_depend_on_two_lines():
+    lines = [b"x%d" % i for i in range(9)]
+    around = [b"other", *lines, b"end"]
+    r, s = (line_dedup.rolling(line_dedup.line_hashes(x)) for x in (lines, around))
+    assert (r == s[1:-1]).all() and len(set(s.tolist())) == 10
+    h = line_dedup.line_hashes(around)
+    cut = lambda r: line_dedup.between_boundaries(around, h, line_dedup.bits_of(r, 1 << 16))
+    assert cut(r) == [(1, 10)] and cut(r[3:5]) == [(4, 7)] and cut(s) == line_dedup.between_boundaries(around, h, None) == [(0, 11)] and cut(r[:0]) == []
+    few = line_dedup.bits_of(np.arange(-1000, 1000), 1 << 16)
+    assert line_dedup.within(np.arange(-1000, 1000), few).all() and np.unpackbits(few).sum() == 2000 and not line_dedup.within(np.array([5000]), few).any()
+
+
+def test_lines_of_one_hash_are_compared(spark, monkeypatch):
+    """Lines whose bytes differ are no repeats, even if all their hashes were equal; too many such hashes end the run."""
+    a, b = "\n".join(["one two three four five six seven eight nine ten eleven"] * 1 + ["b " * 12]), "\n".join(["x " * 11, "y " * 12])
+    text = a.encode()
+    hashes = frozenset(x[2] for x in line_dedup.chunks(text))
+    assert line_dedup.remove(text, set(hashes))[0] == b"" and line_dedup.remove(text, set(hashes), None, frozenset([xxhash.xxh3_128_digest(text.split(b"\n")[0])]))[0] == text
+    assert line_dedup.remove(b.encode(), set(hashes))[0] == b.encode()
