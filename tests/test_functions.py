@@ -4,6 +4,7 @@ import random
 import types
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -252,7 +253,7 @@ def test_segmenters(spark):
 
 
 def test_unsupervised(spark):
-    train = spark.createDataFrame([("thisisatest",), ("thisis",), ("",)], "text string")
+    train = spark.createDataFrame([("maremontesque",), ("montesmare",), ("",)], "text string")
     s = BayesianSegmenter().train(train, train, epochs=3, print_each_nth_iteration=2)
     assert len(s.losses) == 1 and s.losses[0] > 0
     word = "circumspectantibus"
@@ -268,8 +269,46 @@ def test_unsupervised(spark):
         mass = {tuple(w): math.exp(small.log_likelihood(w)) for w in every}
         assert all(abs(drawn[w] / 3000 - m / sum(mass.values())) < 0.04 for w, m in mass.items())
     assert sum(model.probability(b, w) for w in (word, "et") for b in ["et"]) < 1 and s._longest(5.0, 18, 100) >= 18
-    got = s.segment(spark.createDataFrame([(1, "helloworld"), (2, "")], "k int, text string"), ["k"]).collect()
-    assert "".join(got[0]["words"]) == "helloworld" and got[1]["words"] == []
+    got = s.segment(spark.createDataFrame([(1, "silvaemontium"), (2, "")], "k int, text string"), ["k"]).collect()
+    assert "".join(got[0]["words"]) == "silvaemontium" and got[1]["words"] == []
+
+
+def test_unsupervised_finds_words(spark):
+    """Better than words of one width, on texts of words that it never saw apart."""
+    rng = random.Random(8)
+    known = ["".join(rng.choice("aeioulmnrstdc") for _ in range(rng.choice([2, 3, 4, 5, 7]))) for _ in range(25)]
+    texts = [[rng.choice(known) for _ in range(rng.randint(4, 9))] for _ in range(150)]
+    df = spark.createDataFrame([(i, "".join(w)) for i, w in enumerate(texts)], "k int, text string")
+    found = {r["k"]: r["words"] for r in BayesianSegmenter().train(df, epochs=8).segment(df, ["k"]).collect()}
+    ends = lambda words: set(itertools.accumulate(map(len, words[:-1])))
+
+    def f1(got):
+        tp, n, m = (sum(len(f(ends(got[i]), ends(w))) for i, w in enumerate(texts)) for f in (lambda a, b: a & b, lambda a, b: a, lambda a, b: b))
+        return 2 * tp / (n + m)
+
+    fixed = {i: ["".join(w)[j : j + 4] for j in range(0, len("".join(w)), 4)] for i, w in enumerate(texts)}
+    assert f1(found) > 0.7 > 0.5 > f1(fixed)
+
+
+@pytest.mark.parametrize("tables", [2, 1000, 2_500_000])
+def test_all_tables_are_drawn(tables):
+    """The strength's mean over all tables, however many there are."""
+    from wordloom.operators import bayesian
+
+    class Counting:
+        def __init__(self):
+            self.rng, self.n = np.random.default_rng(5), 0
+
+        def __getattr__(self, name):
+            return getattr(self.rng, name)
+
+        def random(self, n):
+            self.n += n
+            return self.rng.random(n)
+
+    rng = Counting()
+    d, theta = bayesian.drawn_discount(3 * tables, tables, tables // 2, 2.0, 0.5, (1.0, 1.0), (1.0, 1.0), rng)
+    assert rng.n == tables - 1 and 0 < d < 1 and theta > 0
 
 
 def test_noise(spark):

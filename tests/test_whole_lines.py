@@ -94,3 +94,29 @@ def test_kbest_of_whole_lines(spark, folder):
             every = sorted([best, best - loss[0], best - loss[1], best - loss[0] - loss[1]], reverse=True)[:3]
         assert [got[i][k] for k in range(3)] == pytest.approx(every, abs=1e-6), i
     assert sum(len("".join(x.split())) > 126 for x in LINES) >= 2
+
+
+def test_noisy_scores_by_brute_force(spark, folder):
+    """All measures of words of five characters against boundaries that difflib carries over to the noisy text."""
+    got = {r["line"]: r for r in registry.QUERIES["noisy_scores"](spark, folder).collect()}
+    assert len(got) == len(LINES)
+    for i, line in enumerate(LINES):
+        clean, out = drawn(i, line)
+        noisy, truth = "".join(out), line.lower().split()
+        found = [noisy[k : k + 5] for k in range(0, len(noisy), 5)]
+        ops = difflib.SequenceMatcher(None, clean, noisy, autojunk=False).get_opcodes()
+        want, at = set(), 0
+        for w in truth[:-1]:
+            at += len(w)
+            op, s0, s1, t0, t1 = next(o for o in ops if o[1] <= at < o[2])
+            want.add(t0 + at - s0 if op == "equal" else t0 + int((at - s0) / (s1 - s0) * (t1 - t0)) if op == "replace" else t0)
+        have = {k for k in range(5, len(noisy), 5)}
+        tp, p, r = len(want & have), len(want & have) / max(1, len(have)), len(want & have) / max(1, len(want))
+        both = len(set(truth) & set(found))
+        same = sum(a == b for a, b in zip(truth, found, strict=False))
+        values = {
+            "boundary_accuracy": tp / len(want) if want else 1.0, "boundary_precision": p, "boundary_recall": r, "boundary_f1": 2 * p * r / (p + r) if p + r else 0.0,
+            "word_precision": both / len(set(found)), "word_recall": both / len(set(truth)), "sequence_accuracy": same / len(truth),
+            "expected_words": len(truth), "predicted_words": len(found), "correct_words": both, "exact_position_matches": same,
+        }
+        assert {k: got[i][k] for k in values} == pytest.approx(values), i
