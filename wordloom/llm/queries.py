@@ -66,7 +66,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    rows = [F.struct(*[F.lit(x).alias(name) for name, x in zip(("verdict", "host", "path"), rule, strict=True)]) for rule in RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rows)))
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules, Workspace(spark, "op11"))
 
 
