@@ -1,13 +1,19 @@
-"""Steps whose cost must grow no faster than their input: draws, distances, boundaries."""
+"""Steps whose cost must grow no faster than their input: draws, distances, splits, counts and sums."""
 
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.functions import scores
-from wordloom.operators import align, noise
+from wordloom.operators import align, decode, ngram, noise
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("longest", [12, 70])
@@ -33,3 +39,26 @@ def test_distance_of_long_texts():
 def test_boundaries_of_empty_and_missing(spark):
     df = spark.createDataFrame([(0, ["a", "", "bc"]), (1, []), (2, None), (3, ["ab", "c", "😀d", "e"])], "i int, w array<string>")
     assert [r[0] for r in df.orderBy("i").select(scores.boundaries("w")).collect()] == [[1], [], None, [2, 3, 5]]
+
+
+def test_split_reads_rows_once(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k"))
+    out = decode.exact_split(df, "k")
+    assert "Union" not in plan(out) and out.where("is_train").count() == 4000
+
+
+def test_grams_are_summed_over_batches():
+    run = ngram._counter(6, 128, 64)
+    batch = pa.RecordBatch.from_arrays([pa.array(["\x02" + "abc " * 60 + "\x03"] * 3)], names=["t"])
+    out = list(run(iter([batch] * 4)))
+    assert len(out) == 1 and sum(out[0].column(1).to_pylist()) == 12 * (242 - 5 + 4)
+
+
+def test_sent_word_model_needs_no_join(spark, monkeypatch):
+    df = spark.createDataFrame([(i, ["a", "b", "a", "c"][: i % 5]) for i in range(60)], "i int, words array<string>")
+    sent = decode.WordModel.fit(df).perplexity(df, ["i"])
+    assert "Join" not in plan(sent)
+    monkeypatch.setattr(decode, "SENT_BYTES", 0)
+    joined = decode.WordModel.fit(df).perplexity(df, ["i"])
+    got, want = ({r["i"]: (r["n"], pytest.approx(r["nll"])) for r in x.collect()} for x in (sent, joined))
+    assert got.keys() == want.keys() and len(got) == 48 and all(got[k] == want[k] for k in got)
