@@ -62,3 +62,14 @@ def test_sent_word_model_needs_no_join(spark, monkeypatch):
     joined = decode.WordModel.fit(df).perplexity(df, ["i"])
     got, want = ({r["i"]: (r["n"], pytest.approx(r["nll"])) for r in x.collect()} for x in (sent, joined))
     assert got.keys() == want.keys() and len(got) == 48 and all(got[k] == want[k] for k in got)
+
+
+def test_contexts_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(decode, "SENT_BYTES", 0)
+    df = spark.createDataFrame([(i, ["ab", "c", "abc"][: i % 4], "abcabc"[: i % 7]) for i in range(40)], "i int, words array<string>, text string")
+    model = decode.ContextModel.fit(df)
+    found = model.label(df, ["i"], "text")
+    assert "count(" not in plan(model.counts) and "Scan parquet" in plan(model.counts)
+    monkeypatch.setattr(decode, "SENT_BYTES", 1 << 20)
+    sent = decode.ContextModel.fit(df).label(df, ["i"], "text")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sent.collect()))
