@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.functions import scores
+from wordloom.functions import labels, scores
 from wordloom.operators import align, decode, ngram, noise
 
 
@@ -73,3 +73,9 @@ def test_contexts_are_counted_once(spark, monkeypatch):
     monkeypatch.setattr(decode, "SENT_BYTES", 1 << 20)
     sent = decode.ContextModel.fit(df).label(df, ["i"], "text")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sent.collect()))
+
+
+def test_code_points_need_no_digits(spark):
+    t = "aé語😀\x02\uffff𝔊 "
+    df = spark.createDataFrame([(t,), ("",), (None,)], "t string").select(labels.code_points("t").alias("c"))
+    assert "hex(" not in plan(df) and [r["c"] for r in df.collect()] == [[ord(c) for c in t], [], None]
