@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import labels, scores
-from wordloom.operators import align, decode, ngram, noise
+from wordloom.operators import align, decode, ngram, noise, trained
 
 
 def plan(df):
@@ -79,3 +79,17 @@ def test_code_points_need_no_digits(spark):
     t = "aé語😀\x02\uffff𝔊 "
     df = spark.createDataFrame([(t,), ("",), (None,)], "t string").select(labels.code_points("t").alias("c"))
     assert "hex(" not in plan(df) and [r["c"] for r in df.collect()] == [[ord(c) for c in t], [], None]
+
+
+def test_trained_steps_without_sorting(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcé😀 ") for _ in range(rng.randrange(12))) for _ in range(60)]
+    lengths = [max(0, len(t) - rng.randrange(3)) for t in texts]
+    rows = trained.features_of(texts, lengths)
+    assert (rows == np.concatenate([trained.features(t)[:n] for t, n in zip(texts, lengths, strict=True)])).all() and len(trained.features_of([], [])) == 0
+    y, room = np.arange(len(rows)) % 2, trained.Room(trained.FEATURES)
+    monkeypatch.setattr(np, "unique", None)
+    weights, squares = np.zeros((2, trained.FEATURES, 2), np.float32)
+    for _ in range(3):
+        trained.descend(weights, squares, rows, y, room)
+    assert set(np.flatnonzero(squares.any(axis=1))) == set(rows.ravel().tolist())
