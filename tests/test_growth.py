@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import labels, scores
-from wordloom.operators import align, decode, ngram, noise, trained
+from wordloom.operators import align, bayesian, decode, ngram, noise, trained
 
 
 def plan(df):
@@ -93,3 +93,18 @@ def test_trained_steps_without_sorting(monkeypatch):
     for _ in range(3):
         trained.descend(weights, squares, rows, y, room)
     assert set(np.flatnonzero(squares.any(axis=1))) == set(rows.ravel().tolist())
+
+
+def test_unsupervised_over_all_cores(spark):
+    df = spark.createDataFrame([(i, "thecatsatonthemat"[i % 5 :]) for i in range(40)], "k int, text string").coalesce(1)
+    model = bayesian.BayesianSegmenter().train(df, epochs=2)
+    assert model.segment(df, ["k"]).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_letters_are_asked_for_once(monkeypatch):
+    asked, letter = [], bayesian.Letters.letter
+    monkeypatch.setattr(bayesian.Letters, "letter", lambda self, gram: asked.append(gram) or letter(self, gram))
+    letters = bayesian.Letters({"the": 1, "cat": 1}, 3, 26, 0.5, 2.0, 3.0)
+    model = bayesian.PitmanYor({"the": 2, "cat": 1}, {("the", "cat"): 1}, letters, (0.5, 0.5), (2.0, 2.0), 10)
+    assert "".join(model.split("thecatthecat", random.Random(1))) == "thecatthecat"
+    assert len(asked) == len(set(asked)) and letters.log_letter("the") == np.log(letter(letters, "the"))
