@@ -108,3 +108,34 @@ def test_letters_are_asked_for_once(monkeypatch):
     model = bayesian.PitmanYor({"the": 2, "cat": 1}, {("the", "cat"): 1}, letters, (0.5, 0.5), (2.0, 2.0), 10)
     assert "".join(model.split("thecatthecat", random.Random(1))) == "thecatthecat"
     assert len(asked) == len(set(asked)) and letters.log_letter("the") == np.log(letter(letters, "the"))
+
+
+def test_scores_of_batches():
+    rng = random.Random(4)
+    some = lambda: None if rng.random() < 0.1 else [rng.choice(["", "a", "b", "é😀", "abc"]) for _ in range(rng.randrange(7))]
+    t, p = [some() for _ in range(300)], [some() for _ in range(300)]
+    given = [None if rng.random() < 0.1 else [rng.randrange(6) for _ in range(rng.randrange(5))] for _ in range(300)]
+    ends = lambda words: {len("".join(words[:i])) for i in range(1, len(words))}
+    ratio = lambda a, b: a / b if b else 0.0
+
+    def one(t, p, e, n):
+        f1 = lambda a, b: ratio(2 * (a * b), a + b)
+        tp, both, same = len(e & ends(p)), len(set(t) & set(p)), sum(a == b for a, b in zip(t, p, strict=False))
+        b, w = (ratio(tp, len(ends(p))), ratio(tp, len(e))), (ratio(both, len(set(p))), ratio(both, len(set(t))))
+        return (tp / n if n else 1.0, *b, f1(*b), *w, f1(*w), ratio(same, len(t)), len(t), len(p), both, same)
+
+    a, b, c = (pa.array(x, k) for x, k in ((t, pa.list_(pa.string())), (p, pa.list_(pa.string())), (given, pa.list_(pa.int32()))))
+    for cells, want in (
+        (scores.measures(a, b), [one(x or [], y or [], ends(x or []), len(ends(x or []))) for x, y in zip(t, p, strict=True)]),
+        (scores.measures(a, b, c), [one(x or [], y or [], set(e or []), len(e or [])) for x, y, e in zip(t, p, given, strict=True)]),
+        (scores.measures(a[7:90], b[7:90]), [one(x or [], y or [], ends(x or []), len(ends(x or []))) for x, y in zip(t[7:90], p[7:90], strict=True)]),
+        (scores.measures(a[:0], b[:0]), []),
+    ):
+        assert [tuple(r) for r in zip(*(x.tolist() for x in cells), strict=True)] == want
+
+
+def test_boundary_scores_in_batches(spark):
+    df = spark.createDataFrame([(0, [1, 3], [3, 4]), (1, [], None), (2, None, [1]), (3, [2, 2], [2]), (4, [], [5])], "i int, e array<int>, p array<int>")
+    out = df.orderBy("i").select(scores.boundary_scores("e", "p").alias("s"))
+    assert "array_intersect" not in plan(out)
+    assert [tuple(r.s) for r in out.collect()] == [(0.5, 0.5, 0.5, 0.5, 1, 1, 1), (1.0, 0.0, 0.0, 0.0, None, None, None), (0.0, 0.0, 0.0, 0.0, None, None, None), (0.5, 1.0, 1.0, 1.0, 1, 0, 0), (1.0, 0.0, 0.0, 0.0, 0, 1, 0)]
