@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.functions import labels, scores
+from wordloom.functions import labels, scores, text
 from wordloom.operators import align, bayesian, decode, ngram, noise, trained
 
 
@@ -139,3 +139,15 @@ def test_boundary_scores_in_batches(spark):
     out = df.orderBy("i").select(scores.boundary_scores("e", "p").alias("s"))
     assert "array_intersect" not in plan(out)
     assert [tuple(r.s) for r in out.collect()] == [(0.5, 0.5, 0.5, 0.5, 1, 1, 1), (1.0, 0.0, 0.0, 0.0, None, None, None), (0.0, 0.0, 0.0, 0.0, None, None, None), (0.5, 1.0, 1.0, 1.0, 1, 0, 0), (1.0, 0.0, 0.0, 0.0, 0, 1, 0)]
+
+
+def test_marks_go_character_by_character(spark, monkeypatch):
+    # the last two marks are put in order and stay, which only the whole text shows
+    t = ["ἄνθρωπος é", "a\u0323\u0301\u0345", "가각", "x\u302e\U0001d165y", "ascii", "", None]
+    want = [None if x is None else text.strip_marks(x) for x in t]
+    asked, whole = [], text.strip_marks
+    monkeypatch.setattr(text, "strip_marks", lambda x: asked.append(x) or whole(x))
+    table = text._Unmarked()
+    assert [None if x is None else table.strip(x) for x in t * 2] == want * 2 and len(asked) < len(set("".join(x or "" for x in t))) + 3
+    df = spark.createDataFrame(list(enumerate(t)), "i int, t string")
+    assert [r.x for r in df.orderBy("i").select(text.remove_diacritics("t").alias("x")).collect()] == want
