@@ -151,3 +151,9 @@ def test_marks_go_character_by_character(spark, monkeypatch):
     assert [None if x is None else table.strip(x) for x in t * 2] == want * 2 and len(asked) < len(set("".join(x or "" for x in t))) + 3
     df = spark.createDataFrame(list(enumerate(t)), "i int, t string")
     assert [r.x for r in df.orderBy("i").select(text.remove_diacritics("t").alias("x")).collect()] == want
+
+
+def test_rebuilding_in_batches(spark):
+    df = spark.createDataFrame([(0, "abc", [0, 1, 3, 1]), (1, "\xa0a😀b ", [0, 1, 2, 3]), (2, "", [1]), (3, None, [1]), (4, "a", None), (5, "ab", [None, 1])], "i int, t string, l array<int>")
+    out = df.orderBy("i").select(labels.rebuild("t", "l").alias("x"))
+    assert "zip_with" not in plan(out) and [r.x for r in out.collect()] == ["ab c", "a 😀b", "", None, None, "ab"]
