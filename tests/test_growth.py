@@ -6,10 +6,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from wordloom.functions import labels, scores, text
 from wordloom.operators import align, bayesian, decode, ngram, noise, trained
+from wordloom.plans import registry
 
 
 def plan(df):
@@ -157,3 +159,9 @@ def test_rebuilding_in_batches(spark):
     df = spark.createDataFrame([(0, "abc", [0, 1, 3, 1]), (1, "\xa0a😀b ", [0, 1, 2, 3]), (2, "", [1]), (3, None, [1]), (4, "a", None), (5, "ab", [None, 1])], "i int, t string, l array<int>")
     out = df.orderBy("i").select(labels.rebuild("t", "l").alias("x"))
     assert "zip_with" not in plan(out) and [r.x for r in out.collect()] == ["ab c", "a 😀b", "", None, None, "ab"]
+
+
+@pytest.mark.parametrize("name, step", [("tei_documents", "regexp_replace(translate("), ("dict_form_verses", "to_json(array(")])
+def test_lines_are_cleaned_and_quoted_at_once(spark, name, step):
+    analyzed = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().analyzed().toString()
+    assert step + "text" in analyzed and step + "lambda" not in analyzed

@@ -7,6 +7,7 @@ import re
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +68,23 @@ def parse(xml: str, book_id: str = "B20", variant: str = "orig", reconstructed:
 def parse_transcriptions(df: DataFrame, xml_col: str = "xml", **options) -> DataFrame:
     """df with the struct `parsed` (title, verses, error); a text that is no such document gives an error, not a failure."""
 
-    @F.pandas_udf(SCHEMA)
-    def run(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in column:
+    @F.arrow_udf(SCHEMA)
+    def run(column: pa.Array) -> pa.Array:
+        titles, errors, ends, cells = [], [], [0], []
+        for x in column.to_pylist():
+            title = error = None
             try:
                 title, verses = parse(x, **options)
-                rows.append((title, [dict(zip(("chapter", "verse", "text"), v, strict=True)) for v in verses], None))
+                cells += verses
             except (ElementTree.ParseError, AttributeError, KeyError, IndexError, ValueError, TypeError) as e:
-                rows.append((None, None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["title", "verses", "error"])
+                error = f"{type(e).__name__}: {e}"
+            titles.append(title)
+            errors.append(error)
+            ends.append(len(cells))
+        parts = [pa.array(c, pa.string()) for c in (zip(*cells, strict=True) if cells else [()] * 3)]
+        missing = pa.array([e is not None for e in errors], pa.bool_())
+        verses = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["chapter", "verse", "text"]), mask=missing)
+        return pa.StructArray.from_arrays([pa.array(titles, pa.string()), verses, pa.array(errors, pa.string())], names=["title", "verses", "error"])
 
     return df.withColumn("parsed", run(F.col(xml_col)))
 
