@@ -165,3 +165,58 @@ def test_rebuilding_in_batches(spark):
 def test_lines_are_cleaned_and_quoted_at_once(spark, name, step):
     analyzed = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().analyzed().toString()
     assert step + "text" in analyzed and step + "lambda" not in analyzed
+
+
+@pytest.mark.parametrize("scheme", ["binary", "quadri"])
+def test_best_labels_are_sent_where_counts_are_too_many(spark, monkeypatch, scheme):
+    rng = random.Random(6)
+    words = [["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 5))) for _ in range(40)] for _ in range(300)]
+    df = spark.createDataFrame([(i, w, "".join(w) + "é" * (i % 2)) for i, w in enumerate(words)], "i int, words array<string>, text string")
+    sent = decode.ContextModel.fit(df, scheme=scheme)
+    full = sent.tables()
+    few = sent.verdicts()
+    assert sum(map(len, few.numbers)) < sum(map(len, full.numbers)) and all(c.dtype == np.int8 for c in few.counts)
+    size = sum(map(len, full.numbers)) * 8 * (2 + len(sent.columns))
+    assert sent.sent()
+    want = sent.label(df, ["i"], "text", None).collect()
+    monkeypatch.setattr(decode, "SENT_BYTES", size - 1)
+    model = decode.ContextModel.fit(df, scheme=scheme)
+    segmenter = decode.StandardSegmenter(model, None)
+    assert not model.sent() and segmenter.one_row
+    found = segmenter.segment(df, ["i"])
+    assert "Join" not in plan(found)
+    assert sorted((r["i"], " ".join(r["words"])) for r in found.collect()) == sorted((r["i"], r["candidate"]) for r in want)
+
+
+@pytest.mark.parametrize("scheme", ["binary", "quadri"])
+def test_contexts_are_counted_by_numbers(monkeypatch, scheme):
+    rng = random.Random(8)
+    monkeypatch.setattr(decode.ContextCounts, "WIDE", 9)
+    monkeypatch.setattr(decode.ContextCounts, "SOME", 50)
+    monkeypatch.setattr(decode.ContextCounts, "ROWS", 7)
+    texts = [["".join(rng.choice("abc語😀é" if i % 3 else "abcdefghi") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(6))] for i in range(60)]
+    want = {}
+    for words in texts:
+        t = "\x02" * 3 + "".join(words) + "\x03" * 3
+        marks = "".join("I" * (len(w) - 1) + "E" if scheme == "binary" else "S" if len(w) == 1 else "B" + "I" * (len(w) - 2) + "E" for w in words)
+        for i, y in enumerate(marks):
+            row = want.setdefault(t[i : i + 7], [0] * len(decode.SIGNS[scheme]))
+            row[0] += 1
+            if k := decode.SIGNS[scheme].index(y):
+                row[k] += 1
+    counts, names = decode.ContextCounts(scheme), ["context", "n", "e", "b", "s"][: 1 + len(decode.SIGNS[scheme])]
+    got = {}
+    for lo in range(0, 60, 10):
+        some = texts[lo : lo + 10]
+        counts.add(["".join(w) for w in some], pa.array([[len(x) for x in w] for w in some], pa.list_(pa.int32())))
+        if lo == 30:
+            out = list(counts.rows(names))
+    for batch in [*out, *counts.rows(names)]:
+        for r in batch.to_pylist():
+            row = got.setdefault(r["context"], [0] * (len(names) - 1))
+            got[r["context"]] = [a + r[c] for a, c in zip(row, names[1:], strict=True)]
+    assert got == want
+
+
+def test_lines_need_no_pattern(spark):
+    assert "ArrowEvalPython" in plan(registry.verses_of(spark, DATA))
