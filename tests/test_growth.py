@@ -227,3 +227,11 @@ def test_whole_lines_are_segmented(spark, name):
     found = registry.QUERIES[name](spark, DATA).join(registry.QUERIES["verses"](spark, DATA), ["doc_id", "line"])
     kept = found.agg(F.count("*").alias("n"), F.max(F.length("plain")).alias("longest"), F.count_if(F.replace("segmented", F.lit(" "), F.lit("")) != F.lower("plain")).alias("cut")).first()
     assert kept["n"] > 0 and kept["longest"] > 126 and kept["cut"] == 0
+
+
+def test_held_out_lines_are_scored_whole(spark):
+    assert "126" not in registry.SQL["held_out_scores"]
+    truth = decode.exact_split(registry.verses_of(spark, DATA), F.concat_ws("|", "doc_id", "line")).where("not is_train")
+    words = truth.agg(F.avg(F.size("words"))).first()[0]
+    got = {r["metric"]: r["value"] for r in registry.QUERIES["held_out_scores"](spark, DATA).collect()}
+    assert got["predicted_words"] > 0.8 * words  # the beginnings alone hold less than half of the words
