@@ -175,10 +175,11 @@ def test_best_labels_are_sent_where_counts_are_too_many(spark, monkeypatch, sche
     sent = decode.ContextModel.fit(df, scheme=scheme)
     full = sent.tables()
     few = sent.verdicts()
-    assert sum(map(len, few.numbers)) < sum(map(len, full.numbers)) and all(c.dtype == np.int8 for c in few.counts)
-    size = sum(map(len, full.numbers)) * 8 * (2 + len(sent.columns))
+    assert sum(map(len, few.numbers)) < sum(map(len, full.numbers))
+    size = sum(map(len, full.numbers)) * 12
     assert sent.sent()
     want = sent.label(df, ["i"], "text", None).collect()
+    monkeypatch.setattr(decode, "COUNTED_SHARE", 1)
     monkeypatch.setattr(decode, "SENT_BYTES", size - 1)
     model = decode.ContextModel.fit(df, scheme=scheme)
     segmenter = decode.StandardSegmenter(model, None)
@@ -235,3 +236,52 @@ def test_held_out_lines_are_scored_whole(spark):
     words = truth.agg(F.avg(F.size("words"))).first()[0]
     got = {r["metric"]: r["value"] for r in registry.QUERIES["held_out_scores"](spark, DATA).collect()}
     assert got["predicted_words"] > 0.8 * words  # the beginnings alone hold less than half of the words
+
+
+@pytest.mark.parametrize("labels_n", [2, 4])
+def test_best_sequences_by_price(labels_n):
+    rng = random.Random(2)
+    for i in range(400):
+        n, k = rng.randrange(7), rng.randrange(1, 9)
+        draw = (lambda: rng.random() + 0.01) if i % 2 else (lambda: rng.choice([1, 1, 2]))
+        p = np.array([draw() for _ in range(n * labels_n)], float).reshape(n, labels_n)
+        p = p / p.sum(axis=1, keepdims=True)
+        got, want = decode.k_best_labels(decode._logs(p), k), decode.k_best_sequences(p.tolist(), k)
+        assert [x for x, _ in got] == pytest.approx([x for x, _ in want]) and len({tuple(seq) for _, seq in got}) == len(got)
+        for score, seq in got:
+            assert score == pytest.approx(sum(np.log(p[j, y]) for j, y in enumerate(seq)))
+        if i % 2:
+            assert [seq for _, seq in got] == [seq for _, seq in want]
+
+
+@pytest.mark.parametrize("room", [0, 32 * 15])
+def test_pairs_are_judged_once_for_all_candidates(spark, monkeypatch, room):
+    rng = random.Random(12)
+    words = [[rng.choice(["a", "b", "ab", "ba", "bab", "é"]) for _ in range(rng.randrange(9))] for _ in range(80)]
+    df = spark.createDataFrame([(i, w, "".join(w)) for i, w in enumerate(words)], "i int, words array<string>, text string")
+    other = df.select("i", F.concat("words", F.array(F.lit("stranger"), F.lit("a"))).alias("words"))
+    make = lambda weight: decode.HierarchicalSegmenter(decode.ContextModel.fit(df), decode.WordModel.fit(df), 3, None, weight).segment(df, ["i"])
+    sums = lambda d, **how: {r["i"]: (r["n"], pytest.approx(r["nll"])) for r in decode.WordModel.fit(df).perplexity(d, ["i"], **how).collect()}
+    want = [{r["i"]: r["words"] for r in make(weight).collect()} for weight in (None, 0.5)], sums(df), sums(other)
+    monkeypatch.setattr(decode, "SENT_BYTES", room)
+    model = decode.WordModel.fit(df)
+    assert model.prepare(spark) is None and len(model.frequent().value.numbers) <= room // 32 and bool(room) == bool(len(model.frequent().value.numbers))
+    found = make(None)
+    assert plan(found).count("MapInArrow") <= 1  # candidates are written, and their pairs are read once
+    assert ([{r["i"]: r["words"] for r in x.collect()} for x in (found, make(0.5))], sums(df), sums(other)) == want
+    assert sums(df, seen=True) == want[1]
+
+
+def test_pairs_are_counted_by_numbers(monkeypatch):
+    monkeypatch.setattr(decode, "COUNTED", 2)
+    rng = random.Random(3)
+    texts = [[rng.choice("abcdé") for _ in range(rng.randrange(5))] for _ in range(40)]
+    want = {}
+    for w in texts:
+        for pair in zip(["", *w], w, strict=False):
+            want[pair] = want.get(pair, 0) + 1
+    got = {}
+    for b in decode._count_pairs(pa.RecordBatch.from_arrays([pa.array(texts[i : i + 8], pa.list_(pa.string()))], names=["words"]) for i in range(0, 40, 8)):
+        for r in b.to_pylist():
+            got[r["before"], r["word"]] = got.get((r["before"], r["word"]), 0) + r["n"]
+    assert got == want
