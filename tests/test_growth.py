@@ -223,7 +223,7 @@ def test_lines_need_no_pattern(spark):
     assert "ArrowEvalPython" in plan(registry.verses_of(spark, DATA))
 
 
-@pytest.mark.parametrize("name", ["segment_standard"])
+@pytest.mark.parametrize("name", ["segment_standard", "segment_hierarchical"])
 def test_whole_lines_are_segmented(spark, name):
     found = registry.QUERIES[name](spark, DATA).join(registry.QUERIES["verses"](spark, DATA), ["doc_id", "line"])
     kept = found.agg(F.count("*").alias("n"), F.max(F.length("plain")).alias("longest"), F.count_if(F.replace("segmented", F.lit(" "), F.lit("")) != F.lower("plain")).alias("cut")).first()
