@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import labels, scores, text
 from wordloom.operators import align, bayesian, decode, ngram, noise, trained
-from wordloom.plans import registry
+from wordloom.plans import benchmark, registry
+from wordloom.sources.scratch import Scratch
 
 
 def plan(df):
@@ -285,3 +286,13 @@ def test_pairs_are_counted_by_numbers(monkeypatch):
         for r in b.to_pylist():
             got[r["before"], r["word"]] = got.get((r["before"], r["word"]), 0) + r["n"]
     assert got == want
+
+
+def test_grid_writes_its_texts_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, ["ab", "c", "abc"][: 1 + i % 3]) for i in range(30)], "i int, words array<string>").withColumn("text", F.array_join("words", " "))
+    made = lambda: {tuple(r)[:-1]: pytest.approx(r["value"]) for r in benchmark.grid(df, df, ["i"], [("STANDARD", 1), ("HIERARCHICAL", 3)]).collect()}
+    want, settle, names = made(), Scratch.settle, []
+    monkeypatch.setattr(Scratch, "settle", lambda self, d: names.append(self.dir.rsplit("/", 1)[1].split("-")[0]) or settle(self, d))
+    assert made() == want and "test" not in names
+    monkeypatch.setattr(decode, "SENT_BYTES", 0)
+    assert made() == want and names.count("test") == 1
